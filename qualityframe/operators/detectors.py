@@ -228,9 +228,9 @@ def drift(c: Context) -> DataFrame | None:
 def quasi_columns(c: Context) -> list[str]:
     """Columns whose name or class suggests a quasi-identifier, in name order."""
     named = semantic.name_has(QUASI_WORDS, F.col("column"), c.limits.whole_word_keywords)
-    by_class = c.classes.where(F.col("predicted_class").isin(QUASI_WORDS)).select("column")
-    hits = c.columns.where(named).select("column").union(by_class).distinct().collect()
-    return sorted(r.column for r in hits)
+    by_name = c.columns.where(named).select("column").collect()
+    by_class = c.classes.where(F.col("predicted_class").isin(QUASI_WORDS)).select("column").collect()
+    return sorted({r.column for r in [*by_name, *by_class]})
 
 
 def combination_uniqueness(

@@ -91,7 +91,7 @@ def _trees(pool: DataFrame, width: int, trees: int, seed: int) -> list:
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iat[0])
         order = pd.util.hash_array(pdf["h"].to_numpy() + np.int64(tree) * 1_000_003)
-        rows = pdf.assign(o=order).sort_values(["o", "h"]).head(psi)
+        rows = pdf.assign(o=order, x=pdf["x"].map(tuple)).sort_values(["o", "h", "x"]).head(psi)
         x = np.array(rows["x"].tolist(), dtype=float).reshape(-1, width)
         f, c, lt, rt, ln = _grow(x, np.random.default_rng([seed, tree]), height)
         return pd.DataFrame(
@@ -234,12 +234,19 @@ def anomaly_rows(
 
 
 def _steps(forest: Forest) -> tuple[np.ndarray, np.ndarray]:
-    """A one-feature forest as a step function: breakpoints and the score of each step."""
-    cuts = np.unique(np.concatenate([t[1][t[0] >= 0] for t in forest.trees] + [np.zeros(0)]))
-    if not len(cuts):
-        return cuts, forest.score(np.zeros((1, 1)))
-    inside = np.r_[cuts, np.nextafter(cuts[-1], math.inf)]  # step i ends at its breakpoint
-    return cuts, forest.score(inside.reshape(-1, 1))
+    """A one-feature forest as a step function: breakpoints and the score of each step.
+
+    Trees are stored left subtree first, so leaves come in order of their values
+    and meet the sorted cuts one by one.
+    """
+    inner = [(np.sort(t[1][t[0] >= 0]), t[4][t[0] < 0]) for t in forest.trees]
+    cuts = np.unique(np.concatenate([c for c, _ in inner]))
+    total = np.zeros(len(cuts) + 1)
+    for c, lengths in inner:
+        # step i ends at cuts[i]; a value equal to a cut goes left
+        total[:-1] += lengths[np.searchsorted(c, cuts, side="left")]
+        total[-1] += lengths[-1]
+    return cuts, np.exp2(-total / (len(inner) * forest.scale))
 
 
 def anomaly_columns(
@@ -297,7 +304,7 @@ def _anomaly_columns(df, names, key, cfg) -> dict[str, tuple[float, float]]:
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         slot, tree = int(pdf["slot"].iat[0]), int(pdf["tree"].iat[0])
         order = pd.util.hash_array(pdf["h"].to_numpy() + np.int64(tree) * 1_000_003)
-        x = pdf.assign(o=order).sort_values(["o", "h"]).head(TREE_ROWS)["v"].to_numpy()
+        x = pdf.assign(o=order).sort_values(["o", "h", "v"]).head(TREE_ROWS)["v"].to_numpy()
         height = max(math.ceil(math.log2(max(len(x), 2))), 1)
         f, c, lt, rt, ln = _grow(
             x.reshape(-1, 1), np.random.default_rng([seed, slot, tree]), height
@@ -360,9 +367,12 @@ def anomaly_column_frame(
     cfg: Profiling = Profiling(),
 ) -> DataFrame:
     found = anomaly_columns(df, names, key, cfg)
-    rows = [
-        (c, round(a, cfg.rounding), round(m, cfg.rounding)) for c, (a, m) in sorted(found.items())
-    ]
-    return df.sparkSession.createDataFrame(
+    rows = [(c, a, m) for c, (a, m) in sorted(found.items())]
+    out = df.sparkSession.createDataFrame(
         rows, "column string, anomaly_ratio double, mean_anomaly_score double"
     )
+    return out.select(
+        "column",
+        F.round("anomaly_ratio", cfg.rounding).alias("anomaly_ratio"),
+        F.round("mean_anomaly_score", cfg.rounding).alias("mean_anomaly_score"),
+    )

@@ -272,10 +272,10 @@ def _numeric_stats(df: DataFrame, names: list[str], cfg: Profiling) -> dict[str,
     return out
 
 
-def _rounded(value, digits: int | None):
-    if value is None or digits is None or not isinstance(value, float):
-        return value
-    return round(value, digits) if math.isfinite(value) else value
+def _round_all(df: DataFrame, digits: int) -> DataFrame:
+    return df.select(
+        *[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
+    )
 
 
 def numeric_profile(
@@ -285,10 +285,8 @@ def numeric_profile(
     stats = numeric_stats(df, names, cfg)
     fields = ["n", *NUMERIC_FIELDS]
     schema = "column string, n bigint, " + ", ".join(f"`{f}` double" for f in NUMERIC_FIELDS)
-    rows = [
-        (c, *[_rounded(s[f], cfg.rounding) for f in fields]) for c, s in sorted(stats.items())
-    ]
-    return df.sparkSession.createDataFrame(rows, schema)
+    rows = [(c, *[s[f] for f in fields]) for c, s in sorted(stats.items())]
+    return _round_all(df.sparkSession.createDataFrame(rows, schema), cfg.rounding)
 
 
 def outlier_condition(x: Column, s: dict, cfg: Profiling) -> Column | None:
@@ -330,10 +328,8 @@ BEHAVIOR_SCHEMA = (
 
 
 def behavior_frame(spark, found: dict[str, dict], cfg: Profiling) -> DataFrame:
-    rows = [
-        (c, *[_rounded(v, cfg.rounding) for v in b.values()]) for c, b in sorted(found.items())
-    ]
-    return spark.createDataFrame(rows, BEHAVIOR_SCHEMA)
+    rows = [(c, *b.values()) for c, b in sorted(found.items())]
+    return _round_all(spark.createDataFrame(rows, BEHAVIOR_SCHEMA), cfg.rounding)
 
 
 def outlier_ratio(

@@ -18,7 +18,7 @@ from ..functions.cells import NUMERIC, as_double, col, columns_of
 from .scale import materialize, one_row, running_total
 
 PAIR_SCHEMA = "col1 string, col2 string, value double"
-FEW_PAIRS = 36
+NOISE = 1e-13
 HOT_SHARE = 1000
 
 
@@ -36,10 +36,12 @@ def _co_moments(df: DataFrame, names: list[str]) -> DataFrame:
 
     One scan for any number of columns: each task folds its Arrow batches into
     matrix products of the shifted values and their presence masks, and emits one
-    row per pair. Values are shifted by the column mean to keep their digits.
+    row per pair. Values are shifted by a middle value of the column: it lies within
+    one deviation of the mean, so sums keep their digits, and it is itself a value,
+    so a constant column gives exact zeros.
     """
-    means = one_row(df, {c: F.avg(as_double(c)) for c in names})
-    shift = np.array([means[c] if means[c] is not None else 0.0 for c in names])
+    middle = one_row(df, {c: F.percentile_approx(as_double(c), 0.5, 100) for c in names})
+    shift = np.array([middle[c] if middle[c] is not None else 0.0 for c in names])
     width = len(names)
     upper = np.triu_indices(width)
 
@@ -76,51 +78,30 @@ def _co_moments(df: DataFrame, names: list[str]) -> DataFrame:
 def pearson(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """(col1, col2, value) for col1 <= col2, pairwise complete; undefined cells dropped.
 
-    Few pairs: the built-in `corr`, in code-generated aggregates. Many pairs: one
-    scan of matrix products instead of a scan per batch of pairs.
+    One scan whatever the number of pairs, where built-in `corr` aggregates would
+    need a scan per batch of pairs (and raise on a constant column in ANSI mode).
     """
     names = sorted(names or columns_of(df, NUMERIC))
-    pairs = _pairs(names)
-    if len(pairs) > FEW_PAIRS:
-        listed = F.array(*[F.lit(c) for c in names])
-        vx = F.col("sxx") - F.col("sx") ** 2 / F.col("n")
-        vy = F.col("syy") - F.col("sy") ** 2 / F.col("n")
-        cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
-        return (
-            _co_moments(df, names)
-            .where(F.col("n") > 1)
-            .select(
-                F.get(listed, F.col("i")).alias("col1"),
-                F.get(listed, F.col("j")).alias("col2"),
-                F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)).alias("value"),
-            )
-            .where(F.col("value").isNotNull())
-        )
-    cells = [(a, b) for a, b in pairs] + [(a, a) for a in names]
-    pieces = []
-    for start in range(0, len(cells), 12):
-        part = cells[start : start + 12]
-        wide = df.agg(*[F.corr(as_double(a), as_double(b)).alias(f"r{i}") for i, (a, b) in enumerate(part)])
-        pieces.append(
-            wide.select(
-                F.inline(
-                    F.array(
-                        *[
-                            F.struct(
-                                F.lit(a).alias("col1"),
-                                F.lit(b).alias("col2"),
-                                F.col(f"r{i}").alias("value"),
-                            )
-                            for i, (a, b) in enumerate(part)
-                        ]
-                    )
-                )
-            )
+    listed = F.array(*[F.lit(c) for c in names])
+
+    def spread_of(square: str, plain: str):
+        v = F.col(square) - F.col(plain) ** 2 / F.col("n")
+        return F.when(v > F.col(square) * NOISE, v)
+
+    vx, vy = spread_of("sxx", "sx"), spread_of("syy", "sy")
+    cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
+    return (
+        _co_moments(df, names)
+        .where(F.col("n") > 1)
+        .select(
+            F.get(listed, F.col("i")).alias("col1"),
+            F.get(listed, F.col("j")).alias("col2"),
+            F.when(F.col("i") == F.col("j"), vx / vx)
+            .otherwise(cov / F.sqrt(vx * vy))
+            .alias("value"),
         )
-    out = pieces[0]
-    for piece in pieces[1:]:
-        out = out.unionByName(piece)
-    return out.where(F.col("value").isNotNull() & ~F.isnan("value"))
+        .where(F.col("value").isNotNull())
+    )
 
 
 def _pair_counts(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,8 +56,9 @@ def spread(df: DataFrame) -> Iterator[DataFrame]:
     it is dealt out to all cores and kept while the block runs; larger inputs
     already have enough splits and are left alone.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > SPREAD_BYTES or df.is_cached:
+    query = df._jdf.queryExecution()
+    size = int(str(query.optimizedPlan().stats().sizeInBytes()))
+    if size > SPREAD_BYTES or "InMemoryRelation" in query.withCachedData().toString():
         yield df
         return
     dealt = df.repartition(df.sparkSession.sparkContext.defaultParallelism).persist()
@@ -65,6 +68,13 @@ def spread(df: DataFrame) -> Iterator[DataFrame]:
         dealt.unpersist()
 
 
+def together(spark: SparkSession, *steps: Callable) -> list:
+    """Submit independent jobs side by side, so one job's tail does not idle the cluster."""
+    with ThreadPoolExecutor(max_workers=len(steps)) as pool:
+        waiting = [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]
+        return [w.result() for w in waiting]
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Freeze a table that has one row per column, pair or action of a schema."""
     return df.sparkSession.createDataFrame(df.collect(), df.schema)

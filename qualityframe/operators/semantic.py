@@ -113,10 +113,10 @@ def classify(df: DataFrame, cfg: Profiling = Profiling()) -> dict[str, tuple[str
 
 
 def semantic_class(df: DataFrame, cfg: Profiling = Profiling()) -> DataFrame:
-    rows = [
-        (c, label, round(score, cfg.rounding)) for c, (label, score) in classify(df, cfg).items()
-    ]
-    return df.sparkSession.createDataFrame(rows, SEMANTIC_SCHEMA)
+    rows = [(c, label, score) for c, (label, score) in classify(df, cfg).items()]
+    return df.sparkSession.createDataFrame(rows, SEMANTIC_SCHEMA).withColumn(
+        "confidence", F.round("confidence", cfg.rounding)
+    )
 
 
 def tag_columns(profile: DataFrame, classes: DataFrame) -> DataFrame:

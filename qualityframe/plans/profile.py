@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config, Profiling
-from ..functions.cells import DATETIME, NUMERIC, TEXTUAL, col, columns_of, nan_to_null
+from ..functions.cells import col, nan_to_null
 from ..operators import categories, forest, numeric, relations, semantic, structure, text, times
-from ..operators.scale import one_row, pin, spread
+from ..operators.scale import one_row, pin, spread, together
 
 NUMERIC_STRUCT = ", ".join(f"`{f}`: double" for f in numeric.NUMERIC_FIELDS)
 
@@ -63,76 +63,90 @@ class Profiles:
         )
 
 
-def _column_rows(df: DataFrame, cfg: Profiling, order_by: str | None) -> dict[str, dict]:
-    """Everything known about each column, {column: {field: value}}."""
+PARTS = frozenset(
+    {"labels", "distinct", "numbers", "dates", "prose", "pairs", "classes", "anomalies", "rows"}
+)
+
+
+def _sizes(df: DataFrame) -> dict[str, dict]:
+    """Rows, nulls and bytes of every column, in one scan."""
     fields = {f.name: f for f in df.schema.fields}
-    names = sorted(fields)
     exprs = {"\0rows": F.count(F.lit(1))}
-    for c in names:
+    for c in sorted(fields):
         exprs[f"{c}\0null"] = F.count_if(col(c).isNull())
         exprs[f"{c}\0bytes"] = structure.byte_size(fields[c])
     flat = one_row(df, exprs, batch=64)
     rows = flat["\0rows"]
-    out = {
+    return {
         c: {
             "dtype": fields[c].dataType.simpleString(),
             "row_count": rows,
             "null_count": flat[f"{c}\0null"],
             "null_ratio": flat[f"{c}\0null"] / rows if rows else 0.0,
             "bytes": int(flat[f"{c}\0bytes"]),
-            "distinct_count": None,
         }
-        for c in names
+        for c in sorted(fields)
     }
-    shape = categories.text_shape(df, columns_of(df, TEXTUAL))
-    types = categories.infer_types(df, cfg, shape)
-    for c in names:
-        out[c]["logical_type"] = types[c]
-
-    labelled = [c for c in names if types[c] == "categorical"]
-    if labelled:
-        found = categories.categorical_summary(categories.value_counts(df, labelled), cfg)
-        for r in found.collect():
-            out[r.column]["distinct_count"] = r.cardinality
-            out[r.column]["categorical"] = (
+
+
+def _labels(df: DataFrame, names: list[str], cfg: Profiling) -> dict[str, dict]:
+    if not names:
+        return {}
+    found = categories.categorical_summary(categories.value_counts(df, names), cfg).collect()
+    return {
+        r.column: {
+            "distinct_count": r.cardinality,
+            "categorical": (
                 r.cardinality, r.entropy, r.mode, r.mode_ratio, r.dominance_ratio, r.rare_count,
-            )
-            out[r.column]["behavior"] = (
-                r.outlier_ratio, r.imbalance, r.mode_ratio, r.imbalance,
-            )
-    plain = [c for c in structure.countable(df) if types[c] != "categorical"]
-    if plain:
-        texts = {c for c in plain if types[c] == "text"}
-        for r in structure.distinct_counts(df, plain, cfg.exact_distinct, texts).collect():
-            out[r.column]["distinct_count"] = r.distinct_count
-    for c in names:
-        distinct = out[c]["distinct_count"]
-        known = distinct is not None
-        out[c]["unique_ratio"] = (distinct / rows if rows else 0.0) if known else None
-        out[c]["duplicate_ratio"] = ((rows - distinct) / rows if rows else 0.0) if known else None
-
-    numbers = columns_of(df, NUMERIC)
-    if numbers:
-        stats = numeric.numeric_stats(df, numbers, cfg)
-        behavior = numeric.numeric_behavior(df, stats, cfg)
-        for c in numbers:
-            out[c]["numeric"] = tuple(stats[c][f] for f in numeric.NUMERIC_FIELDS)
-            if c in behavior:
-                out[c]["behavior"] = tuple(behavior[c].values())
-    dates = columns_of(df, DATETIME)
-    if dates:
-        for r in times.datetime_stats(df, dates).collect():
-            order = (
-                times.monotonic(df, r.column, order_by).first().monotonic if order_by else None
-            )
-            out[r.column]["datetime"] = (r["min"], r["max"], r.range_days, order)
-    prose = [c for c in names if types[c] == "text"]
-    if prose:
-        for r in text.text_stats(df, prose).collect():
-            out[r.column]["text"] = tuple(r)[1:]
+            ),
+            "behavior": (r.outlier_ratio, r.imbalance, r.mode_ratio, r.imbalance),
+        }
+        for r in found
+    }
+
+
+def _distinct(df: DataFrame, names: list[str], texts: set, cfg: Profiling) -> dict[str, dict]:
+    if not names:
+        return {}
+    found = structure.distinct_counts(df, names, cfg.exact_distinct, texts).collect()
+    return {r.column: {"distinct_count": r.distinct_count} for r in found}
+
+
+def _numbers(df: DataFrame, names: list[str], cfg: Profiling) -> dict[str, dict]:
+    stats = numeric.numeric_stats(df, names, cfg) if names else {}
+    behavior = numeric.numeric_behavior(df, stats, cfg) if stats else {}
+    out = {c: {"numeric": tuple(s[f] for f in numeric.NUMERIC_FIELDS)} for c, s in stats.items()}
+    for c, b in behavior.items():
+        out[c]["behavior"] = tuple(b.values())
     return out
 
 
+def _dates(df: DataFrame, names: list[str], order_by: str | None) -> dict[str, dict]:
+    if not names:
+        return {}
+    return {
+        r.column: {
+            "datetime": (
+                r["min"], r["max"], r.range_days,
+                times.monotonic(df, r.column, order_by).first().monotonic if order_by else None,
+            )
+        }
+        for r in times.datetime_stats(df, names).collect()
+    }
+
+
+def _prose(df: DataFrame, names: list[str]) -> dict[str, dict]:
+    found = text.text_stats(df, names).collect() if names else []
+    return {r.column: {"text": tuple(r)[1:]} for r in found}
+
+
+def _pairs(df: DataFrame, names: list[str], cfg: Profiling, key: list[str] | None) -> list | None:
+    if cfg.sample_correlation:
+        df = structure.sample_rows(df, key or df.columns, cfg)
+    found = relations.correlations(df, names, cfg.correlation_method, cfg) if names else None
+    return None if found is None else found.collect()
+
+
 def profile(
     df: DataFrame,
     cfg: Config | Profiling = Profiling(),
@@ -140,42 +154,77 @@ def profile(
     run_id: str = "run",
     dataset_id: str = "dataset",
     key: list[str] | None = None,
+    parts: frozenset[str] | set[str] = PARTS,
 ) -> Profiles:
-    """Profile every column, the dataset and, if enabled, correlations and models."""
+    """Profile every column, the dataset and, if enabled, correlations and models.
+
+    The steps do not depend on each other once types are known, so their jobs are
+    submitted together. `parts` leaves steps out.
+    """
     cfg = cfg.profiling if isinstance(cfg, Config) else cfg
     df = nan_to_null(df)
     spark = df.sparkSession
     ids = (run_id, dataset_id)
+    chosen = set(parts)
+    if not cfg.enable_correlation:
+        chosen.discard("pairs")
+    if not cfg.enable_ml:
+        chosen -= {"classes", "anomalies"}
+
+    def names_if(part: str, names: list[str]) -> list[str]:
+        return names if part in chosen else []
+
     with spread(df) as data:
-        found = _column_rows(data, cfg, order_by)
-        numbers = [c for c, f in found.items() if f["logical_type"] == "numeric"]
-        pairs = None
-        if cfg.enable_correlation:
-            source = data
-            if cfg.sample_correlation:
-                source = structure.sample_rows(data, key or data.columns, cfg)
-            pairs = relations.correlations(source, numbers, cfg.correlation_method, cfg)
-            pairs = None if pairs is None else pairs.collect()
-        classes, anomalies = {}, {}
-        if cfg.enable_ml:
-            classes = semantic.classify(data, cfg)
-            features = [c for c in numbers if c not in (key or [])]
-            anomalies = forest.anomaly_columns(data, features, key, cfg) if features else {}
-        repeated = structure.duplicate_rows(data).first()
-        print_ = structure.fingerprint(data).first()
-
-    order = "column dtype logical_type row_count null_count distinct_count null_ratio unique_ratio duplicate_ratio bytes numeric categorical datetime text behavior".split()
-    rows = []
-    for c, fields in found.items():
-        tags = [classes[c][0]] if c in classes else []
-        rows.append((*ids, c, *[fields.get(name) for name in order[1:]], tags))
-    columns = spark.createDataFrame(rows, COLUMN_SCHEMA)
-
-    total = repeated.row_count
-    cells = total * len(found)
-    types: dict[str, int] = {}
+        found, types = together(
+            spark, lambda: _sizes(data), lambda: categories.infer_types(data, cfg)
+        )
+        by_type: dict[str, list[str]] = {}
+        for c in found:
+            found[c]["logical_type"] = types[c]
+            by_type.setdefault(types[c], []).append(c)
+        numbers, prose = by_type.get("numeric", []), by_type.get("text", [])
+        features = [c for c in numbers if c not in (key or [])]
+        plain = [c for c in structure.countable(df) if types[c] != "categorical"]
+        *columnwise, pairs, classes, anomalies, repeated, mark = together(
+            spark,
+            lambda: _labels(data, names_if("labels", by_type.get("categorical", [])), cfg),
+            lambda: _distinct(data, names_if("distinct", plain), set(prose), cfg),
+            lambda: _numbers(data, names_if("numbers", numbers), cfg),
+            lambda: _dates(data, names_if("dates", by_type.get("datetime", [])), order_by),
+            lambda: _prose(data, names_if("prose", prose)),
+            lambda: _pairs(data, names_if("pairs", numbers), cfg, key),
+            lambda: semantic.classify(data, cfg) if "classes" in chosen else {},
+            lambda: forest.anomaly_columns(data, features, key, cfg)
+            if "anomalies" in chosen and features
+            else {},
+            lambda: structure.duplicate_rows(data).first() if "rows" in chosen else None,
+            lambda: structure.fingerprint(data).first() if "rows" in chosen else None,
+        )
+    for piece in columnwise:
+        for c, fields in piece.items():
+            found[c] |= fields
+    rows = next(iter(found.values()))["row_count"] if found else 0
+    for fields in found.values():
+        distinct = fields.get("distinct_count")
+        if distinct is not None:
+            fields["unique_ratio"] = distinct / rows if rows else 0.0
+            fields["duplicate_ratio"] = (rows - distinct) / rows if rows else 0.0
+
+    order = (
+        "dtype logical_type row_count null_count distinct_count null_ratio unique_ratio "
+        "duplicate_ratio bytes numeric categorical datetime text behavior"
+    ).split()
+    columns = spark.createDataFrame(
+        [
+            (*ids, c, *[f.get(n) for n in order], [classes[c][0]] if c in classes else [])
+            for c, f in found.items()
+        ],
+        COLUMN_SCHEMA,
+    )
+    cells = rows * len(found)
+    type_counts: dict[str, int] = {}
     for f in found.values():
-        types[f["dtype"]] = types.get(f["dtype"], 0) + 1
+        type_counts[f["dtype"]] = type_counts.get(f["dtype"], 0) + 1
     density = None
     if pairs is not None:
         off = [abs(r.value) for r in pairs if r.col1 != r.col2]
@@ -183,10 +232,10 @@ def profile(
     dataset = spark.createDataFrame(
         [
             (
-                *ids, total, len(found), repeated.duplicate_row_ratio,
+                *ids, rows, len(found), repeated.duplicate_row_ratio if repeated else None,
                 sum(f["bytes"] for f in found.values()),
                 sum(f["null_count"] for f in found.values()) / cells if cells else 0.0,
-                types, density, print_.fingerprint,
+                type_counts, density, mark.fingerprint if mark else None,
             )
         ],
         DATASET_SCHEMA,

@@ -118,7 +118,7 @@ INPUTS = {
                ELSE NULL END AS first_column,
           CASE WHEN event_id % 5 = 0 THEN 'categorical' ELSE 'numeric' END AS logical_type,
           CASE WHEN user_id % 8 = 0 THEN 0.05e0 ELSE 1.0e0 END
-            * CASE WHEN value > 400 THEN 1.0e0 ELSE value / 400 END AS severity,
+            * CASE WHEN value > 397 THEN 1.0e0 ELSE value / 397 END AS severity,
           CASE WHEN event_id % 19 IN (16, 17) THEN 0.8e0 ELSE 1.0e0 END AS confidence
         FROM {events} AS e
     """,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cells import col
+from ..sources.sinks import MICROSECONDS
 from .scale import lookup, materialize, range_bucket
 
 EVENT_SCHEMA = """
@@ -66,12 +67,13 @@ def lineage_frame(spark: SparkSession, nodes: list[dict]) -> DataFrame:
 
 def append_events(events: DataFrame, path: str) -> None:
     """Append JSON Lines; a batch becomes files of its own, so writers never clash."""
-    events.write.mode("append").json(path)
+    events.write.mode("append").options(**MICROSECONDS).json(path)
 
 
 def read_events(spark: SparkSession, path: str, trace_id: str | None = None) -> DataFrame:
     """Events read back; a corrupt line raises."""
-    out = spark.read.schema(EVENT_SCHEMA).option("mode", "FAILFAST").json(path)
+    reader = spark.read.schema(EVENT_SCHEMA).option("mode", "FAILFAST").options(**MICROSECONDS)
+    out = reader.json(path)
     return out if trace_id is None else by_trace(out, trace_id)
 
 
@@ -325,12 +327,10 @@ def groups(events: DataFrame, per_chunk: int = EVENTS_PER_CHUNK) -> DataFrame:
     """
     rows = events.select(
         "trace_id", "event_id", "timestamp",
-        F.unix_micros(F.col("timestamp").cast("timestamp")).alias("us"),
         group_class(F.col("name")).alias("cls"),
         (F.col("event_type") == "ui").alias("ui"),
     )
-    rows = materialize(rows)
-    chunked = range_bucket(rows, "us", rows.count(), per_chunk)
+    chunked = range_bucket(rows, ["timestamp", "event_id"], rows.count(), per_chunk)
     order = [F.col("timestamp"), F.col("event_id")]
     inside = Window.partitionBy("trace_id", "bucket").orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -15,11 +15,10 @@ from pyspark.sql import functions as F
 
 from ..config import Profiling
 from ..functions.cells import NUMERIC, as_double, col, columns_of
-from .scale import materialize, one_row, running_total
+from .scale import HOT_SHARE, materialize, one_row, running_total
 
 PAIR_SCHEMA = "col1 string, col2 string, value double"
 NOISE = 1e-13
-HOT_SHARE = 1000
 
 
 def _pairs(names: list[str]) -> list[tuple[str, str]]:

@@ -10,7 +10,6 @@ from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +17,7 @@ from ..functions.cells import col
 
 ROWS_PER_SORT_TASK = 1_000_000
 SPREAD_BYTES = 64 << 20
+HOT_SHARE = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -123,22 +123,17 @@ def per_column(
     return out
 
 
-def range_bucket(df: DataFrame, key: str, rows: int, rows_per_bucket: int) -> DataFrame:
-    """Add `bucket`: order-preserving ranges of `key`, about `rows_per_bucket` rows each.
+def range_bucket(df: DataFrame, keys: list[str], rows: int, rows_per_bucket: int) -> DataFrame:
+    """Add `bucket`: consecutive ranges of the keys, about `rows_per_bucket` rows each.
 
-    Cut points are literals, so a recomputed task lands rows in the same bucket.
+    The ranges come from Spark's range partitioner, so keys of any sortable type
+    work. They are written out once: a bucket number must not change on a rerun.
     """
     wanted = math.ceil(rows / rows_per_bucket)
     if wanted <= 1:
         return df.withColumn("bucket", F.lit(0))
-    probs = [i / wanted for i in range(1, wanted)]
-    cuts = df.agg(
-        F.percentile_approx(col(key).cast("double"), probs, 10 * wanted).alias("c")
-    ).first()["c"]
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    as_number = df.withColumn("__key", col(key).cast("double"))
-    out = Bucketizer(splits=splits, inputCol="__key", outputCol="__b").transform(as_number)
-    return out.withColumn("bucket", F.col("__b").cast("int")).drop("__key", "__b")
+    dealt = df.repartitionByRange(wanted, *[col(k) for k in keys])
+    return materialize(dealt.withColumn("bucket", F.spark_partition_id()))
 
 
 def running_total(
@@ -150,15 +145,11 @@ def running_total(
 ) -> DataFrame:
     """Add `before` = sum of `weight` over smaller keys; keys must be distinct.
 
-    Range buckets sort in parallel; only one total per bucket is summed in order.
-    `at_most` is a known bound on the number of keys: below the size of one bucket
-    nothing is counted or written first.
+    Range buckets are summed in parallel; only one total per bucket is summed in
+    order. `at_most` is a known bound on the number of keys and saves counting them.
     """
-    if at_most is None or at_most > rows_per_bucket:
-        counts = materialize(counts)
-        at_most = counts.count()
-    rows = at_most
-    bucketed = range_bucket(counts, key, rows, rows_per_bucket)
+    rows = counts.count() if at_most is None else at_most
+    bucketed = range_bucket(counts, [key], rows, rows_per_bucket)
     inside = Window.partitionBy("bucket").orderBy(col(key)).rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -177,9 +168,6 @@ def running_total(
     )
 
 
-HOT_SHARE = 1000
-
-
 def lookup(left: DataFrame, right: DataFrame, keys: dict[str, str], total: int) -> DataFrame:
     """Left join to a table unique on its keys; adds `found`, a struct of its columns.
 

@@ -64,19 +64,13 @@ def monotonic(
     sort, so a hot order value is one row. Sorted range buckets are checked in
     parallel and then joined end to end, one row per bucket.
     """
-    kind_of_order = df.schema[order_by].dataType
-    key = (
-        micros(df, order_by)
-        if isinstance(kind_of_order, (T.DateType, T.TimestampType, T.TimestampNTZType))
-        else col(order_by)
-    )
     steps = (
         df.where(col(name).isNotNull() & col(order_by).isNotNull())
-        .groupBy(key.alias("k"))
+        .groupBy(col(order_by).alias("k"))
         .agg(F.min(col(name)).alias("low"), F.max(col(name)).alias("high"))
     )
     steps = materialize(steps)
-    bucketed = range_bucket(steps, "k", steps.count(), rows_per_bucket)
+    bucketed = range_bucket(steps, ["k"], steps.count(), rows_per_bucket)
     inside = Window.partitionBy("bucket").orderBy("k")
     checked = bucketed.withColumn("prev", F.lag("high").over(inside)).groupBy("bucket").agg(
         F.count_if(F.col("prev") > F.col("low")).alias("falls"),

@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+# Text forms of times that keep every digit.
+MICROSECONDS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV with header, one file per partition; times keep their microseconds."""
@@ -11,11 +16,11 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
         df.write.mode(mode)
         .option("header", True)
         .option("escape", '"')
-        .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+        .options(**MICROSECONDS)
         .csv(path)
     )
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One record per line."""
-    df.write.mode(mode).option("ignoreNullFields", False).json(path)
+    df.write.mode(mode).option("ignoreNullFields", False).options(**MICROSECONDS).json(path)

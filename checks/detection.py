@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from qualityframe.config import Config
 from qualityframe.operators import detectors
+from qualityframe.plans.analyze import inspect
 from qualityframe.plans.profile import Profiles, profile
 
 from .inputs import frame, sql, table
@@ -259,9 +260,8 @@ def _all(spark, sf_dir) -> DataFrame:
     parts = {"labels", "distinct", "numbers", "pairs", "classes", "rows"}
     registry = detectors.Registry()
     registry.models.remove(detectors.anomalies)  # compared by property tests instead
-    return shown(
-        detectors.detect(context(frame(spark, sf_dir, "dirt"), parts, cfg), registry)
-    )
+    _, found = inspect(frame(spark, sf_dir, "dirt"), cfg, registry=registry, parts=parts)
+    return shown(found)
 
 
 QUERIES["all_findings"] = _all

@@ -127,3 +127,9 @@ def row_digest(names: list[str], schema: T.StructType) -> list[Column]:
 def safe_ratio(a: Column, b: Column) -> Column:
     """a / b as double, 0 when b is 0."""
     return F.when(b != 0, a.cast("double") / b.cast("double")).otherwise(F.lit(0.0))
+
+
+def sketch_distinct(c: Column) -> Column:
+    """Estimated number of distinct non-null values, 1.6 % standard error."""
+    hashed = F.when(c.isNotNull(), F.xxhash64(c))
+    return F.hll_sketch_estimate(F.hll_sketch_agg(hashed, 12))

@@ -14,9 +14,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config, Detection
-from ..functions.cells import TEXTUAL, col, columns_of, nan_to_null, parse_number, row_digest
+from ..functions.cells import (
+    TEXTUAL,
+    col,
+    columns_of,
+    nan_to_null,
+    parse_number,
+    row_digest,
+    sketch_distinct,
+)
 from . import forest, semantic
-from .scale import one_row, per_column
+from .scale import dealt, one_row, per_column, spread
 
 FINDING_COLUMNS = (
     "run_id dataset_id kind detector issue_type dimension column columns scope severity "
@@ -99,6 +107,7 @@ def _over(
     dimension: str,
     words: str,
     severity: Column | None = None,
+    **extra: Column,
 ) -> DataFrame:
     """One finding per column whose value exceeds a limit."""
     return finding(
@@ -108,7 +117,7 @@ def _over(
         dimension,
         value if severity is None else severity,
         F.concat(F.col("column"), F.lit(" " + words + " "), F.format_string("%.4f", value.cast("double"))),
-        {"observed_value": value, "threshold": F.lit(limit)},
+        {"observed_value": value, "threshold": F.lit(limit), **extra},
         F.col("column"),
     )
 
@@ -233,46 +242,44 @@ def quasi_columns(c: Context) -> list[str]:
     return sorted({r.column for r in [*by_name, *by_class]})
 
 
+COMBO_SCHEMA = "columns array<string>, distinct_count bigint, row_count bigint, ratio double"
+
+
 def combination_uniqueness(
     df: DataFrame, names: list[str], at_least: float = 0.0
 ) -> DataFrame:
     """(columns, distinct_count, row_count, ratio) for every pair and triple of columns.
 
     A sketch pass drops combinations that cannot reach `at_least`; the rest are
-    counted exactly in one scan, each row sending 20 bytes per combination.
+    counted exactly in one scan, each row sending 20 bytes per combination. Only
+    the counts, one per combination, come back.
     """
-    combos = [
-        list(k) for r in (2, 3) for k in itertools.combinations(names, r)
-    ]
-    rows = df.count()
-    if at_least > 0 and rows:
-        digests = {
-            str(i): F.approx_count_distinct(row_digest(k, df.schema)[0], COMBO_SKETCH_ERROR)
+    combos = [list(k) for r in (2, 3) for k in itertools.combinations(names, r)]
+    with spread(df.select(*[col(c) for c in names])) as data:
+        rows = data.count()
+        if at_least > 0 and rows:
+            digests = {
+                str(i): sketch_distinct(row_digest(k, df.schema)[0])
+                for i, k in enumerate(combos)
+            }
+            sketch = one_row(data, digests, batch=6)
+            floor = at_least * rows * (1 - 6 * COMBO_SKETCH_ERROR)
+            combos = [k for i, k in enumerate(combos) if sketch[str(i)] >= floor]
+        if not combos or not rows:
+            return df.sparkSession.createDataFrame([], COMBO_SCHEMA)
+        slots = [
+            F.struct(F.lit(i).alias("slot"), *row_digest(k, df.schema))
             for i, k in enumerate(combos)
-        }
-        sketch = one_row(df, digests, batch=16)
-        floor = at_least * rows * (1 - 6 * COMBO_SKETCH_ERROR)
-        combos = [k for i, k in enumerate(combos) if sketch[str(i)] >= floor]
-    schema = "columns array<string>, distinct_count bigint, row_count bigint, ratio double"
-    if not combos or not rows:
-        return df.sparkSession.createDataFrame([], schema)
-    slots = [
-        F.struct(F.lit(i).alias("slot"), *row_digest(k, df.schema)) for i, k in enumerate(combos)
-    ]
-    counted = (
-        df.select(F.inline(F.array(*slots)))
-        .groupBy("slot", "h1", "h2")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("slot")
-        .agg(F.count(F.lit(1)).alias("distinct_count"))
-    )
-    listed = F.array(*[F.array(*[F.lit(x) for x in k]) for k in combos])
-    return counted.select(
-        F.get(listed, F.col("slot")).alias("columns"),
-        "distinct_count",
-        F.lit(rows).cast("long").alias("row_count"),
-        (F.col("distinct_count") / F.lit(float(rows))).alias("ratio"),
-    )
+        ]
+        counted = (
+            data.select(F.inline(F.array(*slots)))
+            .distinct()
+            .groupBy("slot")
+            .agg(F.count(F.lit(1)).alias("n"))
+            .collect()
+        )
+    found = [(combos[r.slot], r.n, rows, r.n / rows) for r in counted]
+    return df.sparkSession.createDataFrame(found, COMBO_SCHEMA)
 
 
 def quasi_identifiers(c: Context) -> DataFrame | None:
@@ -344,7 +351,7 @@ def pattern(c: Context) -> DataFrame | None:
     if not names:
         return None
     share = per_column(
-        c.data, names,
+        dealt(c.data.select(*[col(n) for n in names])), names,
         lambda n: {"share": F.avg(col(n).cast("string").rlike(c.pattern).cast("double"))},
     )
     rows = c.columns.join(F.broadcast(share), "column").where(F.col("share") < c.limits.pattern)
@@ -377,17 +384,9 @@ def value_range(c: Context) -> DataFrame | None:
 
 def outliers(c: Context) -> DataFrame:
     """Outlier share above the limit, numeric and categorical alike."""
-    found = _over(
+    return _over(
         c.columns, F.col("behavior.outlier_ratio"), c.limits.outlier_ratio, "OutlierDetector",
-        "outliers", "validity", "has outlier share",
-    )
-    kinds = c.columns.select("run_id", "dataset_id", "column", "logical_type")
-    return (
-        found.join(F.broadcast(kinds), ["run_id", "dataset_id", "column"])
-        .withColumn(
-            "metrics", F.map_concat("metrics", F.create_map(F.lit("logical_type"), "logical_type"))
-        )
-        .select(*FINDING_COLUMNS)
+        "outliers", "validity", "has outlier share", logical_type=F.col("logical_type"),
     )
 
 
@@ -412,7 +411,7 @@ def rare(c: Context) -> DataFrame:
 def numeric_text(df: DataFrame, names: list[str]) -> DataFrame:
     """(column, share) of non-null texts that are numbers."""
     return per_column(
-        df, names,
+        dealt(df.select(*[col(n) for n in names])), names,
         lambda n: {
             "share": F.try_divide(F.count(parse_number(col(n))).cast("double"), F.count(col(n)))
         },
@@ -483,7 +482,7 @@ def bias(c: Context) -> DataFrame:
     """Sensitive columns (by name or class) with one dominant label."""
     labels = c.classes.select("run_id", "dataset_id", "column", "predicted_class")
     named = semantic.name_has(semantic.SENSITIVE, F.col("column"), c.limits.whole_word_keywords)
-    rows = c.columns.join(F.broadcast(labels), ["run_id", "dataset_id", "column"], "left").where(
+    rows = c.columns.join(labels, ["run_id", "dataset_id", "column"], "left").where(
         (named | F.coalesce(F.col("predicted_class").isin(semantic.SENSITIVE), F.lit(False)))
         & (F.col("categorical.mode_ratio") > c.limits.bias)
     )

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..config import Profiling
 from ..functions.cells import NUMERIC, as_double, col, columns_of
-from .scale import one_row, spread
+from .scale import dealt, one_row, spread
 
 TREE_ROWS = 256
 TABLE_TREES = 100
@@ -202,6 +202,7 @@ def score_rows(
     names = names or [c for c in columns_of(df, NUMERIC) if c not in (key or [])]
     if not names:
         return None
+    df = dealt(df)
     missing = F.greatest(*[col(c).isNull().cast("int") for c in names], F.lit(0))
     rows, complete = df.agg(F.count(F.lit(1)), F.count_if(missing == 0)).first()
     if rows < cfg.min_rows_anomaly_detection or complete < 2:

@@ -54,7 +54,7 @@ def _bracket(df: DataFrame, wanted: dict, counts: dict, margin: float, accuracy:
         points = sorted({min(max(p + s * margin, 0.0), 1.0) for p in probs for s in (-1, 1)})
         keys[c] = points
         exprs[c] = F.percentile_approx(as_double(c), points, accuracy)
-    found = one_row(df, exprs, batch=8)
+    found = one_row(df, exprs, batch=4)
     out = {}
     for c, probs in wanted.items():
         at = dict(zip(keys[c], found[c]))
@@ -236,7 +236,7 @@ def _numeric_stats(df: DataFrame, names: list[str], cfg: Profiling) -> dict[str,
         d2 = d * d
         for i, e in enumerate((d, d2, d2 * d, d2 * d2), start=1):
             exprs[f"{c}\0{i}"] = F.sum(e)
-    sums = one_row(df, exprs, batch=32) if exprs else {}
+    sums = one_row(df, exprs, batch=16) if exprs else {}
     quart = quantiles(
         df,
         {c: list(QUARTILES) for c in live},

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from functools import partial
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,6 +19,7 @@ from ..functions.cells import col
 ROWS_PER_SORT_TASK = 1_000_000
 SPREAD_BYTES = 64 << 20
 HOT_SHARE = 1000
+JOBS_AT_ONCE = 10
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,29 +50,36 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-@contextmanager
-def spread(df: DataFrame) -> Iterator[DataFrame]:
-    """Use every core for repeated scans of a small input.
+def dealt(df: DataFrame) -> DataFrame:
+    """A small input dealt out to all cores; anything larger or cached as it is.
 
-    A small file is often one row group, hence one busy task. Below a checked size
-    it is dealt out to all cores and kept while the block runs; larger inputs
-    already have enough splits and are left alone.
+    A small file is often one row group, hence one busy task. Larger inputs already
+    have enough splits.
     """
     query = df._jdf.queryExecution()
     size = int(str(query.optimizedPlan().stats().sizeInBytes()))
     if size > SPREAD_BYTES or "InMemoryRelation" in query.withCachedData().toString():
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+@contextmanager
+def spread(df: DataFrame) -> Iterator[DataFrame]:
+    """For repeated scans: deal out a small input and keep it while the block runs."""
+    out = dealt(df)
+    if out is df:
         yield df
         return
-    dealt = df.repartition(df.sparkSession.sparkContext.defaultParallelism).persist()
+    out.persist()
     try:
-        yield dealt
+        yield out
     finally:
-        dealt.unpersist()
+        out.unpersist()
 
 
 def together(spark: SparkSession, *steps: Callable) -> list:
     """Submit independent jobs side by side, so one job's tail does not idle the cluster."""
-    with ThreadPoolExecutor(max_workers=len(steps)) as pool:
+    with ThreadPoolExecutor(max_workers=min(len(steps), JOBS_AT_ONCE)) as pool:
         waiting = [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]
         return [w.result() for w in waiting]
 
@@ -80,19 +89,24 @@ def pin(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
-def one_row(df: DataFrame, exprs: dict[str, Column], batch: int = 48) -> dict:
+def one_row(df: DataFrame, exprs: dict[str, Column], batch: int = 16) -> dict:
     """Run a wide global aggregate in batches and return {name: value}.
 
-    Batches keep generated code small; each reads only the columns it names.
+    Narrow aggregates stay below the size the JVM compiles to machine code. Each
+    batch reads only the columns it names; batches are submitted together.
     """
     names = list(exprs)
     parts = [names[i : i + batch] for i in range(0, len(names), batch)]
+
+    def run(part: list[str]) -> dict:
+        row = df.agg(*[exprs[n].alias(f"x{i}") for i, n in enumerate(part)]).first()
+        return dict(zip(part, row))
+
+    if len(parts) == 1:
+        return run(parts[0])
     out: dict = {}
-    for part in parts:
-        row = df.agg(
-            *[exprs[n].alias(f"x{i}") for i, n in enumerate(part)]
-        ).first()
-        out.update(zip(part, row))
+    for found in together(df.sparkSession, *[partial(run, part) for part in parts]):
+        out |= found
     return out
 
 

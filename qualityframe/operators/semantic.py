@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..config import Detection, Profiling
 from ..functions.cells import DATETIME, TEXTUAL, col, kind
-from .scale import one_row
+from .scale import dealt, one_row
 from .structure import sample_rows
 
 # Classes in tie-break order, value pattern, words in the column name.
@@ -56,27 +56,44 @@ PERSONAL = {
 }
 SENSITIVE = ["gender", "sex", "race", "ethnicity", "age", "religion", "disability"]
 
+# How long a value of a class can be, as its pattern implies; a final line break is allowed.
+LENGTHS = {
+    "email": (6, None),
+    "phone": (7, 21),
+    "credit_card": (13, 16),
+    "ssn": (9, 11),
+    "date_of_birth": (10, 10),
+    "ip_address": (7, 15),
+    "identifier": (1, None),
+    "country_code": (2, 3),
+}
+LINE_BREAK = 2
+
 # Classes the digits of a whole number can spell.
 NUMBER_CLASSES = {"phone", "credit_card", "ssn", "identifier"}
 
 SEMANTIC_SCHEMA = "column string, predicted_class string, confidence double"
 
 
-def matches(c: Column, pattern: str) -> Column:
-    return c.rlike("(?U)" + pattern)
+def matches(c: Column, label: str, pattern: str) -> Column:
+    """Does a text match a class? Most values are settled by their length alone."""
+    low, high = LENGTHS[label]
+    size = F.char_length(c)
+    fits = size >= low if high is None else size.between(low, high + LINE_BREAK)
+    return F.when(c.isNull(), None).otherwise(fits & c.rlike("(?U)" + pattern))
 
 
 def _share(df: DataFrame, name: str, label: str, pattern: str) -> Column | None:
     """Share of values that match; None when the type cannot spell the class."""
     t = df.schema[name].dataType
     if kind(t) == TEXTUAL:
-        return F.avg(matches(col(name), pattern).cast("double"))
+        return F.avg(matches(col(name), label, pattern).cast("double"))
     whole = isinstance(t, T.IntegralType) or (isinstance(t, T.DecimalType) and t.scale == 0)
     if whole and label in NUMBER_CLASSES:
-        return F.avg(matches(col(name).cast("string"), pattern).cast("double"))
+        return F.avg(matches(col(name).cast("string"), label, pattern).cast("double"))
     if kind(t) == DATETIME and label == "date_of_birth":
         # a column of pure dates is written as dates; one time of day turns all into timestamps
-        return F.min((col(name) == F.date_trunc("DAY", col(name))).cast("double"))
+        return F.min((col(name) == col(name).cast("date").cast(t)).cast("double"))
     return None
 
 
@@ -94,10 +111,11 @@ def classify(df: DataFrame, cfg: Profiling = Profiling()) -> dict[str, tuple[str
                 exprs[f"{f.name}\0{label}"] = share
     if not exprs:
         return {}
+    df = dealt(df)
     if cfg.semantic_sample_size:
         size = cfg.semantic_sample_size
         df = sample_rows(df, df.columns, replace(cfg, sampling_threshold=size, sample_size=size))
-    shares = one_row(df, exprs, batch=32)
+    shares = one_row(df, exprs, batch=8)
     out = {}
     for name in sorted(df.columns):
         best = None
@@ -120,9 +138,9 @@ def semantic_class(df: DataFrame, cfg: Profiling = Profiling()) -> DataFrame:
 
 
 def tag_columns(profile: DataFrame, classes: DataFrame) -> DataFrame:
-    """Attach the class of each column as its semantic tag. Both sides: one row per column."""
+    """Attach the class of each column as its semantic tag."""
     return (
-        profile.join(F.broadcast(classes.select("column", "predicted_class")), "column", "left")
+        profile.join(classes.select("column", "predicted_class"), "column", "left")
         .withColumn(
             "semantic_tags",
             F.when(F.col("predicted_class").isNotNull(), F.array("predicted_class")).otherwise(

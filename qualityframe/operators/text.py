@@ -14,7 +14,7 @@ from ..functions.cells import (
     count_spaces,
     count_special,
 )
-from .scale import per_column
+from .scale import dealt, per_column
 
 
 def text_stats(df: DataFrame, names: list[str]) -> DataFrame:
@@ -33,7 +33,7 @@ def text_stats(df: DataFrame, names: list[str]) -> DataFrame:
             ),
         }
 
-    return per_column(df, names, stats, batch=6)
+    return per_column(dealt(df.select(*[col(c) for c in names])), names, stats, batch=6)
 
 
 def text_profile(

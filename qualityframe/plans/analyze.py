@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.cells import nan_to_null
 from ..operators import audit, detectors, planning, repair, scoring
-from ..operators.scale import materialize, pin
+from ..operators.scale import materialize, pin, spread
 from ..sources.readers import load
-from .profile import Profiles, profile
+from .profile import PARTS, Profiles, profile
 
 
 @dataclass
@@ -99,6 +99,29 @@ class Recorder:
             )
 
 
+def inspect(
+    df: DataFrame,
+    cfg: Config = Config(),
+    baseline: Profiles | None = None,
+    order_by: str | None = None,
+    key: list[str] | None = None,
+    dataset_id: str = "dataset",
+    run_id: str = "run",
+    registry: detectors.Registry | None = None,
+    profiles: Profiles | None = None,
+    parts: frozenset[str] | set[str] = PARTS,
+) -> tuple[Profiles, DataFrame]:
+    """Profile and detect over one shared copy of a small input."""
+    with spread(nan_to_null(df)) as data:
+        if profiles is None:
+            profiles = profile(data, cfg, order_by, run_id, dataset_id, key, parts)
+        context = detectors.Context(
+            profiles.columns, profiles.dataset, profiles.correlations, profiles.classes(), data,
+            None if baseline is None else baseline.columns, cfg, key,
+        )
+        return profiles, pin(detectors.detect(context, registry))
+
+
 def analyze(
     source: DataFrame | str,
     cfg: Config = Config(),
@@ -129,14 +152,10 @@ def analyze(
     log.event("read", "data_ingress", columns=df.columns)
     log.node("read", source if isinstance(source, str) else "frame", df.columns)
 
-    if profiles is None:
-        profiles = profile(df, cfg, order_by, run_id, dataset_id, key)
-    log.event("profile", "profiling", columns=len(df.columns))
-    context = detectors.Context(
-        profiles.columns, profiles.dataset, profiles.correlations, profiles.classes(), df,
-        None if baseline is None else baseline.columns, cfg, key,
+    profiles, findings = inspect(
+        df, cfg, baseline, order_by, key, dataset_id, run_id, registry, profiles
     )
-    findings = pin(detectors.detect(context, registry))
+    log.event("profile", "profiling", columns=len(df.columns))
     log.event("detect", "result", findings=findings.count())
     scores = pin(scoring.score(findings, cfg.weights))
     decisions = pin(scoring.decisions(scores, profiles.dataset))

@@ -75,7 +75,7 @@ def _sizes(df: DataFrame) -> dict[str, dict]:
     for c in sorted(fields):
         exprs[f"{c}\0null"] = F.count_if(col(c).isNull())
         exprs[f"{c}\0bytes"] = structure.byte_size(fields[c])
-    flat = one_row(df, exprs, batch=64)
+    flat = one_row(df, exprs, batch=24)
     rows = flat["\0rows"]
     return {
         c: {

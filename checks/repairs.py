@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from qualityframe.config import AUTOMATIC, Config
 from qualityframe.operators import repair
 from qualityframe.operators.planning import PLAN_COLUMNS
+from qualityframe.operators.scale import local_frame
 from qualityframe.plans import analyze
 
 from .inputs import frame, sql, table
@@ -130,7 +131,7 @@ def _plan(spark, actions: list[tuple]) -> DataFrame:
         for i, (op, column, params, kind) in enumerate(actions, start=1)
     ]
     types = "string string bigint string string string string map<string,string> string boolean boolean".split()
-    return spark.createDataFrame(rows, ", ".join(f"`{c}` {t}" for c, t in zip(PLAN_COLUMNS, types)))
+    return local_frame(spark, rows, ", ".join(f"`{c}` {t}" for c, t in zip(PLAN_COLUMNS, types)))
 
 
 def _heal(spark, sf_dir) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,51 +79,58 @@ def parse_number(c: Column) -> Column:
     )
 
 
-def count_digits(c: Column) -> Column:
-    return F.char_length(F.regexp_replace(c, NOT_DIGITS, ""))
+def q(name: str) -> str:
+    """A column name quoted for SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def dbl(name: str) -> str:
+    return f"CAST({q(name)} AS DOUBLE)"
+
+
+def number(value: float) -> str:
+    """A double as a SQL literal with all its digits."""
+    if math.isinf(value):
+        return f"CAST('{'-' if value < 0 else ''}Infinity' AS DOUBLE)"
+    return f"({value!r}D)"
+
 
+def raw(pattern: str) -> str:
+    """A regular expression as a raw SQL string."""
+    return f"r'{pattern}'"
 
-def count_spaces(c: Column) -> Column:
-    return F.char_length(F.regexp_replace(c, NOT_SPACES, ""))
 
+def word(value: str) -> str:
+    """Any text as a SQL string."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def count_special(c: Column) -> Column:
-    return F.char_length(F.regexp_replace(c, NOT_SPECIAL, ""))
 
+def characters_left(name: str, removed: str) -> str:
+    """Characters that remain when all runs of a pattern are removed."""
+    return f"char_length(regexp_replace({q(name)}, {raw(removed)}, ''))"
 
-def short_key(c: Column, limit: int = 64) -> Column:
+
+def short_key(name: str, limit: int = 64) -> str:
     """A grouping key for long text: itself when short, else its SHA-256.
 
     Keeps documents out of the shuffle; the digest stands for the whole text.
     """
-    return F.when(F.octet_length(c) <= limit, c).otherwise(
-        F.concat(F.lit("sha256:"), F.sha2(c, 256))
-    )
+    c = q(name)
+    return f"CASE WHEN octet_length({c}) <= {limit} THEN {c} ELSE concat('sha256:', sha2({c}, 256)) END"
 
 
-def row_digest(names: list[str], schema: T.StructType) -> list[Column]:
+def row_digest(names: list[str], schema: T.StructType) -> tuple[str, str]:
     """Two 64-bit hashes over the whole row, 16 bytes whatever the row width.
 
     A null does not move Spark's hash, so the null pattern is hashed first.
     Maps are hashed through their sorted entries.
     """
-    types = {f.name: f.dataType for f in schema.fields}
-
-    def hashable(name: str) -> Column:
-        if isinstance(types[name], T.MapType):
-            return F.array_sort(F.map_entries(col(name)))
-        return col(name)
-
+    maps = {f.name for f in schema.fields if isinstance(f.dataType, T.MapType)}
     if not names:
-        return [F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2")]
-    nulls = F.concat(
-        *[F.when(col(c).isNull(), "1").otherwise("0") for c in names]
-    )
-    values = [hashable(c) for c in names]
-    return [
-        F.xxhash64(nulls, *values).alias("h1"),
-        F.xxhash64(F.lit("second"), nulls, *values).alias("h2"),
-    ]
+        return "0L", "0L"
+    nulls = "concat(" + ", ".join(f"if({q(c)} IS NULL, '1', '0')" for c in names) + ")"
+    values = ", ".join(f"array_sort(map_entries({q(c)}))" if c in maps else q(c) for c in names)
+    return f"xxhash64({nulls}, {values})", f"xxhash64('second', {nulls}, {values})"
 
 
 def safe_ratio(a: Column, b: Column) -> Column:
@@ -129,7 +138,6 @@ def safe_ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a.cast("double") / b.cast("double")).otherwise(F.lit(0.0))
 
 
-def sketch_distinct(c: Column) -> Column:
-    """Estimated number of distinct non-null values, 1.6 % standard error."""
-    hashed = F.when(c.isNotNull(), F.xxhash64(c))
-    return F.hll_sketch_estimate(F.hll_sketch_agg(hashed, 12))
+def sketch_distinct(value: str) -> str:
+    """Estimated number of distinct values of a hash, 1.6 % standard error."""
+    return f"hll_sketch_estimate(hll_sketch_agg({value}, 12))"

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.cells import col
 from ..sources.sinks import MICROSECONDS
-from .scale import lookup, materialize, range_bucket
+from .scale import local_frame, lookup, materialize, range_bucket
 
 EVENT_SCHEMA = """
 event_id string, trace_id string, parent_event_id string, component string, event_type string,
@@ -49,7 +49,7 @@ def event_frame(spark: SparkSession, events: list[dict]) -> DataFrame:
             return json.dumps(v, default=str, ensure_ascii=False)
         return v
 
-    return spark.createDataFrame([tuple(cell(e, n) for n in names) for e in events], EVENT_SCHEMA)
+    return local_frame(spark, [tuple(cell(e, n) for n in names) for e in events], EVENT_SCHEMA)
 
 
 def lineage_frame(spark: SparkSession, nodes: list[dict]) -> DataFrame:
@@ -62,7 +62,7 @@ def lineage_frame(spark: SparkSession, nodes: list[dict]) -> DataFrame:
         )
         for n in nodes
     ]
-    return spark.createDataFrame(rows, LINEAGE_SCHEMA)
+    return local_frame(spark, rows, LINEAGE_SCHEMA)
 
 
 def append_events(events: DataFrame, path: str) -> None:

@@ -14,10 +14,11 @@ from ..functions.cells import (
     col,
     columns_of,
     kind,
+    q,
     safe_ratio,
     sketch_distinct,
 )
-from .scale import one_row
+from .scale import local_frame, one_row
 from .structure import distinct_counts, value_groups
 
 SKETCH_ERROR = 0.02  # above the 1.6 % standard error of the sketch
@@ -28,9 +29,9 @@ def text_shape(df: DataFrame, names: list[str]) -> dict[str, dict]:
     """Non-null count, mean length and a distinct-count sketch, in one scan."""
     exprs = {}
     for c in names:
-        exprs[f"{c}\0n"] = F.count(col(c))
-        exprs[f"{c}\0mean"] = F.avg(F.char_length(col(c)))
-        exprs[f"{c}\0approx"] = sketch_distinct(col(c))
+        exprs[f"{c}\0n"] = f"count({q(c)})"
+        exprs[f"{c}\0mean"] = f"avg(char_length({q(c)}))"
+        exprs[f"{c}\0approx"] = sketch_distinct(f"if({q(c)} IS NULL, NULL, xxhash64({q(c)}))")
     flat = one_row(df, exprs, batch=18) if exprs else {}
     return {c: {k: flat[f"{c}\0{k}"] for k in ("n", "mean", "approx")} for c in names}
 
@@ -78,7 +79,7 @@ def logical_types(df: DataFrame, cfg: Profiling = Profiling()) -> DataFrame:
     types = infer_types(df, cfg)
     dtypes = dict(df.dtypes)
     rows = [(c, dtypes[c], t) for c, t in sorted(types.items())]
-    return df.sparkSession.createDataFrame(rows, "column string, dtype string, logical_type string")
+    return local_frame(df.sparkSession, rows, "column string, dtype string, logical_type string")
 
 
 def value_counts(df: DataFrame, names: list[str]) -> DataFrame:

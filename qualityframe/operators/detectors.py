@@ -15,16 +15,20 @@ from pyspark.sql import functions as F
 
 from ..config import Config, Detection
 from ..functions.cells import (
+    INFINITE,
+    PLAIN_NUMBER,
     TEXTUAL,
     col,
     columns_of,
+    dbl,
     nan_to_null,
-    parse_number,
+    q,
+    raw,
     row_digest,
     sketch_distinct,
 )
 from . import forest, semantic
-from .scale import dealt, one_row, per_column, spread
+from .scale import dealt, local_frame, one_row, per_column, spread
 
 FINDING_COLUMNS = (
     "run_id dataset_id kind detector issue_type dimension column columns scope severity "
@@ -188,7 +192,7 @@ def imbalance(c: Context) -> DataFrame:
     names = [n for n, t in c.data.dtypes if t == "boolean"]
     if not names:
         return found
-    share = per_column(c.data, names, lambda n: {"t": F.avg(col(n).cast("double"))}).select(
+    share = per_column(c.data, names, lambda n: {"t": f"avg({dbl(n)})"}).select(
         "column", F.greatest("t", 1 - F.col("t")).alias("share")
     )
     rows = c.columns.join(F.broadcast(share), "column")
@@ -266,20 +270,20 @@ def combination_uniqueness(
             floor = at_least * rows * (1 - 6 * COMBO_SKETCH_ERROR)
             combos = [k for i, k in enumerate(combos) if sketch[str(i)] >= floor]
         if not combos or not rows:
-            return df.sparkSession.createDataFrame([], COMBO_SCHEMA)
+            return local_frame(df.sparkSession, [], COMBO_SCHEMA)
         slots = [
-            F.struct(F.lit(i).alias("slot"), *row_digest(k, df.schema))
+            "named_struct('slot', {}, 'h1', {}, 'h2', {})".format(i, *row_digest(k, df.schema))
             for i, k in enumerate(combos)
         ]
         counted = (
-            data.select(F.inline(F.array(*slots)))
+            data.selectExpr(f"inline(array({', '.join(slots)}))")
             .distinct()
             .groupBy("slot")
             .agg(F.count(F.lit(1)).alias("n"))
             .collect()
         )
     found = [(combos[r.slot], r.n, rows, r.n / rows) for r in counted]
-    return df.sparkSession.createDataFrame(found, COMBO_SCHEMA)
+    return local_frame(df.sparkSession, found, COMBO_SCHEMA)
 
 
 def quasi_identifiers(c: Context) -> DataFrame | None:
@@ -352,7 +356,9 @@ def pattern(c: Context) -> DataFrame | None:
         return None
     share = per_column(
         dealt(c.data.select(*[col(n) for n in names])), names,
-        lambda n: {"share": F.avg(col(n).cast("string").rlike(c.pattern).cast("double"))},
+        lambda n: {
+            "share": f"avg(CAST(CAST({q(n)} AS STRING) RLIKE {raw(c.pattern)} AS DOUBLE))"
+        },
     )
     rows = c.columns.join(F.broadcast(share), "column").where(F.col("share") < c.limits.pattern)
     return finding(
@@ -413,7 +419,8 @@ def numeric_text(df: DataFrame, names: list[str]) -> DataFrame:
     return per_column(
         dealt(df.select(*[col(n) for n in names])), names,
         lambda n: {
-            "share": F.try_divide(F.count(parse_number(col(n))).cast("double"), F.count(col(n)))
+            "share": f"avg(CASE WHEN {q(n)} IS NULL THEN NULL WHEN {q(n)} RLIKE {raw(PLAIN_NUMBER)} "
+            f"OR {q(n)} RLIKE {raw(INFINITE)} THEN 1D ELSE 0D END)"
         },
     )
 

@@ -8,6 +8,7 @@ Arrow function that scores every row in place.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Profiling
-from ..functions.cells import NUMERIC, as_double, col, columns_of
-from .scale import dealt, one_row, spread
+from ..functions.cells import NUMERIC, as_double, col, columns_of, dbl, q
+from .scale import dealt, local_frame, one_row, spread
 
 TREE_ROWS = 256
 TABLE_TREES = 100
@@ -55,7 +56,7 @@ def _grow(x: np.ndarray, rng: np.random.Generator, height: int) -> tuple[list, .
         usable = np.flatnonzero(high > low)
         if not len(usable):
             continue
-        f = int(rng.choice(usable))
+        f = int(usable[int(rng.random() * len(usable))])
         at = float(rng.uniform(low[f], high[f]))
         goes_left = x[rows, f] <= at
         if goes_left.all():  # the draw hit the top value
@@ -67,6 +68,29 @@ def _grow(x: np.ndarray, rng: np.random.Generator, height: int) -> tuple[list, .
     return feature, cut, left, right, length
 
 
+def _grow_sorted(x: list[float], rng: np.random.Generator, height: int) -> tuple[list, list]:
+    """A one-feature tree on sorted values: its cuts and leaf path lengths, left to right."""
+    cuts, lengths = [], []
+    draws = iter(rng.random(4 * len(x) + 4).tolist())
+
+    def split(first: int, last: int, depth: int) -> None:
+        low, high = x[first], x[last - 1]
+        if depth >= height or last - first <= 1 or low == high:
+            lengths.append(depth + mean_depth(last - first))
+            return
+        at = low + (high - low) * next(draws)
+        middle = bisect_right(x, at, first, last)
+        if middle == last:  # the draw hit the top value
+            at = low
+            middle = bisect_right(x, at, first, last)
+        split(first, middle, depth + 1)
+        cuts.append(at)
+        split(middle, last, depth + 1)
+
+    split(0, len(x), 0)
+    return cuts, lengths
+
+
 def _hash(key: list[Column], *salt: int) -> Column:
     """A hash in [0, HASH_SPAN) of the row key."""
     return F.pmod(F.xxhash64(*[F.lit(s) for s in salt], *key), F.lit(HASH_SPAN))
@@ -226,7 +250,7 @@ def anomaly_rows(
     schema = "samples bigint, anomaly_count bigint, anomaly_ratio double"
     scored = score_rows(df, names, key, cfg=cfg)
     if scored is None:
-        return df.sparkSession.createDataFrame([], schema)
+        return local_frame(df.sparkSession, [], schema)
     return scored.agg(
         F.count(F.lit(1)).alias("samples"),
         F.count_if("is_anomaly").alias("anomaly_count"),
@@ -234,20 +258,16 @@ def anomaly_rows(
     )
 
 
-def _steps(forest: Forest) -> tuple[np.ndarray, np.ndarray]:
-    """A one-feature forest as a step function: breakpoints and the score of each step.
-
-    Trees are stored left subtree first, so leaves come in order of their values
-    and meet the sorted cuts one by one.
-    """
-    inner = [(np.sort(t[1][t[0] >= 0]), t[4][t[0] < 0]) for t in forest.trees]
+def _steps(trees: list[tuple[list, list]], psi: int) -> tuple[np.ndarray, np.ndarray]:
+    """A one-feature forest as a step function: breakpoints and the score of each step."""
+    inner = [(np.array(c), np.array(n)) for c, n in trees]
     cuts = np.unique(np.concatenate([c for c, _ in inner]))
     total = np.zeros(len(cuts) + 1)
     for c, lengths in inner:
         # step i ends at cuts[i]; a value equal to a cut goes left
         total[:-1] += lengths[np.searchsorted(c, cuts, side="left")]
         total[-1] += lengths[-1]
-    return cuts, np.exp2(-total / (len(inner) * forest.scale))
+    return cuts, np.exp2(-total / (len(inner) * (mean_depth(psi) or 1.0)))
 
 
 def anomaly_columns(
@@ -269,7 +289,7 @@ def anomaly_columns(
 
 def _anomaly_columns(df, names, key, cfg) -> dict[str, tuple[float, float]]:
     trees, seed = cfg.anomaly_n_estimators, cfg.global_seed
-    counts = one_row(df, {c: F.count(col(c)) for c in names}) if names else {}
+    counts = one_row(df, {c: f"count({q(c)})" for c in names}) if names else {}
     ready = [c for c in names if counts[c] >= cfg.min_rows_anomaly_detection]
     if not ready:
         return {}
@@ -305,25 +325,21 @@ def _anomaly_columns(df, names, key, cfg) -> dict[str, tuple[float, float]]:
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         slot, tree = int(pdf["slot"].iat[0]), int(pdf["tree"].iat[0])
         order = pd.util.hash_array(pdf["h"].to_numpy() + np.int64(tree) * 1_000_003)
-        x = pdf.assign(o=order).sort_values(["o", "h", "v"]).head(TREE_ROWS)["v"].to_numpy()
+        x = pdf.assign(o=order).sort_values(["o", "h", "v"]).head(TREE_ROWS)["v"]
         height = max(math.ceil(math.log2(max(len(x), 2))), 1)
-        f, c, lt, rt, ln = _grow(
-            x.reshape(-1, 1), np.random.default_rng([seed, slot, tree]), height
-        )
-        return pd.DataFrame(
-            {
-                "slot": [slot], "tree": [tree], "feature": [f], "cut": [c],
-                "left": [lt], "right": [rt], "length": [ln],
-            }
-        )
+        rng = np.random.default_rng([seed, slot, tree])
+        cuts, lengths = _grow_sorted(sorted(x.tolist()), rng, height)
+        return pd.DataFrame({"slot": [slot], "tree": [tree], "cut": [cuts], "length": [lengths]})
 
     grown = (
-        drawn.groupBy("slot", "tree").applyInPandas(grow, "slot int, " + TREE_SCHEMA).collect()
+        drawn.groupBy("slot", "tree")
+        .applyInPandas(grow, "slot int, tree int, cut array<double>, length array<double>")
+        .collect()
     )
     tables = []
     for i, c in enumerate(ready):
         mine = sorted((r for r in grown if r.slot == i), key=lambda r: r.tree)
-        tables.append(_steps(Forest(mine, min(TREE_ROWS, counts[c]))))
+        tables.append(_steps([(r.cut, r.length) for r in mine], min(TREE_ROWS, counts[c])))
     auto = cfg.anomaly_contamination == "auto"
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -339,7 +355,7 @@ def _anomaly_columns(df, names, key, cfg) -> dict[str, tuple[float, float]]:
             [(i, s, k) for (i, s), k in found.items()], columns=["slot", "step", "n"]
         ).astype("int64")
 
-    numbers_only = df.select(*[as_double(c).alias(f"f{i}") for i, c in enumerate(ready)])
+    numbers_only = df.selectExpr(*[f"{dbl(c)} AS f{i}" for i, c in enumerate(ready)])
     steps = (
         numbers_only.mapInPandas(score, "slot bigint, step bigint, n bigint")
         .groupBy("slot", "step")
@@ -369,8 +385,7 @@ def anomaly_column_frame(
 ) -> DataFrame:
     found = anomaly_columns(df, names, key, cfg)
     rows = [(c, a, m) for c, (a, m) in sorted(found.items())]
-    out = df.sparkSession.createDataFrame(
-        rows, "column string, anomaly_ratio double, mean_anomaly_score double"
+    out = local_frame(df.sparkSession, rows, "column string, anomaly_ratio double, mean_anomaly_score double"
     )
     return out.select(
         "column",

@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Profiling
-from ..functions.cells import NUMERIC, as_double, col, columns_of
-from .scale import one_row, spread
+from ..functions.cells import NUMERIC, col, columns_of, dbl, number, q
+from .scale import local_frame, one_row, spread
 from .structure import base_stats
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -39,12 +39,18 @@ def _merged(spans: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return out
 
 
-def _segment(x: Column, spans: list[tuple[float, float]]) -> Column:
+def _segment(x: str, spans: list[tuple[float, float]]) -> str:
     """0 below the first span, 1 inside it, 2 between it and the next, and so on."""
-    out = F.when(x < spans[0][0], 0).when(x <= spans[0][1], 1)
-    for i, (lo, hi) in enumerate(spans[1:], start=1):
-        out = out.when(x < lo, 2 * i).when(x <= hi, 2 * i + 1)
-    return out.otherwise(2 * len(spans))
+    cases = "".join(
+        f" WHEN {x} < {number(lo)} THEN {2 * i} WHEN {x} <= {number(hi)} THEN {2 * i + 1}"
+        for i, (lo, hi) in enumerate(spans)
+    )
+    return f"CASE{cases} ELSE {2 * len(spans)} END"
+
+
+def _sketch(x: str, points: list[float], accuracy: int) -> str:
+    listed = ", ".join(number(p) for p in points)
+    return f"percentile_approx({x}, array({listed}), {accuracy})"
 
 
 def _bracket(df: DataFrame, wanted: dict, counts: dict, margin: float, accuracy: int) -> dict:
@@ -53,7 +59,7 @@ def _bracket(df: DataFrame, wanted: dict, counts: dict, margin: float, accuracy:
     for c, probs in wanted.items():
         points = sorted({min(max(p + s * margin, 0.0), 1.0) for p in probs for s in (-1, 1)})
         keys[c] = points
-        exprs[c] = F.percentile_approx(as_double(c), points, accuracy)
+        exprs[c] = _sketch(dbl(c), points, accuracy)
     found = one_row(df, exprs, batch=4)
     out = {}
     for c, probs in wanted.items():
@@ -68,9 +74,8 @@ def _narrow(df: DataFrame, spans: dict, counts: dict, accuracy: int, limit: int)
     while True:
         probe = {}
         for i, ((c, _), (lo, hi)) in enumerate(spans.items()):
-            x = as_double(c)
-            probe[i, "below"] = F.count_if(x < lo)
-            probe[i, "in"] = F.count_if(x.between(lo, hi))
+            probe[i, "below"] = f"count_if({dbl(c)} < {number(lo)})"
+            probe[i, "in"] = f"count_if({dbl(c)} BETWEEN {number(lo)} AND {number(hi)})"
         sizes = one_row(df, {f"{i}{k}": e for (i, k), e in probe.items()})
         todo = {}
         for i, ((c, p), (lo, hi)) in enumerate(spans.items()):
@@ -84,8 +89,8 @@ def _narrow(df: DataFrame, spans: dict, counts: dict, accuracy: int, limit: int)
             return spans
         margin = 2.0 / accuracy
         exprs = {
-            f"{c}\0{p}": F.percentile_approx(
-                F.when(as_double(c).between(lo, hi), as_double(c)),
+            f"{c}\0{p}": _sketch(
+                f"CASE WHEN {dbl(c)} BETWEEN {number(lo)} AND {number(hi)} THEN {dbl(c)} END",
                 [max(a - margin, 0.0), min(b + margin, 1.0)],
                 accuracy,
             )
@@ -116,13 +121,13 @@ def quantiles(
     Memory is bounded by the sketch and by `limit`, whatever the number of rows.
     """
     if counts is None:
-        counts = one_row(df, {c: F.count(col(c)) for c in wanted})
+        counts = one_row(df, {c: f"count({q(c)})" for c in wanted})
     result = {(c, p): None for c, ps in wanted.items() for p in ps}
     open_ = {c: list(ps) for c, ps in wanted.items() if counts[c]}
     if not open_:
         return result
     if not exact:
-        exprs = {c: F.percentile_approx(as_double(c), ps, 10000) for c, ps in open_.items()}
+        exprs = {c: _sketch(dbl(c), ps, 10000) for c, ps in open_.items()}
         found = one_row(df, exprs, batch=8)
         return result | {(c, p): v for c, ps in open_.items() for p, v in zip(ps, found[c])}
     margin = 2.0 / accuracy
@@ -136,19 +141,13 @@ def quantiles(
             merged = {c: _merged([spans[c, p] for p in open_[c]]) for c in part}
             slots = []
             for i, c in enumerate(part):
-                seg = _segment(as_double(c), merged[c])
+                seg = _segment(dbl(c), merged[c])
                 slots.append(
-                    F.when(
-                        col(c).isNotNull(),
-                        F.struct(
-                            F.lit(i).alias("slot"),
-                            seg.alias("seg"),
-                            F.when(seg % 2 == 1, as_double(c)).alias("v"),
-                        ),
-                    )
+                    f"CASE WHEN {q(c)} IS NOT NULL THEN named_struct('slot', {i}, 'seg', {seg}, "
+                    f"'v', CASE WHEN ({seg}) % 2 = 1 THEN {dbl(c)} END) END"
                 )
             rows = (
-                df.select(F.explode(F.array(*slots)).alias("s"))
+                df.selectExpr(f"explode(array({', '.join(slots)})) AS s")
                 .where(F.col("s").isNotNull())
                 .groupBy("s.slot", "s.seg", "s.v")
                 .agg(F.count(F.lit(1)).alias("n"))
@@ -232,10 +231,9 @@ def _numeric_stats(df: DataFrame, names: list[str], cfg: Profiling) -> dict[str,
     live = [c for c in names if stats[c]["n"] and stats[c]["min"] != stats[c]["max"]]
     exprs = {}
     for c in live:
-        d = as_double(c) - F.lit(stats[c]["mean"])
-        d2 = d * d
-        for i, e in enumerate((d, d2, d2 * d, d2 * d2), start=1):
-            exprs[f"{c}\0{i}"] = F.sum(e)
+        d = f"({dbl(c)} - {number(stats[c]['mean'])})"
+        for i in (1, 2, 3, 4):
+            exprs[f"{c}\0{i}"] = f"sum({' * '.join([d] * i)})"
     sums = one_row(df, exprs, batch=16) if exprs else {}
     quart = quantiles(
         df,
@@ -286,19 +284,19 @@ def numeric_profile(
     fields = ["n", *NUMERIC_FIELDS]
     schema = "column string, n bigint, " + ", ".join(f"`{f}` double" for f in NUMERIC_FIELDS)
     rows = [(c, *[s[f] for f in fields]) for c, s in sorted(stats.items())]
-    return _round_all(df.sparkSession.createDataFrame(rows, schema), cfg.rounding)
+    return _round_all(local_frame(df.sparkSession, rows, schema), cfg.rounding)
 
 
-def outlier_condition(x: Column, s: dict, cfg: Profiling) -> Column | None:
+def outlier_condition(x: str, s: dict, cfg: Profiling) -> str | None:
     """Rows outside three deviations (near-symmetric) or the IQR fence (skewed)."""
     if abs(s["skewness"] or 0.0) < 1.0:
         if not s["std"]:
             return None
-        return F.abs(x - F.lit(s["mean"])) / F.lit(s["std"]) > 3.0
+        return f"abs({x} - {number(s['mean'])}) / {number(s['std'])} > 3"
     if not s["iqr"]:
         return None
     reach = cfg.outlier_iqr_multiplier * s["iqr"]
-    return (x < s["q25"] - reach) | (x > s["q75"] + reach)
+    return f"{x} < {number(s['q25'] - reach)} OR {x} > {number(s['q75'] + reach)}"
 
 
 def numeric_behavior(
@@ -306,8 +304,8 @@ def numeric_behavior(
 ) -> dict[str, dict]:
     """Outlier share, tail weight, modality and variance indicators per column."""
     ready = {c: s for c, s in stats.items() if s["n"] >= cfg.min_rows_numeric_behavior}
-    tests = {c: outlier_condition(as_double(c), s, cfg) for c, s in ready.items()}
-    exprs = {c: F.count_if(t) for c, t in tests.items() if t is not None}
+    tests = {c: outlier_condition(dbl(c), s, cfg) for c, s in ready.items()}
+    exprs = {c: f"count_if({t})" for c, t in tests.items() if t is not None}
     hits = one_row(df, exprs) if exprs else {}
     out = {}
     for c, s in ready.items():
@@ -329,7 +327,7 @@ BEHAVIOR_SCHEMA = (
 
 def behavior_frame(spark, found: dict[str, dict], cfg: Profiling) -> DataFrame:
     rows = [(c, *b.values()) for c, b in sorted(found.items())]
-    return _round_all(spark.createDataFrame(rows, BEHAVIOR_SCHEMA), cfg.rounding)
+    return _round_all(local_frame(spark, rows, BEHAVIOR_SCHEMA), cfg.rounding)
 
 
 def outlier_ratio(

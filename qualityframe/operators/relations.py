@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Profiling
-from ..functions.cells import NUMERIC, as_double, col, columns_of
-from .scale import HOT_SHARE, materialize, one_row, running_total
+from ..functions.cells import NUMERIC, as_double, columns_of, dbl
+from .scale import HOT_SHARE, local_frame, materialize, one_row, running_total
 
 PAIR_SCHEMA = "col1 string, col2 string, value double"
 NOISE = 1e-13
@@ -27,7 +27,7 @@ def _pairs(names: list[str]) -> list[tuple[str, str]]:
 
 def _frame(spark, rows: list[tuple[str, str, float | None]]) -> DataFrame:
     kept = [r for r in rows if r[2] is not None and not math.isnan(r[2])]
-    return spark.createDataFrame(sorted(kept), PAIR_SCHEMA)
+    return local_frame(spark, sorted(kept), PAIR_SCHEMA)
 
 
 def _co_moments(df: DataFrame, names: list[str]) -> DataFrame:
@@ -39,7 +39,7 @@ def _co_moments(df: DataFrame, names: list[str]) -> DataFrame:
     one deviation of the mean, so sums keep their digits, and it is itself a value,
     so a constant column gives exact zeros.
     """
-    middle = one_row(df, {c: F.percentile_approx(as_double(c), 0.5, 100) for c in names})
+    middle = one_row(df, {c: f"percentile_approx({dbl(c)}, 0.5D, 100)" for c in names})
     shift = np.array([middle[c] if middle[c] is not None else 0.0 for c in names])
     width = len(names)
     upper = np.triu_indices(width)
@@ -65,7 +65,7 @@ def _co_moments(df: DataFrame, names: list[str]) -> DataFrame:
             names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"],
         )
 
-    numbers = df.select(*[as_double(c).alias(f"c{k}") for k, c in enumerate(names)])
+    numbers = df.selectExpr(*[f"{dbl(c)} AS c{k}" for k, c in enumerate(names)])
     sums = ["n", "sx", "sy", "sxx", "syy", "sxy"]
     return (
         numbers.mapInArrow(fold, "i int, j int, " + ", ".join(f"{s} double" for s in sums))
@@ -169,7 +169,8 @@ def spearman(df: DataFrame, names: list[str] | None = None) -> DataFrame:
 def _self_pairs(df: DataFrame, names: list[str]) -> list[tuple]:
     """The diagonal: 1 for every column that varies."""
     ends = one_row(
-        df, {f"{c}\0{k}": f(as_double(c)) for c in names for k, f in (("lo", F.min), ("hi", F.max))}
+        df,
+        {f"{c}\0{k}": f"{f}({dbl(c)})" for c in names for k, f in (("lo", "min"), ("hi", "max"))},
     )
     return [(c, c, 1.0) for c in names if ends[f"{c}\0lo"] != ends[f"{c}\0hi"]]
 

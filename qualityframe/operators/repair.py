@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Profiling
-from ..functions.cells import NUMERIC, TEXTUAL, col, kind, parse_number
+from ..functions.cells import NUMERIC, TEXTUAL, col, dbl, kind, parse_number
 from . import categories, forest, numeric
 from .detectors import EMAIL_SHAPE
 from .scale import materialize, one_row, spread
@@ -195,7 +195,7 @@ def repair_columns(
             if wanted:
                 quart = numeric.quantiles(narrow, wanted, exact=cfg.exact_quantiles)
             if mean_of:
-                means = one_row(narrow, {c: F.avg(col(c).cast("double")) for c in mean_of})
+                means = one_row(narrow, {c: f"avg({dbl(c)})" for c in mean_of})
     dropped, new = set(), {}
     for a in present:
         if a["operation"] == "drop_column":

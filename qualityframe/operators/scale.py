@@ -10,11 +10,14 @@ from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from functools import partial
 
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.cells import col
+from ..functions.cells import col, word
 
 ROWS_PER_SORT_TASK = 1_000_000
 SPREAD_BYTES = 64 << 20
@@ -84,13 +87,40 @@ def together(spark: SparkSession, *steps: Callable) -> list:
         return [w.result() for w in waiting]
 
 
+def _cell(value, data_type: T.DataType):
+    """A Python value in the form Arrow expects for a Spark type."""
+    if value is None:
+        return None
+    if isinstance(data_type, T.StructType):
+        fields = data_type.fields
+        items = value.values() if isinstance(value, dict) else value
+        return {f.name: _cell(v, f.dataType) for f, v in zip(fields, items)}
+    if isinstance(data_type, T.MapType):
+        return list(value.items()) if isinstance(value, dict) else value
+    if isinstance(data_type, T.DoubleType):
+        return float(value)
+    return value
+
+
+def local_frame(spark: SparkSession, rows: list, schema: T.StructType | str) -> DataFrame:
+    """A few driver rows as a local table, which the optimizer can see through.
+
+    A plain createDataFrame of a list would be an opaque RDD of unknown size.
+    """
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    dicts = [
+        {f.name: _cell(v, f.dataType) for f, v in zip(kind.fields, row)} for row in rows
+    ]
+    return spark.createDataFrame(pa.Table.from_pylist(dicts, to_arrow_schema(kind)), kind)
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Freeze a table that has one row per column, pair or action of a schema."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
 
 
-def one_row(df: DataFrame, exprs: dict[str, Column], batch: int = 16) -> dict:
-    """Run a wide global aggregate in batches and return {name: value}.
+def one_row(df: DataFrame, exprs: dict[str, str], batch: int = 16) -> dict:
+    """Run a wide global aggregate, given as SQL text, and return {name: value}.
 
     Narrow aggregates stay below the size the JVM compiles to machine code. Each
     batch reads only the columns it names; batches are submitted together.
@@ -99,7 +129,7 @@ def one_row(df: DataFrame, exprs: dict[str, Column], batch: int = 16) -> dict:
     parts = [names[i : i + batch] for i in range(0, len(names), batch)]
 
     def run(part: list[str]) -> dict:
-        row = df.agg(*[exprs[n].alias(f"x{i}") for i, n in enumerate(part)]).first()
+        row = df.selectExpr(*[f"{exprs[n]} AS x{i}" for i, n in enumerate(part)]).first()
         return dict(zip(part, row))
 
     if len(parts) == 1:
@@ -111,11 +141,11 @@ def one_row(df: DataFrame, exprs: dict[str, Column], batch: int = 16) -> dict:
 
 
 def per_column(
-    df: DataFrame, names: list[str], stats, batch: int = 12
+    df: DataFrame, names: list[str], stats: Callable[[str], dict[str, str]], batch: int = 12
 ) -> DataFrame:
     """One lazily computed row per column, from global aggregates over column batches.
 
-    `stats(name)` gives {output: aggregate}. Every batch scans only its own columns.
+    `stats(name)` gives {output: aggregate as SQL}. Every batch scans only its columns.
     """
     pieces = []
     for start in range(0, len(names), batch):
@@ -123,14 +153,10 @@ def per_column(
         aggs, structs = [], []
         for i, name in enumerate(part):
             fields = stats(name)
-            aggs += [v.alias(f"{i}_{k}") for k, v in fields.items()]
-            structs.append(
-                F.struct(
-                    F.lit(name).alias("column"),
-                    *[F.col(f"{i}_{k}").alias(k) for k in fields],
-                )
-            )
-        pieces.append(df.agg(*aggs).select(F.inline(F.array(*structs))))
+            aggs += [f"{v} AS `{i}_{k}`" for k, v in fields.items()]
+            cells = "".join(f", {word(k)}, `{i}_{k}`" for k in fields)
+            structs.append(f"named_struct('column', {word(name)}{cells})")
+        pieces.append(df.selectExpr(*aggs).selectExpr(f"inline(array({', '.join(structs)}))"))
     out = pieces[0]
     for piece in pieces[1:]:
         out = out.unionByName(piece)

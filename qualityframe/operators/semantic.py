@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Detection, Profiling
-from ..functions.cells import DATETIME, TEXTUAL, col, kind
-from .scale import dealt, one_row
+from ..functions.cells import DATETIME, TEXTUAL, kind, q, raw
+from .scale import dealt, local_frame, one_row
 from .structure import sample_rows
 
 # Classes in tie-break order, value pattern, words in the column name.
@@ -75,25 +75,27 @@ NUMBER_CLASSES = {"phone", "credit_card", "ssn", "identifier"}
 SEMANTIC_SCHEMA = "column string, predicted_class string, confidence double"
 
 
-def matches(c: Column, label: str, pattern: str) -> Column:
-    """Does a text match a class? Most values are settled by their length alone."""
+def match_share(value: str, label: str, pattern: str) -> str:
+    """Share of values that match a class. Most are settled by their length alone."""
     low, high = LENGTHS[label]
-    size = F.char_length(c)
-    fits = size >= low if high is None else size.between(low, high + LINE_BREAK)
-    return F.when(c.isNull(), None).otherwise(fits & c.rlike("(?U)" + pattern))
+    size = f"char_length({value})"
+    fits = f"{size} >= {low}" if high is None else f"{size} BETWEEN {low} AND {high + LINE_BREAK}"
+    hit = f"{fits} AND {value} RLIKE {raw('(?U)' + pattern)}"
+    return f"avg(CASE WHEN {value} IS NULL THEN NULL WHEN {hit} THEN 1D ELSE 0D END)"
 
 
-def _share(df: DataFrame, name: str, label: str, pattern: str) -> Column | None:
+def _share(df: DataFrame, name: str, label: str, pattern: str) -> str | None:
     """Share of values that match; None when the type cannot spell the class."""
     t = df.schema[name].dataType
     if kind(t) == TEXTUAL:
-        return F.avg(matches(col(name), label, pattern).cast("double"))
+        return match_share(q(name), label, pattern)
     whole = isinstance(t, T.IntegralType) or (isinstance(t, T.DecimalType) and t.scale == 0)
     if whole and label in NUMBER_CLASSES:
-        return F.avg(matches(col(name).cast("string"), label, pattern).cast("double"))
+        return match_share(f"CAST({q(name)} AS STRING)", label, pattern)
     if kind(t) == DATETIME and label == "date_of_birth":
         # a column of pure dates is written as dates; one time of day turns all into timestamps
-        return F.min((col(name) == col(name).cast("date").cast(t)).cast("double"))
+        day = f"CAST(CAST({q(name)} AS DATE) AS {t.simpleString()})"
+        return f"min(CASE WHEN {q(name)} = {day} THEN 1D ELSE 0D END)"
     return None
 
 
@@ -103,7 +105,7 @@ def classify(df: DataFrame, cfg: Profiling = Profiling()) -> dict[str, tuple[str
     One scan over all values. A class is tested only where name and type together
     could still reach the minimum.
     """
-    exprs: dict[str, Column] = {}
+    exprs: dict[str, str] = {}
     for f in df.schema.fields:
         for label, pattern, _ in CLASSES:
             share = _share(df, f.name, label, pattern)
@@ -132,7 +134,7 @@ def classify(df: DataFrame, cfg: Profiling = Profiling()) -> dict[str, tuple[str
 
 def semantic_class(df: DataFrame, cfg: Profiling = Profiling()) -> DataFrame:
     rows = [(c, label, score) for c, (label, score) in classify(df, cfg).items()]
-    return df.sparkSession.createDataFrame(rows, SEMANTIC_SCHEMA).withColumn(
+    return local_frame(df.sparkSession, rows, SEMANTIC_SCHEMA).withColumn(
         "confidence", F.round("confidence", cfg.rounding)
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,16 +10,17 @@ from ..config import Profiling
 from ..functions.cells import (
     TEXTUAL,
     UNKNOWN,
-    as_double,
     col,
     columns_of,
+    dbl,
     kind,
+    q,
     row_digest,
     safe_ratio,
     short_key,
     sketch_distinct,
 )
-from .scale import one_row, per_column
+from .scale import local_frame, one_row, per_column
 
 WIDTH = {
     T.BooleanType: 1,
@@ -36,11 +37,8 @@ def null_ratio(df: DataFrame) -> DataFrame:
     return per_column(
         df,
         sorted(df.columns),
-        lambda c: {
-            "row_count": F.count(F.lit(1)),
-            "null_count": F.count_if(col(c).isNull()),
-        },
-        batch=64,
+        lambda c: {"row_count": "count(1)", "null_count": f"count_if({q(c)} IS NULL)"},
+        batch=32,
     ).withColumn("null_ratio", safe_ratio(F.col("null_count"), F.col("row_count")))
 
 
@@ -64,18 +62,17 @@ def value_groups(
     """
     types = {f.name: f.dataType for f in df.schema.fields}
 
-    def key_of(name: str) -> Column:
-        return short_key(col(name)) if name in digest else col(name)
-
     by_type: dict[str, list[str]] = {}
     for name in names:
         by_type.setdefault(types[name].simpleString(), []).append(name)
     frames = []
     for group in by_type.values():
-        cells = [x for i, c in enumerate(group) for x in (F.lit(i), key_of(c))]
+        cells = ", ".join(
+            f"{i}, {short_key(c) if c in digest else q(c)}" for i, c in enumerate(group)
+        )
         listed = F.array(*[F.lit(c) for c in group])
         frames.append(
-            df.select(F.stack(F.lit(len(group)), *cells).alias("slot", "value"))
+            df.selectExpr(f"stack({len(group)}, {cells}) AS (slot, value)")
             .where(F.col("value").isNotNull())
             .groupBy("slot", "value")
             .agg(F.count(F.lit(1)).alias("n"))
@@ -88,7 +85,7 @@ def distinct_counts(df: DataFrame, names: list[str], exact: bool = True, digest=
     """(column, distinct_count): exact by grouping, or a HyperLogLog sketch (1.6 % error)."""
     if not exact:
         return per_column(
-            df, names, lambda c: {"distinct_count": sketch_distinct(col(c))}
+            df, names, lambda c: {"distinct_count": sketch_distinct(f"if({q(c)} IS NULL, NULL, xxhash64({q(c)}))")}
         )
     pieces = [
         g.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"))
@@ -97,7 +94,7 @@ def distinct_counts(df: DataFrame, names: list[str], exact: bool = True, digest=
     out = pieces[0]
     for piece in pieces[1:]:
         out = out.unionByName(piece)
-    listed = df.sparkSession.createDataFrame([(c,) for c in names], "column string")
+    listed = local_frame(df.sparkSession, [(c,) for c in names], "column string")
     return listed.join(F.broadcast(out), "column", "left").select(
         "column", F.coalesce("distinct_count", F.lit(0)).alias("distinct_count")
     )
@@ -133,8 +130,11 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     Rows meet by a 128-bit digest, so 16 bytes per distinct row are shuffled
     whatever the row width; for 10^12 rows a false match has odds near 10^-15.
     """
-    seen = df.select(*row_digest(df.columns, df.schema)).groupBy("h1", "h2").agg(
-        F.count(F.lit(1)).alias("n")
+    h1, h2 = row_digest(df.columns, df.schema)
+    seen = (
+        df.selectExpr(f"{h1} AS h1", f"{h2} AS h2")
+        .groupBy("h1", "h2")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     return seen.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
@@ -144,16 +144,16 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def byte_size(field: T.StructField) -> Column:
+def byte_size(field: T.StructField) -> str:
     """Bytes held by a column: fixed width per value, or the text's own length."""
-    c = col(field.name)
+    c = q(field.name)
     if isinstance(field.dataType, (T.StringType, T.BinaryType, T.CharType, T.VarcharType)):
-        return F.coalesce(F.sum(F.octet_length(c)), F.lit(0))
+        return f"coalesce(sum(octet_length({c})), 0L)"
     if kind(field.dataType) == UNKNOWN:
-        return F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(c)))), F.lit(0))
+        return f"coalesce(sum(octet_length(to_json(struct({c})))), 0L)"
     if isinstance(field.dataType, T.DecimalType):
-        return F.count(c) * 16
-    return F.count(c) * WIDTH.get(type(field.dataType), 8)
+        return f"count({c}) * 16L"
+    return f"count({c}) * {WIDTH.get(type(field.dataType), 8)}L"
 
 
 def dataset_profile(df: DataFrame) -> DataFrame:
@@ -163,9 +163,9 @@ def dataset_profile(df: DataFrame) -> DataFrame:
     for f in fields:
         types[f.dataType.simpleString()] = types.get(f.dataType.simpleString(), 0) + 1
     type_map = F.create_map(*[F.lit(x) for pair in sorted(types.items()) for x in pair])
-    nulls = sum((F.count_if(col(f.name).isNull()) for f in fields), F.lit(0))
-    size = sum((byte_size(f) for f in fields), F.lit(0))
-    scanned = df.agg(nulls.cast("long").alias("nulls"), size.cast("long").alias("bytes"))
+    nulls = " + ".join(["0L", *(f"count_if({q(f.name)} IS NULL)" for f in fields)])
+    size = " + ".join(["0L", *(byte_size(f) for f in fields)])
+    scanned = df.selectExpr(f"{nulls} AS nulls", f"{size} AS bytes")
     # both sides are single rows
     return (
         duplicate_rows(df)
@@ -185,7 +185,8 @@ def dataset_profile(df: DataFrame) -> DataFrame:
 
 def fingerprint(df: DataFrame) -> DataFrame:
     """Order-free identity of a table: schema, row count, xor and sum of row hashes."""
-    rows = df.select(*row_digest(df.columns, df.schema)).agg(
+    h1, h2 = row_digest(df.columns, df.schema)
+    rows = df.selectExpr(f"{h1} AS h1", f"{h2} AS h2").agg(
         F.count(F.lit(1)).alias("row_count"),
         F.coalesce(F.bit_xor("h1"), F.lit(0)).alias("row_xor"),
         F.coalesce(F.sum(F.col("h2").cast("decimal(38,0)")), F.lit(0)).alias("row_sum"),
@@ -236,14 +237,14 @@ def sample_rows(
 
 def base_stats(df: DataFrame, names: list[str]) -> dict:
     """Counts and pilot values of numeric columns from one pruned scan."""
-    exprs: dict[str, Column] = {}
+    exprs: dict[str, str] = {}
     for c in names:
-        x = as_double(c)
-        exprs[f"{c}\0n"] = F.count(col(c))
-        exprs[f"{c}\0mean"] = F.avg(x)
-        exprs[f"{c}\0min"] = F.min(x)
-        exprs[f"{c}\0max"] = F.max(x)
-        exprs[f"{c}\0zeros"] = F.count_if(x == 0)
+        x = dbl(c)
+        exprs[f"{c}\0n"] = f"count({q(c)})"
+        exprs[f"{c}\0mean"] = f"avg({x})"
+        exprs[f"{c}\0min"] = f"min({x})"
+        exprs[f"{c}\0max"] = f"max({x})"
+        exprs[f"{c}\0zeros"] = f"count_if({x} = 0)"
     flat = one_row(df, exprs, batch=20)
     return {
         c: {k: flat[f"{c}\0{k}"] for k in ("n", "mean", "min", "max", "zeros")}

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..config import Profiling
 from ..functions.cells import (
+    NOT_DIGITS,
+    NOT_SPACES,
+    NOT_SPECIAL,
     TEXTUAL,
+    characters_left,
     col,
     columns_of,
-    count_digits,
-    count_spaces,
-    count_special,
+    q,
 )
 from .scale import dealt, per_column
 
@@ -21,16 +23,17 @@ def text_stats(df: DataFrame, names: list[str]) -> DataFrame:
     """Whole texts, one scan. Characters are counted by removing runs of the others."""
 
     def stats(c: str) -> dict:
-        x = col(c)
-        chars = F.sum(F.char_length(x))
+        size = f"char_length({q(c)})"
+
+        def share(removed: str) -> str:
+            return f"coalesce(try_divide(sum({characters_left(c, removed)}), sum({size})), 0D)"
+
         return {
-            "avg_length": F.coalesce(F.avg(F.char_length(x)), F.lit(0.0)),
-            "length_std": F.when(F.count(x) > 0, F.stddev(F.char_length(x))).otherwise(0.0),
-            "digit_ratio": F.coalesce(F.try_divide(F.sum(count_digits(x)), chars), F.lit(0.0)),
-            "whitespace_ratio": F.coalesce(F.try_divide(F.sum(count_spaces(x)), chars), F.lit(0.0)),
-            "special_char_ratio": F.coalesce(
-                F.try_divide(F.sum(count_special(x)), chars), F.lit(0.0)
-            ),
+            "avg_length": f"coalesce(avg({size}), 0D)",
+            "length_std": f"CASE WHEN count({q(c)}) > 0 THEN stddev({size}) ELSE 0D END",
+            "digit_ratio": share(NOT_DIGITS),
+            "whitespace_ratio": share(NOT_SPACES),
+            "special_char_ratio": share(NOT_SPECIAL),
         }
 
     return per_column(dealt(df.select(*[col(c) for c in names])), names, stats, batch=6)

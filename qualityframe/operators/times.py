@@ -2,47 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Profiling
-from ..functions.cells import DATETIME, col, columns_of
+from ..functions.cells import DATETIME, col, columns_of, q
 from .scale import ROWS_PER_SORT_TASK, materialize, per_column, range_bucket
 
 DAY_MICROS = 86_400_000_000
 
 
-def micros(df: DataFrame, name: str) -> Column:
+def micros(name: str, data_type: T.DataType) -> str:
     """Microseconds since 1970 as bigint, the same for every session time zone."""
-    field = df.schema[name].dataType
-    if isinstance(field, T.DateType):
-        return F.unix_date(col(name)).cast("long") * DAY_MICROS
-    if isinstance(field, T.TimestampNTZType):
-        return F.timestamp_diff(
-            "MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), col(name)
-        )
-    return F.unix_micros(col(name))
+    c = q(name)
+    if isinstance(data_type, T.DateType):
+        return f"CAST(unix_date({c}) AS BIGINT) * {DAY_MICROS}L"
+    if isinstance(data_type, T.TimestampNTZType):
+        return f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {c})"
+    return f"unix_micros({c})"
 
 
-def iso(c: Column, data_type: T.DataType) -> Column:
+def iso(value: str, data_type: T.DataType) -> str:
     """ISO 8601, fraction only when there is one; dates as midnight."""
-    whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    whole = f"date_format({value}, \"yyyy-MM-dd'T'HH:mm:ss\")"
     if isinstance(data_type, T.DateType):
         return whole
-    part = F.date_format(c, "SSSSSS")
-    return F.when(part == "000000", whole).otherwise(F.concat(whole, F.lit("."), part))
+    part = f"date_format({value}, 'SSSSSS')"
+    return f"CASE WHEN {part} = '000000' THEN {whole} ELSE concat({whole}, '.', {part}) END"
 
 
 def datetime_stats(df: DataFrame, names: list[str]) -> DataFrame:
     types = {f.name: f.dataType for f in df.schema.fields}
 
     def stats(c: str) -> dict:
-        m = micros(df, c)
+        m = micros(c, types[c])
         return {
-            "min": F.coalesce(iso(F.min(col(c)), types[c]), F.lit("")),
-            "max": F.coalesce(iso(F.max(col(c)), types[c]), F.lit("")),
-            "range_days": F.coalesce((F.max(m) - F.min(m)) / float(DAY_MICROS), F.lit(0.0)),
+            "min": f"coalesce({iso(f'min({q(c)})', types[c])}, '')",
+            "max": f"coalesce({iso(f'max({q(c)})', types[c])}, '')",
+            "range_days": f"coalesce((max({m}) - min({m})) / {DAY_MICROS}D, 0D)",
         }
 
     return per_column(df, names, stats)

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config, Profiling
-from ..functions.cells import col, nan_to_null
+from ..functions.cells import col, nan_to_null, q
 from ..operators import categories, forest, numeric, relations, semantic, structure, text, times
-from ..operators.scale import one_row, pin, spread, together
+from ..operators.scale import local_frame, one_row, pin, spread, together
 
 NUMERIC_STRUCT = ", ".join(f"`{f}`: double" for f in numeric.NUMERIC_FIELDS)
 
@@ -71,9 +71,9 @@ PARTS = frozenset(
 def _sizes(df: DataFrame) -> dict[str, dict]:
     """Rows, nulls and bytes of every column, in one scan."""
     fields = {f.name: f for f in df.schema.fields}
-    exprs = {"\0rows": F.count(F.lit(1))}
+    exprs = {"\0rows": "count(1)"}
     for c in sorted(fields):
-        exprs[f"{c}\0null"] = F.count_if(col(c).isNull())
+        exprs[f"{c}\0null"] = f"count_if({q(c)} IS NULL)"
         exprs[f"{c}\0bytes"] = structure.byte_size(fields[c])
     flat = one_row(df, exprs, batch=24)
     rows = flat["\0rows"]
@@ -214,8 +214,7 @@ def profile(
         "dtype logical_type row_count null_count distinct_count null_ratio unique_ratio "
         "duplicate_ratio bytes numeric categorical datetime text behavior"
     ).split()
-    columns = spark.createDataFrame(
-        [
+    columns = local_frame(spark, [
             (*ids, c, *[f.get(n) for n in order], [classes[c][0]] if c in classes else [])
             for c, f in found.items()
         ],
@@ -229,8 +228,7 @@ def profile(
     if pairs is not None:
         off = [abs(r.value) for r in pairs if r.col1 != r.col2]
         density = sum(off) / len(off) if off else 0.0
-    dataset = spark.createDataFrame(
-        [
+    dataset = local_frame(spark, [
             (
                 *ids, rows, len(found), repeated.duplicate_row_ratio if repeated else None,
                 sum(f["bytes"] for f in found.values()),
@@ -240,11 +238,9 @@ def profile(
         ],
         DATASET_SCHEMA,
     )
-    correlations = spark.createDataFrame(
-        [(*ids, cfg.correlation_method, r.col1, r.col2, r.value) for r in pairs or []], PAIRS_SCHEMA
+    correlations = local_frame(spark, [(*ids, cfg.correlation_method, r.col1, r.col2, r.value) for r in pairs or []], PAIRS_SCHEMA
     )
-    models = spark.createDataFrame(
-        [(*ids, "semantic_classifier", "1.1", c, k, s, None, None) for c, (k, s) in classes.items()]
+    models = local_frame(spark, [(*ids, "semantic_classifier", "1.1", c, k, s, None, None) for c, (k, s) in classes.items()]
         + [
             (*ids, "anomaly_amplifier", "1.0", c, None, None, a, m)
             for c, (a, m) in anomalies.items()

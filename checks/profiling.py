@@ -516,7 +516,7 @@ def classes_sql(source: str, texts: list[str], numbers: list[str] = (), days: li
                 share = f"coalesce(avg(CASE WHEN regexp_matches({c}, '{pattern}') THEN 1.0 WHEN {c} IS NOT NULL THEN 0.0 END), 0.0)"
             elif c in numbers and label in semantic.NUMBER_CLASSES:
                 share = f"coalesce(avg(CASE WHEN regexp_matches(CAST({c} AS VARCHAR), '{pattern}') THEN 1.0 WHEN {c} IS NOT NULL THEN 0.0 END), 0.0)"
-            elif c in days and label == "date_of_birth":
+            elif c in days and label in semantic.DAY_CLASSES:
                 share = f"CASE WHEN bool_and({c} = date_trunc('day', {c})) THEN 1.0 ELSE 0.0 END"
             else:
                 share = "0.0"

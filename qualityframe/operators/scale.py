@@ -23,6 +23,7 @@ ROWS_PER_SORT_TASK = 1_000_000
 SPREAD_BYTES = 64 << 20
 HOT_SHARE = 1000
 JOBS_AT_ONCE = 10
+WIDER = 6
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,15 +54,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def is_small(df: DataFrame) -> bool:
+    """Is the estimated input below a fixed size?"""
+    query = df._jdf.queryExecution()
+    return int(str(query.optimizedPlan().stats().sizeInBytes())) <= SPREAD_BYTES
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """A small input dealt out to all cores; anything larger or cached as it is.
 
     A small file is often one row group, hence one busy task. Larger inputs already
     have enough splits.
     """
-    query = df._jdf.queryExecution()
-    size = int(str(query.optimizedPlan().stats().sizeInBytes()))
-    if size > SPREAD_BYTES or "InMemoryRelation" in query.withCachedData().toString():
+    cached = "InMemoryRelation" in df._jdf.queryExecution().withCachedData().toString()
+    if cached or not is_small(df):
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
@@ -122,10 +128,13 @@ def pin(df: DataFrame) -> DataFrame:
 def one_row(df: DataFrame, exprs: dict[str, str], batch: int = 16) -> dict:
     """Run a wide global aggregate, given as SQL text, and return {name: value}.
 
-    Narrow aggregates stay below the size the JVM compiles to machine code. Each
-    batch reads only the columns it names; batches are submitted together.
+    Each batch reads only the columns it names; batches are submitted together. On
+    small inputs narrow batches win, as their code compiles fast; on large ones the
+    number of tasks counts, so batches are `WIDER` times as wide.
     """
     names = list(exprs)
+    if len(names) > batch and not is_small(df):
+        batch *= WIDER
     parts = [names[i : i + batch] for i in range(0, len(names), batch)]
 
     def run(part: list[str]) -> dict:
@@ -147,6 +156,8 @@ def per_column(
 
     `stats(name)` gives {output: aggregate as SQL}. Every batch scans only its columns.
     """
+    if len(names) > batch and not is_small(df):
+        batch *= WIDER
     pieces = []
     for start in range(0, len(names), batch):
         part = names[start : start + batch]

@@ -72,6 +72,9 @@ LINE_BREAK = 2
 # Classes the digits of a whole number can spell.
 NUMBER_CLASSES = {"phone", "credit_card", "ssn", "identifier"}
 
+# Classes whose pattern a date such as 2001-02-03 fits.
+DAY_CLASSES = {"phone", "date_of_birth", "identifier"}
+
 SEMANTIC_SCHEMA = "column string, predicted_class string, confidence double"
 
 
@@ -92,7 +95,7 @@ def _share(df: DataFrame, name: str, label: str, pattern: str) -> str | None:
     whole = isinstance(t, T.IntegralType) or (isinstance(t, T.DecimalType) and t.scale == 0)
     if whole and label in NUMBER_CLASSES:
         return match_share(f"CAST({q(name)} AS STRING)", label, pattern)
-    if kind(t) == DATETIME and label == "date_of_birth":
+    if kind(t) == DATETIME and label in DAY_CLASSES:
         # a column of pure dates is written as dates; one time of day turns all into timestamps
         day = f"CAST(CAST({q(name)} AS DATE) AS {t.simpleString()})"
         return f"min(CASE WHEN {q(name)} = {day} THEN 1D ELSE 0D END)"

@@ -77,7 +77,25 @@ add(
       FROM walk AS w JOIN log AS c ON c.parent_event_id = w.event_id AND c.trace_id = w.trace_id)
     SELECT trace_id, event_id, depth, path FROM walk""",
 )
-add("trace_report", lambda s, d: audit.report(events(s, d)).drop("path"), None)
+add(
+    "trace_report",
+    lambda s, d: audit.report(events(s, d)).drop("path"),
+    f"""WITH RECURSIVE {LOG}, walk AS (
+      SELECT trace_id, event_id, 0 AS depth FROM log AS c
+      WHERE parent_event_id IS NULL OR NOT EXISTS (SELECT 1 FROM log AS p
+        WHERE p.event_id = c.parent_event_id AND p.trace_id = c.trace_id)
+      UNION ALL
+      SELECT c.trace_id, c.event_id, w.depth + 1
+      FROM walk AS w JOIN log AS c ON c.parent_event_id = w.event_id AND c.trace_id = w.trace_id),
+    told AS (SELECT trace_id, event_id, {MESSAGE} AS message FROM log)
+    SELECT l.trace_id, 1 AS section, severity = 'warning' AS late,
+      '[' || upper(severity) || '] ' || message AS line
+    FROM log AS l JOIN told AS t USING (trace_id, event_id) WHERE severity IN ('critical', 'error', 'warning')
+    UNION ALL
+    SELECT w.trace_id, 2, false,
+      repeat('  ', depth) || '[' || strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f') || '] ' || message
+    FROM walk AS w JOIN log USING (trace_id, event_id) JOIN told USING (trace_id, event_id)""",
+)
 add(
     "trace_decisions",
     lambda s, d: audit.decision_checks(events(s, d)),

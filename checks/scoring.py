@@ -291,4 +291,21 @@ def _summary(s, d) -> DataFrame:
     return planning.run_summary(decided, S.breakdown(scores), planning.make_plan(scores, decided, AUTO))
 
 
-add("run_summary", _summary, None)
+GOVERNED = governed_sql("BLOCK", "Blocked: ", "false", "false")
+add(
+    "run_summary",
+    _summary,
+    f"""WITH {GOVERNED}, {TOP},
+    worst AS (SELECT {RUN}, name, mean_score, row_number() OVER (PARTITION BY {RUN}
+        ORDER BY mean_score DESC, name DESC) AS place FROM means WHERE kind = 'dimension'),
+    cols AS (SELECT {RUN}, string_agg(name, ', ' ORDER BY place) FILTER (place <= 3)
+        || CASE WHEN count(*) > 3 THEN '...' ELSE '' END AS names FROM top WHERE kind = 'column' GROUP BY {RUN}),
+    blocked AS (SELECT {RUN}, bool_or(action_type = 'BLOCK') AS stop FROM governed GROUP BY {RUN})
+    SELECT d.run_id, d.dataset_id, d.decision, 'Quality decision: ' || d.decision || chr(10)
+      || 'Risk score: ' || printf('%.2f', d.score)
+      || coalesce(chr(10) || 'Worst dimension: ' || w.name || ' (' || printf('%.2f', w.mean_score) || ')', '')
+      || coalesce(chr(10) || 'Affected columns: ' || c.names, '')
+      || CASE WHEN b.stop THEN chr(10) || 'Pipeline blocked' ELSE '' END AS summary
+    FROM decided AS d LEFT JOIN (SELECT * FROM worst WHERE place = 1) AS w USING ({RUN})
+    LEFT JOIN cols AS c USING ({RUN}) LEFT JOIN blocked AS b USING ({RUN})""",
+)

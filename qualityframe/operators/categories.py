@@ -18,22 +18,25 @@ from ..functions.cells import (
     safe_ratio,
     sketch_distinct,
 )
-from .scale import local_frame, one_row
-from .structure import distinct_counts, value_groups
+from .scale import local_frame
+from .structure import distinct_counts, look, value_groups
 
 SKETCH_ERROR = 0.02  # above the 1.6 % standard error of the sketch
 SKETCH_MARGIN = 6 * SKETCH_ERROR
 
 
+def shape_exprs(name: str) -> dict[str, str]:
+    """Non-null count, mean length and a distinct-count sketch of a text column."""
+    c = q(name)
+    return {
+        "n": f"count({c})",
+        "mean": f"avg(char_length({c}))",
+        "approx": sketch_distinct(f"if({c} IS NULL, NULL, xxhash64({c}))"),
+    }
+
+
 def text_shape(df: DataFrame, names: list[str]) -> dict[str, dict]:
-    """Non-null count, mean length and a distinct-count sketch, in one scan."""
-    exprs = {}
-    for c in names:
-        exprs[f"{c}\0n"] = f"count({q(c)})"
-        exprs[f"{c}\0mean"] = f"avg(char_length({q(c)}))"
-        exprs[f"{c}\0approx"] = sketch_distinct(f"if({q(c)} IS NULL, NULL, xxhash64({q(c)}))")
-    flat = one_row(df, exprs, batch=18) if exprs else {}
-    return {c: {k: flat[f"{c}\0{k}"] for k in ("n", "mean", "approx")} for c in names}
+    return look(df, {c: shape_exprs(c) for c in names})
 
 
 def string_type(n: int, mean_length: float | None, distinct: float, cfg: Profiling) -> str:

@@ -360,13 +360,13 @@ def _anomaly_columns(df, names, key, cfg) -> dict[str, tuple[float, float]]:
         numbers_only.mapInPandas(score, "slot bigint, step bigint, n bigint")
         .groupBy("slot", "step")
         .agg(F.sum("n").alias("n"))
-        .collect()  # at most trees * TREE_ROWS steps per column
+        .toArrow()  # at most trees * TREE_ROWS steps per column
     )
+    slot, step, hits = (steps[k].to_numpy() for k in ("slot", "step", "n"))
     out = {}
     for i, c in enumerate(ready):
-        mine = [(tables[i][1][r.step], r.n) for r in steps if r.slot == i]
-        s = np.array([m[0] for m in mine])
-        n = np.array([m[1] for m in mine], dtype=float)
+        here = slot == i
+        s, n = tables[i][1][step[here]], hits[here].astype(float)
         edge = 0.5
         if not auto:
             order = np.argsort(s)

@@ -15,7 +15,7 @@ from .structure import base_stats
 
 QUARTILES = (0.25, 0.5, 0.75)
 ACCURACY = 2000
-MAX_BRACKET_ROWS = 200_000
+MAX_BRACKET_ROWS = 50_000
 
 NUMERIC_FIELDS = (
     "mean median std variance min max q25 q50 q75 iqr skewness kurtosis "
@@ -151,22 +151,25 @@ def quantiles(
                 .where(F.col("s").isNotNull())
                 .groupBy("s.slot", "s.seg", "s.v")
                 .agg(F.count(F.lit(1)).alias("n"))
-                .collect()  # brackets hold at most `limit` rows each
+                .orderBy("slot", "seg", "v")
+                .toArrow()  # brackets hold at most `limit` rows each
+            )
+            slot, seg_, value, n_ = (
+                rows[k].to_numpy() for k in ("slot", "seg", "v", "n")
             )
             for i, c in enumerate(part):
-                mine = sorted((r.seg, r.v if r.v is not None else math.nan, r.n) for r in rows if r.slot == i)
-                ends = np.cumsum([n for _, _, n in mine])
+                here = slot == i
+                mine_seg, mine, ends = seg_[here], value[here], np.cumsum(n_[here])
                 missed = []
                 for p in open_[c]:
                     low, high, part_way = _positions(counts[c], p)
-                    a = mine[int(np.searchsorted(ends, low, side="right"))]
-                    b = mine[int(np.searchsorted(ends, high, side="right"))]
-                    if a[0] % 2 == 0 or b[0] % 2 == 0:
+                    i_low = int(np.searchsorted(ends, low, side="right"))
+                    i_high = int(np.searchsorted(ends, high, side="right"))
+                    if mine_seg[i_low] % 2 == 0 or mine_seg[i_high] % 2 == 0:
                         missed.append(p)
-                    elif a[1] == b[1]:
-                        result[c, p] = a[1]
-                    else:
-                        result[c, p] = a[1] + (b[1] - a[1]) * part_way
+                        continue
+                    a, b = float(mine[i_low]), float(mine[i_high])
+                    result[c, p] = a if a == b else a + (b - a) * part_way
                 open_[c] = missed
         open_ = {c: ps for c, ps in open_.items() if ps}
         margin *= 8  # a bracket missed its rank: take a wider one
@@ -211,23 +214,29 @@ def bimodality(n: int, skew: float | None, kurt: float | None) -> float:
 
 
 def numeric_stats(
-    df: DataFrame, names: list[str] | None = None, cfg: Profiling = Profiling()
+    df: DataFrame,
+    names: list[str] | None = None,
+    cfg: Profiling = Profiling(),
+    base: dict[str, dict] | None = None,
 ) -> dict[str, dict]:
     """All numeric statistics, {column: {field: value}}, in three or four scans.
 
     Power sums are taken about the measured mean, which keeps their digits and
-    costs a fraction of the built-in skewness and kurtosis.
+    costs a fraction of the built-in skewness and kurtosis. `base` saves the first
+    scan where counts, means and ends are known.
     """
     if names is None:
         names = columns_of(df, NUMERIC)
     if not names:
         return {}
     with spread(df.select(*[col(c) for c in names])) as narrow:
-        return _numeric_stats(narrow, names, cfg)
+        return _numeric_stats(narrow, names, cfg, base)
 
 
-def _numeric_stats(df: DataFrame, names: list[str], cfg: Profiling) -> dict[str, dict]:
-    stats = base_stats(df, names)
+def _numeric_stats(
+    df: DataFrame, names: list[str], cfg: Profiling, base: dict[str, dict] | None = None
+) -> dict[str, dict]:
+    stats = base_stats(df, names) if base is None else base
     live = [c for c in names if stats[c]["n"] and stats[c]["min"] != stats[c]["max"]]
     exprs = {}
     for c in live:

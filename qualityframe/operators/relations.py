@@ -271,10 +271,9 @@ def _tau_b(df: DataFrame, a: str, b: str, rows_per_strip: int, max_buckets: int)
         splits = [-math.inf, *cuts[s], math.inf]
         placed = Bucketizer(splits=splits, inputCol=s, outputCol=f"d{s}").transform(placed)
         placed = placed.withColumn(f"b{s}", F.col(f"d{s}").cast("int")).drop(f"d{s}")
-    cells = placed.groupBy("ba", "bb").agg(F.sum("n").alias("n")).collect()  # the grid
+    cells = placed.groupBy("ba", "bb").agg(F.sum("n").alias("n")).toArrow()  # the grid
     grid = np.zeros((len(cuts["a"]) + 1, len(cuts["b"]) + 1))
-    for c in cells:
-        grid[c.ba, c.bb] = c.n
+    grid[cells["ba"].to_numpy(), cells["bb"].to_numpy()] = cells["n"].to_numpy()
     before = np.zeros_like(grid)
     before[1:] = np.cumsum(grid, axis=0)[:-1]
     left = np.zeros_like(grid)

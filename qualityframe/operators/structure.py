@@ -235,18 +235,25 @@ def sample_rows(
     return ranked.drop("__order")
 
 
-def base_stats(df: DataFrame, names: list[str]) -> dict:
-    """Counts and pilot values of numeric columns from one pruned scan."""
-    exprs: dict[str, str] = {}
-    for c in names:
-        x = dbl(c)
-        exprs[f"{c}\0n"] = f"count({q(c)})"
-        exprs[f"{c}\0mean"] = f"avg({x})"
-        exprs[f"{c}\0min"] = f"min({x})"
-        exprs[f"{c}\0max"] = f"max({x})"
-        exprs[f"{c}\0zeros"] = f"count_if({x} = 0)"
-    flat = one_row(df, exprs, batch=20)
+def base_exprs(name: str) -> dict[str, str]:
+    """Counts and pilot values of a numeric column."""
+    x = dbl(name)
     return {
-        c: {k: flat[f"{c}\0{k}"] for k in ("n", "mean", "min", "max", "zeros")}
-        for c in names
+        "n": f"count({q(name)})",
+        "mean": f"avg({x})",
+        "min": f"min({x})",
+        "max": f"max({x})",
+        "zeros": f"count_if({x} = 0)",
     }
+
+
+def look(df: DataFrame, wanted: dict[str, dict[str, str]], batch: int = 20) -> dict[str, dict]:
+    """Aggregates per column in as few scans as `one_row` needs: {column: {field: value}}."""
+    exprs = {(c, k): e for c, fields in wanted.items() for k, e in fields.items()}
+    flat = one_row(df, exprs, batch) if exprs else {}
+    return {c: {k: flat[c, k] for k in fields} for c, fields in wanted.items()}
+
+
+def base_stats(df: DataFrame, names: list[str]) -> dict[str, dict]:
+    """Counts and pilot values of numeric columns from one pruned scan."""
+    return look(df, {c: base_exprs(c) for c in names})

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config, Profiling
-from ..functions.cells import col, nan_to_null, q
+from ..functions.cells import NUMERIC, TEXTUAL, col, kind, nan_to_null, q
 from ..operators import categories, forest, numeric, relations, semantic, structure, text, times
-from ..operators.scale import local_frame, one_row, pin, spread, together
+from ..operators.scale import local_frame, pin, spread, together
 
 NUMERIC_STRUCT = ", ".join(f"`{f}`: double" for f in numeric.NUMERIC_FIELDS)
 
@@ -68,25 +68,38 @@ PARTS = frozenset(
 )
 
 
-def _sizes(df: DataFrame) -> dict[str, dict]:
-    """Rows, nulls and bytes of every column, in one scan."""
-    fields = {f.name: f for f in df.schema.fields}
-    exprs = {"\0rows": "count(1)"}
-    for c in sorted(fields):
-        exprs[f"{c}\0null"] = f"count_if({q(c)} IS NULL)"
-        exprs[f"{c}\0bytes"] = structure.byte_size(fields[c])
-    flat = one_row(df, exprs, batch=24)
-    rows = flat["\0rows"]
-    return {
-        c: {
-            "dtype": fields[c].dataType.simpleString(),
-            "row_count": rows,
-            "null_count": flat[f"{c}\0null"],
-            "null_ratio": flat[f"{c}\0null"] / rows if rows else 0.0,
-            "bytes": int(flat[f"{c}\0bytes"]),
+def _first_look(df: DataFrame, numbers: bool) -> tuple[dict, dict, dict]:
+    """One pass for sizes of all columns, shapes of texts and ends of numbers.
+
+    Returns ({column: sizes}, {text column: shape}, {numeric column: base statistics}).
+    """
+    wanted: dict[str, dict[str, str]] = {}
+    parts: dict[str, dict[str, str]] = {}
+    for f in sorted(df.schema.fields, key=lambda f: f.name):
+        sizes = {"null": f"count_if({q(f.name)} IS NULL)", "bytes": structure.byte_size(f)}
+        parts[f.name] = {}
+        if kind(f.dataType) == TEXTUAL:
+            parts[f.name] = categories.shape_exprs(f.name)
+        elif kind(f.dataType) == NUMERIC and numbers:
+            parts[f.name] = structure.base_exprs(f.name)
+        wanted[f.name] = {"rows": "count(1)"} | sizes | parts[f.name]
+    seen = structure.look(df, wanted)
+    found, shapes, bases = {}, {}, {}
+    for f in df.schema.fields:
+        s = seen[f.name]
+        found[f.name] = {
+            "dtype": f.dataType.simpleString(),
+            "row_count": s["rows"],
+            "null_count": s["null"],
+            "null_ratio": s["null"] / s["rows"] if s["rows"] else 0.0,
+            "bytes": int(s["bytes"]),
         }
-        for c in sorted(fields)
-    }
+        rest = {k: s[k] for k in parts[f.name]}
+        if kind(f.dataType) == TEXTUAL:
+            shapes[f.name] = rest
+        elif rest:
+            bases[f.name] = rest
+    return dict(sorted(found.items())), shapes, bases
 
 
 def _labels(df: DataFrame, names: list[str], cfg: Profiling) -> dict[str, dict]:
@@ -112,8 +125,8 @@ def _distinct(df: DataFrame, names: list[str], texts: set, cfg: Profiling) -> di
     return {r.column: {"distinct_count": r.distinct_count} for r in found}
 
 
-def _numbers(df: DataFrame, names: list[str], cfg: Profiling) -> dict[str, dict]:
-    stats = numeric.numeric_stats(df, names, cfg) if names else {}
+def _numbers(df: DataFrame, names: list[str], cfg: Profiling, base: dict) -> dict[str, dict]:
+    stats = numeric.numeric_stats(df, names, cfg, base) if names else {}
     behavior = numeric.numeric_behavior(df, stats, cfg) if stats else {}
     out = {c: {"numeric": tuple(s[f] for f in numeric.NUMERIC_FIELDS)} for c, s in stats.items()}
     for c, b in behavior.items():
@@ -175,9 +188,8 @@ def profile(
         return names if part in chosen else []
 
     with spread(df) as data:
-        found, types = together(
-            spark, lambda: _sizes(data), lambda: categories.infer_types(data, cfg)
-        )
+        found, shapes, base = _first_look(data, "numbers" in chosen)
+        types = categories.infer_types(data, cfg, shapes)
         by_type: dict[str, list[str]] = {}
         for c in found:
             found[c]["logical_type"] = types[c]
@@ -189,7 +201,7 @@ def profile(
             spark,
             lambda: _labels(data, names_if("labels", by_type.get("categorical", [])), cfg),
             lambda: _distinct(data, names_if("distinct", plain), set(prose), cfg),
-            lambda: _numbers(data, names_if("numbers", numbers), cfg),
+            lambda: _numbers(data, names_if("numbers", numbers), cfg, base),
             lambda: _dates(data, names_if("dates", by_type.get("datetime", [])), order_by),
             lambda: _prose(data, names_if("prose", prose)),
             lambda: _pairs(data, names_if("pairs", numbers), cfg, key),

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ADVISORY, AUTOMATIC, Config
-from . import scoring
 from .detectors import bound_for
 from .scoring import RUN
 
@@ -304,8 +303,3 @@ def run_summary(decisions: DataFrame, means: DataFrame, plan: DataFrame) -> Data
         )
     )
 
-
-__all__ = [
-    "ACTION_TYPES", "PLAN_COLUMNS", "PRIORITY", "RULES", "approval_requests", "approve", "govern",
-    "make_plan", "raw_actions", "resolve_conflicts", "run_summary", "scoring",
-]

@@ -12,7 +12,7 @@ from functools import partial
 
 import pyarrow as pa
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema

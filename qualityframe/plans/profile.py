@@ -281,9 +281,6 @@ def rounded(frame: DataFrame, digits: int) -> DataFrame:
     return frame.select(*[walk(col(f.name), f.dataType).alias(f.name) for f in frame.schema.fields])
 
 
-SIGNAL_SCHEMA = "signal string, subject string, value double"
-
-
 def risk_signals(profiles: Profiles) -> DataFrame:
     """Profile values as long rows (run_id, dataset_id, signal, subject, value)."""
     ids = [F.col("run_id"), F.col("dataset_id")]

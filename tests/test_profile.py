@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 from qualityframe.config import Profiling
 from qualityframe.operators import categories, numeric, relations, semantic, structure, text, times
 from qualityframe.operators.scale import running_total
-from qualityframe.plans.profile import profile, profile_delta, risk_signals, rounded
+from qualityframe.plans.profile import (
+    load_profiles,
+    profile,
+    profile_delta,
+    risk_signals,
+    rounded,
+    save,
+)
 
 
 def rows(df, key="column"):
@@ -287,3 +294,12 @@ def test_empty_table(spark):
     found = profile(df, parts={"numbers", "labels", "distinct", "rows", "pairs"})
     assert found.dataset.first().row_count == 0
     assert rows(found.columns)["x"].null_ratio == 0.0
+
+
+def test_saved_profiles_come_back_by_run(spark, tmp_path):
+    df = spark.createDataFrame([(1.0, "a"), (2.0, "b")], "x double, s string")
+    for run in ("one", "two"):
+        save(profile(df, run_id=run, parts={"numbers", "labels"}), str(tmp_path / "kept"))
+    back = load_profiles(spark, str(tmp_path / "kept"), "two")
+    assert {r.run_id for r in back.columns.collect()} == {"two"}
+    assert rows(back.columns)["x"].numeric.mean == 1.5

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..config import Config
 from ..functions.cells import nan_to_null
 from ..operators import audit, detectors, planning, repair, scoring
-from ..operators.scale import materialize, pin, spread
-from ..sources.readers import load
+from ..operators.scale import local_frame, materialize, pin, spread
+from ..sources.readers import describe, load
 from .profile import PARTS, Profiles, profile
 
 
@@ -45,15 +45,24 @@ class Result:
         return planning.run_summary(self.decisions, means, self.plan).first().summary
 
     def save(self, path: str) -> None:
-        """Append findings, decisions, plan and the audit tables, one folder per table."""
+        """Append findings, decisions, plan, executed actions and the audit tables.
+
+        One folder per table; tables of many runs share it, partitioned by run.
+        """
         for name in ("findings", "decisions", "plan"):
             frame = getattr(self, name)
             if frame is not None:
                 frame.write.mode("append").partitionBy("run_id").json(f"{path}/{name}")
-        spark = self.findings.sparkSession if self.findings is not None else None
-        if spark is not None and self.events:
+        if self.findings is None:
+            return
+        spark = self.findings.sparkSession
+        if self.outcome is not None and self.outcome.executed:
+            done = [tuple(a[c] for c in planning.PLAN_COLUMNS) for a in self.outcome.executed]
+            actions = local_frame(spark, done, self.plan.schema)
+            actions.write.mode("append").partitionBy("run_id").json(f"{path}/actions")
+        if self.events:
             audit.append_events(audit.event_frame(spark, self.events), f"{path}/trace_events")
-        if spark is not None and self.lineage:
+        if self.lineage:
             audit.lineage_frame(spark, self.lineage).write.mode("append").json(
                 f"{path}/lineage_nodes"
             )
@@ -149,7 +158,8 @@ def analyze(
         return Result(None, run_id, cfg, events=log.events, error=str(error))
     df = nan_to_null(df)
     log.event("read", "data_ingress", columns=df.columns)
-    log.node("read", source if isinstance(source, str) else "frame", df.columns)
+    origin = describe(source, **options) if isinstance(source, str) else {"kind": "frame"}
+    log.node("read", origin, df.columns)
 
     profiles, findings = inspect(
         df, cfg, baseline, order_by, key, dataset_id, run_id, registry, profiles

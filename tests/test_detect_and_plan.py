@@ -288,3 +288,17 @@ def test_every_detector_fires_and_the_table_heals(spark):
 def test_inspect_shares_the_scan(spark):
     found = inspect(spark.range(30).select("id", F.lit(1).alias("one")), parts=LEAN)[1]
     assert ("constant_column", "one") in issues(found)
+
+
+def test_saved_results_hold_actions_and_audit_rows(spark, tmp_path):
+    path = str(tmp_path / "in.parquet")
+    spark.createDataFrame([(None, 1), (None, 2), (None, 3)], "a double, b int").write.parquet(path)
+    cfg = C.Config(mode=C.AUTOMATIC, tracing=True, lineage=True).with_profiling(enable_ml=False)
+    result = analyze(path, cfg, spark=spark, run_id="r1")
+    result.save(str(tmp_path / "out"))
+    actions = spark.read.json(str(tmp_path / "out" / "actions"))
+    assert {(r.run_id, r.operation) for r in actions.collect()} == {("r1", "drop_column"), ("r1", None)}
+    nodes = spark.read.json(str(tmp_path / "out" / "lineage_nodes")).where("operation = 'read'")
+    assert '"kind": "parquet"' in nodes.first().inputs
+    events = spark.read.json(str(tmp_path / "out" / "trace_events"))
+    assert events.where("trace_id = 'r1'").count() == len(result.events)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secret_scan, simhash, toxicity
+from . import decontaminate, secret_scan, simhash, toxicity
 from .common import table
 
 
@@ -16,9 +16,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op5(spark, sf_dir)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op6(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op9(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op5_toxicity, op9_simhash)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op5_toxicity, op6_decontaminate, op9_simhash)}
+ORACLES: dict[str, str] = {"op6_decontaminate": decontaminate.OP6_SQL}

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, secret_scan, simhash, toxicity
+from . import decontaminate, pieces, secret_scan, simhash, toxicity
 from .common import table
 
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_pieces(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
+    return pieces.op1(table(spark, sf_dir, "documents"), model)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.op2(table(spark, sf_dir, "documents"))
 
@@ -24,5 +32,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op9(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op5_toxicity, op6_decontaminate, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_pieces, op2_secret_scan, op5_toxicity, op6_decontaminate, op9_simhash)}
 ORACLES: dict[str, str] = {"op6_decontaminate": decontaminate.OP6_SQL}

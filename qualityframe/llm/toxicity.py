@@ -139,7 +139,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), key: str = "doc_
         )
 
     sets = by_batch(read.select(key, "t", "label"), step, f"key {kind}, label int, found array<int>")
-    model = sets.coalesce(1).mapInArrow(solve, "feature int, weight double").toArrow()
+    model = sets.repartition(1).mapInArrow(solve, "feature int, weight double").toArrow()
     weights, bias = np.zeros(1 << BITS), 0.0
     for at, w in zip(model["feature"].to_pylist(), model["weight"].to_pylist()):
         if at < 0:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +35,17 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def kept(name: str, make: Callable):
+    """Something a Python worker builds once and keeps for its later tasks.
+
+    The package travels by value, so its own globals are new in each task.
+    """
+    store = sys.modules.setdefault("_kept_by_worker", ModuleType("_kept_by_worker")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
 def by_batch(
     df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType
 ) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_batch, whole
+from .common import by_batch, kept, whole
 
 # Fixed values of the model format: the word mark, and the kinds of pieces.
 MARK = "▁"
@@ -271,16 +271,6 @@ class Pieces:
         return out[1:] if self.prefix and out.startswith(" ") else out
 
 
-_loaded: dict[str, Pieces] = {}
-
-
-def load(path: str, data: bytes) -> Pieces:
-    """The vocabulary of a file; a worker builds it once."""
-    if path not in _loaded:
-        _loaded[path] = Pieces.read(data)
-    return _loaded[path]
-
-
 def model_bytes(path: str) -> bytes:
     with open(path, "rb") as file:
         return file.read()
@@ -295,7 +285,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     names = docs.columns
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pieces = load(path, shared.value)
+        pieces = kept(f"pieces {path}", lambda: Pieces.read(shared.value))
         texts = batch.column(batch.num_columns - 1).to_pylist()
         found = [pieces.encode(t) for t in texts]
         same = [pieces.decode(ids) == t for ids, t in zip(found, texts)]
@@ -313,7 +303,7 @@ def decode(ids: DataFrame, path: str, column: str) -> DataFrame:
     at, names = ids.columns.index(column), ids.columns
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pieces = load(path, shared.value)
+        pieces = kept(f"pieces {path}", lambda: Pieces.read(shared.value))
         texts = [None if x is None else pieces.decode(np.array(x, np.int32)) for x in batch.column(at).to_pylist()]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "__text"])
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import by_batch, table, whole
+from .common import by_batch, kept, table, whole
 
 WORD = re.compile(r"\w+")
 BITS = 18
@@ -63,13 +63,10 @@ class WordHashes(dict):
         return value
 
 
-_hashes = WordHashes()
-
-
 def features(text: str) -> np.ndarray:
     """Feature numbers of a text, repeats included: words, pairs, skip pairs."""
     words = WORD.findall(text.lower())
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(kept("word hashes", WordHashes).__getitem__, words), np.uint64, len(words))
     shift = np.uint64(64 - BITS)
     turned = h * PAIR
     far = h * SKIP

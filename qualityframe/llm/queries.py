@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pieces, secret_scan, simhash, toxicity
+from . import decontaminate, pieces, secret_scan, sharding, simhash, token_files, toxicity, warc
 from .common import table
 
 
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -20,6 +21,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.op2(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op3(table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op5(spark, sf_dir)
 
@@ -28,9 +33,29 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op6(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op7(table(spark, sf_dir, "documents"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str, vocabulary: str = WORDS) -> DataFrame:
+    return token_files.op8(table(spark, sf_dir, "documents"), vocabulary)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op9(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pieces, op2_secret_scan, op5_toxicity, op6_decontaminate, op9_simhash)}
-ORACLES: dict[str, str] = {"op6_decontaminate": decontaminate.OP6_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pieces,
+        op2_secret_scan,
+        op3_warc,
+        op5_toxicity,
+        op6_decontaminate,
+        op7_sharding,
+        op8_token_files,
+        op9_simhash,
+    )
+}
+ORACLES: dict[str, str] = {"op3_warc": warc.OP3_SQL, "op6_decontaminate": decontaminate.OP6_SQL}

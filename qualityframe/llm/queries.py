@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pieces, secret_scan, sharding, simhash, token_files, toxicity, warc
+from . import decontaminate, perplexity, pieces, secret_scan, sharding, simhash, token_files, toxicity, warc
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op9(table(spark, sf_dir, "documents"))
 
 
+def op10_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.op10(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -56,6 +60,7 @@ QUERIES = {
         op7_sharding,
         op8_token_files,
         op9_simhash,
+        op10_perplexity,
     )
 }
 ORACLES: dict[str, str] = {"op3_warc": warc.OP3_SQL, "op6_decontaminate": decontaminate.OP6_SQL}

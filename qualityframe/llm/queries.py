@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, perplexity, pieces, secret_scan, sharding, simhash, token_files, toxicity, warc
+from . import decontaminate, perplexity, personal_data, pieces, secret_scan, sharding, simhash, token_files, toxicity, warc
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op3(table(spark, sf_dir, "pages"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.op4(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op5(spark, sf_dir)
 
@@ -55,6 +59,7 @@ QUERIES = {
         op1_pieces,
         op2_secret_scan,
         op3_warc,
+        op4_personal_data,
         op5_toxicity,
         op6_decontaminate,
         op7_sharding,

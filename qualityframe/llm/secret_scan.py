@@ -63,11 +63,11 @@ ALLOWED = (
 
 def base(text: str) -> dict[str, Column]:
     """Spans of each fixed kind, matches that are too short dropped."""
-    out = {}
-    for kind, (pattern, group, least) in BASE.items():
-        found = spans.matches(text, pattern, group)
-        out[kind] = F.filter(found, lambda s, least=least: F.length(s["part"]) >= least)
-    return out
+
+    def long_enough(pattern: str, group: int, least: int) -> Column:
+        return F.filter(spans.matches(text, pattern, group), lambda s: F.length(s["part"]) >= least)
+
+    return {kind: long_enough(*rule) for kind, rule in BASE.items()}
 
 
 def random_runs(text: str, kind: Class, allowed: tuple[str, ...] = ALLOWED) -> Column:

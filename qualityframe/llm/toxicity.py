@@ -39,14 +39,15 @@ CACHED_WORDS = 300_000
 class Fit:
     """How the model is fitted; `rows` bounds the labelled sample.
 
-    `l1` is for a thousand training rows, as gradients add up over rows.
+    `l1` is multiplied by the root of the number of rows, as noise in the sums of
+    gradients grows with it.
     """
 
     rows: int = 12_000
     epochs: int = 8
     alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 1.25
+    l1: float = 0.14
     l2: float = 0.1
     threshold: float = 0.7
 
@@ -80,7 +81,7 @@ def train(rows: list[tuple[int, np.ndarray]], fit: Fit) -> tuple[np.ndarray, flo
     size = 1 << BITS
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     at_bias = np.array([size])
-    sparse = fit.l1 * len(rows) / 1000
+    sparse = fit.l1 * np.sqrt(len(rows))
 
     def weights(i: np.ndarray) -> np.ndarray:
         """Closed form of the proximal step; the bias carries no L1."""

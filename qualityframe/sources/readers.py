@@ -21,7 +21,8 @@ MISSING_TOKENS = [
 DATABASES = ("postgresql", "postgres", "mysql", "sqlite", "oracle", "mssql", "duckdb")
 WAREHOUSES = ("snowflake", "bigquery", "redshift")
 
-WHOLE = r"^\s*[+-]?\d{1,18}\s*$"
+EXACT = 1 << 53  # beyond it a double skips whole numbers
+WHOLE = r"^\s*[+-]?\d+\s*$"
 TRUTH = r"(?i)^(true|false)$"
 DAY = r"^\d{4}-\d{2}-\d{2}$"
 MOMENT = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?$"
@@ -42,16 +43,33 @@ def missing_to_null(df: DataFrame) -> DataFrame:
     )
 
 
+def _fits(x: Column) -> dict[str, Column]:
+    """Whether a text fits a type without losing anything, narrowest type first.
+
+    A whole number is a long or a decimal of 38 digits, never a rounded double.
+    """
+    whole, number = x.rlike(WHOLE), F.trim(x)
+    exact = F.coalesce(number.try_cast("decimal(38,0)").between(-EXACT, EXACT), F.lit(False))
+    return {
+        "long": whole & number.try_cast("long").isNotNull(),
+        "decimal(38,0)": whole & number.try_cast("decimal(38,0)").isNotNull(),
+        "double": x.rlike(PLAIN_NUMBER) & (~whole | exact),
+        "boolean": x.rlike(TRUTH),
+        "date": x.rlike(DAY),
+        "timestamp_ntz": x.rlike(MOMENT),
+    }
+
+
 def infer_columns(df: DataFrame) -> DataFrame:
     """Give text columns the narrowest type all their values fit, in one scan."""
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not names:
         return df
-    tests = {"long": WHOLE, "double": PLAIN_NUMBER, "boolean": TRUTH, "date": DAY, "timestamp_ntz": MOMENT}
     aggs = []
     for i, c in enumerate(names):
+        tests = _fits(col(c))
         aggs.append(F.count(col(c)).alias(f"n{i}"))
-        aggs += [F.count_if(col(c).rlike(p)).alias(f"{t}{i}") for t, p in tests.items()]
+        aggs += [F.count_if(test).alias(f"{t}{i}") for t, test in tests.items()]
     seen = df.agg(*aggs).first()
     types: dict[str, str] = {}
     for i, c in enumerate(names):
@@ -64,7 +82,7 @@ def infer_columns(df: DataFrame) -> DataFrame:
         t = types.get(c)
         if t is None:
             return col(c)
-        value = F.trim(col(c)) if t in ("long", "double") else col(c)
+        value = F.trim(col(c)) if t in ("long", "decimal(38,0)", "double") else col(c)
         return value.try_cast(t).alias(c)
 
     return df.select(*[typed(c) for c in df.columns])
@@ -199,7 +217,9 @@ def resolve(path: str, **options) -> dict:
     if suffix in known:
         return {"kind": known[suffix], "path": path} | options
     if suffix in ("db", "sqlite"):
-        query = options.pop("query", "SELECT * FROM data LIMIT 1000")
+        query = options.pop("query", None)
+        if not query:
+            raise SourceError(f"database source without a query: {path}")
         return {"kind": "database", "url": f"sqlite:///{path}", "query": query} | options
     if suffix in ("xls", "xlsx"):
         raise SourceError(f"spreadsheets have no Spark source; save as CSV: {path}")

@@ -27,6 +27,29 @@ def test_csv_missing_tokens_and_types(spark, tmp_path):
     assert [r.n for r in df.collect()] == [1, None, 3]
 
 
+def test_csv_whole_numbers_lose_no_digit(spark, tmp_path):
+    path = tmp_path / "n.csv"
+    path.write_text(
+        "fits,wide,huge,mixed,plain\n"
+        f"9223372036854775807,9007199254740993111,{'9' * 40},1.5,1\n"
+        f"-9223372036854775808,9007199254740993112000,{'9' * 39},9007199254740993111,2.5\n"
+    )
+    df = readers.read_csv(spark, str(path))
+    assert dict(df.dtypes) == {
+        "fits": "bigint", "wide": "decimal(38,0)", "huge": "string", "mixed": "string", "plain": "double"
+    }
+    rows = df.collect()
+    assert [r.fits for r in rows] == [2**63 - 1, -(2**63)]
+    assert [int(r.wide) for r in rows] == [9007199254740993111, 9007199254740993112000]
+    assert rows[1].mixed == "9007199254740993111"
+
+
+def test_database_file_needs_a_query():
+    with pytest.raises(readers.SourceError):
+        readers.resolve("a.sqlite")
+    assert readers.resolve("a.db", query="SELECT 1")["query"] == "SELECT 1"
+
+
 def test_csv_small_table(spark, tmp_path):
     path = tmp_path / "b.csv"
     path.write_text("a,b\n1,3\n2,4\n")
@@ -52,7 +75,7 @@ def test_resolution():
     assert readers.resolve("s3://bucket/dir/file.csv") == {"kind": "csv", "path": "s3a://bucket/dir/file.csv"}
     assert readers.resolve("s3://bucket/dir")["kind"] == "parquet"
     assert readers.resolve("x.pq")["kind"] == "parquet"
-    assert readers.resolve("lake.db")["query"].startswith("SELECT * FROM data")
+    assert readers.resolve("lake.db", query="SELECT 2")["kind"] == "database"
     found = readers.resolve("snowflake://host/db", query="SELECT 1")
     assert (found["kind"], found["warehouse_type"]) == ("warehouse", "snowflake")
     for bad in ("https://host/a.csv", "a.xlsx", "a.unknown", "postgresql://h/db"):

@@ -34,6 +34,7 @@ class Profiling:
     min_rows_anomaly_detection: int = 20
     anomaly_contamination: str | float = "auto"
     anomaly_n_estimators: int = 50
+    anomaly_tree_rows: int = 256  # sub-sample that grows a tree; every row is scored
     min_numeric_cols_for_correlation: int = 2
     global_seed: int = 42
     enable_ml: bool = True

@@ -1,8 +1,11 @@
 """Isolation forest (Liu, Ting and Zhou, 2008) on Spark.
 
-One hash per row picks a bounded pool; each tree takes its sample from the pool and
-is grown on an executor. The finished trees (a few thousand numbers) ship with an
-Arrow function that scores every row in place.
+As published, a tree grows from a small sub-sample (`anomaly_tree_rows`), whatever the
+size of the table; every row is scored. A hash of the caller's key, or of the content and
+the number of a copy, picks a bounded pool; each tree takes its sample from the pool and
+is grown on an executor. The draw, and so every score, is the same for any partitioning.
+The finished trees (a few thousand numbers) ship with an Arrow function that scores every
+row in place.
 """
 
 from __future__ import annotations
@@ -20,7 +23,6 @@ from ..config import Profiling
 from ..functions.cells import NUMERIC, as_double, col, columns_of, dbl, q
 from .scale import dealt, local_frame, one_row, spread
 
-TREE_ROWS = 256
 TABLE_TREES = 100
 HASH_SPAN = 1 << 30
 
@@ -96,10 +98,10 @@ def _hash(key: list[Column], *salt: int) -> Column:
     return F.pmod(F.xxhash64(*[F.lit(s) for s in salt], *key), F.lit(HASH_SPAN))
 
 
-def _trees(pool: DataFrame, width: int, trees: int, seed: int) -> list:
+def _trees(pool: DataFrame, width: int, trees: int, seed: int, tree_rows: int) -> list:
     """Grow `trees` trees from pool rows (h, x), each on its own small sample."""
     size = pool.count()
-    psi = min(TREE_ROWS, size)
+    psi = min(tree_rows, size)
     share = min(4.0 * psi / max(size, 1), 1.0)
     cut = int(share * HASH_SPAN)
     numbers = F.sequence(F.lit(0), F.lit(trees - 1))
@@ -158,34 +160,44 @@ class Forest:
         return np.exp2(-total / (len(self.trees) * self.scale))
 
 
-def _row_hash(df: DataFrame, key: list[str] | None, seed: int) -> Column:
-    """Hash of the caller's key; without one a seeded random number per row.
+def _drawn(rows: DataFrame, cut: Column, seed: int) -> DataFrame:
+    """(h, *columns): rows without a key, a share cut / HASH_SPAN of them.
 
-    Content cannot serve as a key: equal rows would be drawn all together.
+    Equal rows are counted first, so a frequent one costs one row per task. Of n copies
+    the share of n is drawn, rounded up or down by the content's hash; the copies drawn
+    get hashes of their own.
     """
-    if key:
-        return _hash([col(k) for k in key], seed)
-    return (F.rand(seed) * HASH_SPAN).cast("long")
+    names = rows.columns
+    content = [F.col(c) for c in names]
+    counted = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
+    exact = F.col("__n") * (cut / HASH_SPAN) - _hash(content, seed) / HASH_SPAN
+    copies = counted.withColumn("__draws", F.ceil(exact).cast("int")).where("__draws >= 1")
+    numbered = copies.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__draws"))))
+    return numbered.select(_hash([*content, F.col("__copy")], seed).alias("h"), *content)
 
 
 def fit(
-    df: DataFrame, names: list[str], key: list[str] | None, seed: int, rows: int, trees: int
+    df: DataFrame,
+    names: list[str],
+    key: list[str] | None,
+    seed: int,
+    rows: int,
+    trees: int,
+    tree_rows: int = Profiling.anomaly_tree_rows,
 ) -> Forest:
-    """A forest over complete rows. The pool holds about 2 * TREE_ROWS * trees rows."""
-    pool_rows = 2 * TREE_ROWS * trees
+    """A forest over complete rows. The pool holds about 2 * tree_rows * trees rows."""
+    pool_rows = 2 * tree_rows * trees
     cut = HASH_SPAN if rows <= pool_rows else int(HASH_SPAN * pool_rows / rows)
-    pool = (
-        df.where(F.greatest(*[col(c).isNull().cast("int") for c in names], F.lit(0)) == 0)
-        .select(
-            _row_hash(df, key, seed).alias("h"),
-            F.array(*[as_double(c) for c in names]).alias("x"),
-        )
-        .where(F.col("h") < cut)
-        .persist()
-    )
+    complete = df.where(F.greatest(*[col(c).isNull().cast("int") for c in names], F.lit(0)) == 0)
+    x = F.array(*[as_double(c) for c in names]).alias("x")
+    if key:
+        pool = complete.select(_hash([col(k) for k in key], seed).alias("h"), x).where(F.col("h") < cut)
+    else:
+        pool = _drawn(complete.select(x), F.lit(cut), seed)
+    pool = pool.persist()
     try:
-        grown = _trees(pool, len(names), trees, seed)
-        psi = min(TREE_ROWS, pool.count())
+        grown = _trees(pool, len(names), trees, seed, tree_rows)
+        psi = min(tree_rows, pool.count())
     finally:
         pool.unpersist()
     return Forest(grown, psi)
@@ -231,7 +243,7 @@ def score_rows(
     rows, complete = df.agg(F.count(F.lit(1)), F.count_if(missing == 0)).first()
     if rows < cfg.min_rows_anomaly_detection or complete < 2:
         return None
-    forest = fit(df, names, key, cfg.global_seed, complete, trees)
+    forest = fit(df, names, key, cfg.global_seed, complete, trees, cfg.anomaly_tree_rows)
     raw = _scorer(forest)(F.struct(*[as_double(c).alias(f"f{i}") for i, c in enumerate(names)]))
     scored = df.withColumn("anomaly_score", F.nanvl(raw, F.lit(None).cast("double")))
     edge = anomaly_threshold(scored, cfg.anomaly_contamination)
@@ -288,26 +300,27 @@ def anomaly_columns(
 
 
 def _anomaly_columns(df, names, key, cfg) -> dict[str, tuple[float, float]]:
-    trees, seed = cfg.anomaly_n_estimators, cfg.global_seed
+    trees, seed, tree_rows = cfg.anomaly_n_estimators, cfg.global_seed, cfg.anomaly_tree_rows
     counts = one_row(df, {c: f"count({q(c)})" for c in names}) if names else {}
     ready = [c for c in names if counts[c] >= cfg.min_rows_anomaly_detection]
     if not ready:
         return {}
-    pool_rows = 2 * TREE_ROWS * trees
+    pool_rows = 2 * tree_rows * trees
     cuts = [min(int(HASH_SPAN * pool_rows / counts[c]), HASH_SPAN) for c in ready]
     slots = [
         F.struct(F.lit(i).alias("slot"), as_double(c).alias("v"), F.lit(cut).alias("cut"))
         for i, (c, cut) in enumerate(zip(ready, cuts))
     ]
-    pool = (
-        df.withColumn("__h", _row_hash(df, key, seed))
-        .where(F.col("__h") < max(cuts))
-        .select(F.col("__h").alias("h"), F.inline(F.array(*slots)))
-        .where((F.col("h") < F.col("cut")) & F.col("v").isNotNull())
-    )
+    if key:
+        hashed = df.withColumn("__h", _hash([col(k) for k in key], seed)).where(F.col("__h") < max(cuts))
+        pool = hashed.select(F.col("__h").alias("h"), F.inline(F.array(*slots)))
+        pool = pool.where((F.col("h") < F.col("cut")) & F.col("v").isNotNull())
+    else:
+        cells = df.select(F.inline(F.array(*slots))).where(F.col("v").isNotNull())
+        pool = _drawn(cells, F.col("cut"), seed)
     # per column at most about `pool_rows` rows; each (column, tree) draws its own sample
     numbers = F.sequence(F.lit(0), F.lit(trees - 1))
-    share = [min(4.0 * TREE_ROWS / min(counts[c], pool_rows), 1.0) for c in ready]
+    share = [min(4.0 * tree_rows / min(counts[c], pool_rows), 1.0) for c in ready]
     limits = F.array(*[F.lit(int(s * HASH_SPAN)) for s in share])
     drawn = pool.select(
         "h", "slot", "v", F.get(limits, F.col("slot")).alias("lim")
@@ -325,7 +338,7 @@ def _anomaly_columns(df, names, key, cfg) -> dict[str, tuple[float, float]]:
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         slot, tree = int(pdf["slot"].iat[0]), int(pdf["tree"].iat[0])
         order = pd.util.hash_array(pdf["h"].to_numpy() + np.int64(tree) * 1_000_003)
-        x = pdf.assign(o=order).sort_values(["o", "h", "v"]).head(TREE_ROWS)["v"]
+        x = pdf.assign(o=order).sort_values(["o", "h", "v"]).head(tree_rows)["v"]
         height = max(math.ceil(math.log2(max(len(x), 2))), 1)
         rng = np.random.default_rng([seed, slot, tree])
         cuts, lengths = _grow_sorted(sorted(x.tolist()), rng, height)
@@ -339,7 +352,7 @@ def _anomaly_columns(df, names, key, cfg) -> dict[str, tuple[float, float]]:
     tables = []
     for i, c in enumerate(ready):
         mine = sorted((r for r in grown if r.slot == i), key=lambda r: r.tree)
-        tables.append(_steps([(r.cut, r.length) for r in mine], min(TREE_ROWS, counts[c])))
+        tables.append(_steps([(r.cut, r.length) for r in mine], min(tree_rows, counts[c])))
     auto = cfg.anomaly_contamination == "auto"
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -360,8 +373,9 @@ def _anomaly_columns(df, names, key, cfg) -> dict[str, tuple[float, float]]:
         numbers_only.mapInPandas(score, "slot bigint, step bigint, n bigint")
         .groupBy("slot", "step")
         .agg(F.sum("n").alias("n"))
-        .toArrow()  # at most trees * TREE_ROWS steps per column
+        .toArrow()  # at most trees * tree_rows steps per column
     )
+    steps = steps.sort_by([("slot", "ascending"), ("step", "ascending")])  # sums in a fixed order
     slot, step, hits = (steps[k].to_numpy() for k in ("slot", "step", "n"))
     out = {}
     for i, c in enumerate(ready):

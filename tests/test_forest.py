@@ -26,6 +26,45 @@ def test_scores_do_not_depend_on_partitions(spark):
     assert one == two
 
 
+def test_scores_without_a_key_do_not_depend_on_partitions_or_size_switch(spark, monkeypatch):
+    """Also with many copies of a row, and with the table dealt out or left as it is."""
+    from qualityframe.config import Profiling
+    from qualityframe.operators import scale
+
+    cfg = Profiling(anomaly_tree_rows=32)
+    rows = planted(spark, 900).unionByName(planted(spark, 40).withColumn("x", F.lit(1.5)).withColumn("y", F.lit(0.5)))
+    many = rows.unionByName(rows.where("x = 1.5"))
+    found, shares = [], []
+    for parts, small in ((2, 64 << 20), (7, 64 << 20), (3, 0)):
+        monkeypatch.setattr(scale, "SPREAD_BYTES", small)
+        scored = forest.score_rows(many.repartition(parts), ["x", "y"], trees=10, cfg=cfg)
+        found.append(sorted((r.x, r.y, r.anomaly_score) for r in scored.collect()))
+        shares.append(forest.anomaly_columns(many.repartition(parts), ["x", "y"], cfg=cfg))
+    assert found[0] == found[1] == found[2]
+    assert shares[0] == shares[1] == shares[2]
+
+
+def test_copies_are_drawn_in_proportion(spark):
+    rows = spark.createDataFrame([(1.0,)] * 4000 + [(float(k),) for k in range(2, 4002)], "x double")
+    drawn = forest._drawn(rows, F.lit(forest.HASH_SPAN // 10), 42).collect()
+    assert sum(r.x == 1.0 for r in drawn) in (400, 399)
+    assert 320 < sum(r.x != 1.0 for r in drawn) < 480
+    assert len({r.h for r in drawn}) == len(drawn)
+
+
+def test_hand_computed_tree():
+    """One split at 2.0: the value alone ends after one step, the three others after
+    one step and the mean depth of three."""
+    tree = {
+        "feature": [0, -1, -1], "cut": [2.0, 0.0, 0.0], "left": [1, -1, -1], "right": [2, -1, -1],
+        "length": [0.0, 1 + forest.mean_depth(3), 1.0],
+    }
+    row = type("Row", (), tree)
+    scores = forest.Forest([row, row], 4).score(np.array([[1.0], [2.0], [9.0]]))
+    c3, c4 = 2 * (np.log(2) + 0.5772156649015329) - 4 / 3, 2 * (np.log(3) + 0.5772156649015329) - 6 / 4
+    assert np.allclose(scores, [2 ** (-(1 + c3) / c4), 2 ** (-(1 + c3) / c4), 2 ** (-1 / c4)])
+
+
 def test_rows_with_missing_features_are_not_flagged(spark):
     df = planted(spark).withColumn("x", F.when(F.col("key") == 0, None).otherwise(F.col("x")))
     row = forest.score_rows(df, ["x", "y"], ["key"]).where("key = 0").first()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qualityframe.config import AUTOMATIC, Config
-from qualityframe.operators import repair
+from qualityframe.operators import repair, structure
 from qualityframe.operators.planning import PLAN_COLUMNS
 from qualityframe.operators.scale import local_frame
 from qualityframe.plans import analyze
@@ -93,6 +93,54 @@ add(
     SELECT event_id, CASE WHEN t.area IS NULL THEN NULL WHEN c.share < 0.01 THEN 'OTHER' ELSE t.area END AS area
     FROM {sql('readings')} AS t LEFT JOIN c ON t.area = c.area""",
 )
+def _rare_plan(spark, sf_dir) -> DataFrame:
+    """A share below a thousandth, through a plan."""
+    plan = _plan(spark, [("group_rare", "part", {"threshold": "0.0005"}, "GROUP")])
+    lines = table(spark, sf_dir, "lineitem")
+    named = lines.select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("part"))
+    out, outcome = repair.apply_plan(named, plan)
+    if outcome.errors:
+        raise RuntimeError(outcome.errors)
+    return out
+
+
+add(
+    "fix_group_rare_plan",
+    _rare_plan,
+    """WITH c AS (SELECT l_partkey, count(*) / (sum(count(*)) OVER ())::DOUBLE AS share FROM lineitem GROUP BY l_partkey)
+    SELECT l_orderkey, l_linenumber,
+      CASE WHEN c.share < 0.0005 THEN 'OTHER' ELSE CAST(l_partkey AS VARCHAR) END AS part
+    FROM lineitem JOIN c USING (l_partkey)""",
+)
+
+
+def nested(s, d) -> DataFrame:
+    """Lines as arrays, structs and maps with nulls in different places, some repeated."""
+    n = F.pmod("l_linenumber", F.lit(3))
+    one, two = F.when(n != 0, F.col("l_quantity")), F.when(n != 1, F.col("l_quantity"))
+    return table(s, d, "lineitem").select(
+        F.array(one, two).alias("pair"),
+        F.when(n == 2, F.array(F.col("l_quantity"))).otherwise(F.array(two)).alias("short"),
+        F.struct(one.alias("x"), two.alias("y")).alias("both"),
+        F.array(F.create_map(F.lit("a"), one, F.lit("b"), two)).alias("maps"),
+    )
+
+
+NESTED = """(SELECT CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity END AS one,
+    CASE WHEN l_linenumber % 3 <> 1 THEN l_quantity END AS two, l_linenumber % 3 AS n, l_quantity FROM lineitem)"""
+
+add(
+    "dup_nested",
+    lambda s, d: structure.duplicate_rows(nested(s, d)).select(F.round("duplicate_row_ratio", 6).alias("ratio")),
+    f"""SELECT round(1 - count(DISTINCT (one, two, n = 2))::DOUBLE / count(*), 6) AS ratio FROM {NESTED} AS t""",
+)
+add(
+    "fix_dedupe_nested",
+    lambda s, d: repair.remove_duplicates(nested(s, d)).select(
+        F.col("both.x").alias("x"), F.col("both.y").alias("y"), F.size("short").cast("bigint").alias("n_short")
+    ),
+    f"SELECT DISTINCT one AS x, two AS y, 1::BIGINT AS n_short FROM {NESTED} AS t",
+)
 add(
     "fix_cast",
     lambda s, d: repair.cast_type(

@@ -119,18 +119,52 @@ def short_key(name: str, limit: int = 64) -> str:
     return f"CASE WHEN octet_length({c}) <= {limit} THEN {c} ELSE concat('sha256:', sha2({c}, 256)) END"
 
 
+def is_nested(data_type: T.DataType) -> bool:
+    return isinstance(data_type, (T.ArrayType, T.MapType, T.StructType))
+
+
+def holds_map(data_type: T.DataType) -> bool:
+    """Is there a map at any depth?"""
+    if isinstance(data_type, T.StructType):
+        return any(holds_map(f.dataType) for f in data_type.fields)
+    if isinstance(data_type, T.ArrayType):
+        return holds_map(data_type.elementType)
+    return isinstance(data_type, T.MapType)
+
+
+def _nested_hash(x: str, data_type: T.DataType, salt: str, depth: int = 0) -> str:
+    """SQL hash of a value that tells nulls, lengths and places apart at every level."""
+    v = f"x{depth}"
+    if isinstance(data_type, T.ArrayType):
+        inner = _nested_hash(v, data_type.elementType, salt, depth + 1)
+        return f"xxhash64({salt}, coalesce(size({x}), -1), transform({x}, {v} -> {inner}))"
+    if isinstance(data_type, T.MapType):
+        key = _nested_hash(f"{v}.key", data_type.keyType, salt, depth + 1)
+        value = _nested_hash(f"{v}.value", data_type.valueType, salt, depth + 1)
+        pairs = f"transform(map_entries({x}), {v} -> xxhash64({salt}, {key}, {value}))"
+        return f"xxhash64({salt}, coalesce(size({x}), -1), array_sort({pairs}))"
+    if isinstance(data_type, T.StructType):
+        parts = [_nested_hash(f"{x}.{q(f.name)}", f.dataType, salt, depth + 1) for f in data_type.fields]
+        return f"xxhash64({salt}, {x} IS NULL, {', '.join(parts) or '0'})"
+    return f"xxhash64({salt}, {x} IS NULL, {x})"
+
+
 def row_digest(names: list[str], schema: T.StructType) -> tuple[str, str]:
     """Two 64-bit hashes over the whole row, 16 bytes whatever the row width.
 
-    A null does not move Spark's hash, so the null pattern is hashed first.
-    Maps are hashed through their sorted entries.
+    A null does not move Spark's hash, so the null pattern is hashed first, and nested
+    values are hashed level by level with their nulls and lengths. Maps are equal if
+    their entries are, in any order.
     """
-    maps = {f.name for f in schema.fields if isinstance(f.dataType, T.MapType)}
+    types = {f.name: f.dataType for f in schema.fields}
     if not names:
         return "0L", "0L"
     nulls = "concat(" + ", ".join(f"if({q(c)} IS NULL, '1', '0')" for c in names) + ")"
-    values = ", ".join(f"array_sort(map_entries({q(c)}))" if c in maps else q(c) for c in names)
-    return f"xxhash64({nulls}, {values})", f"xxhash64('second', {nulls}, {values})"
+
+    def values(salt: str) -> str:
+        return ", ".join(_nested_hash(q(c), types[c], salt) if is_nested(types[c]) else q(c) for c in names)
+
+    return f"xxhash64({nulls}, {values("'first'")})", f"xxhash64('second', {nulls}, {values("'second'")})"
 
 
 def safe_ratio(a: Column, b: Column) -> Column:

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Profiling
-from ..functions.cells import NUMERIC, TEXTUAL, col, dbl, kind, parse_number
+from ..functions.cells import NUMERIC, TEXTUAL, col, dbl, holds_map, kind, parse_number, row_digest
 from . import categories, forest, numeric
 from .detectors import EMAIL_SHAPE
 from .scale import materialize, one_row, spread
 
 FENCE = 1.5
-LITERAL_LABELS = 1000
+BROADCAST_LABELS = 100_000
 
 
 @dataclass
@@ -35,16 +35,13 @@ def drop_column(df: DataFrame, name: str) -> DataFrame:
 
 
 def remove_duplicates(df: DataFrame) -> DataFrame:
-    """Distinct rows. Rows holding a map are grouped by its sorted entries."""
-    maps = {f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType)}
-    if not maps:
+    """Distinct rows. Spark cannot group by maps, so rows that hold one at any depth are
+    told apart by their 128-bit digest, as the duplicate count does."""
+    if not any(holds_map(f.dataType) for f in df.schema.fields):
         return df.dropDuplicates()
-    keys = [
-        F.array_sort(F.map_entries(col(c))).alias(c) if c in maps else col(c) for c in df.columns
-    ]
-    return df.select(*keys).dropDuplicates().select(
-        *[F.map_from_entries(col(c)).alias(c) if c in maps else col(c) for c in df.columns]
-    )
+    first, second = (F.expr(h) for h in row_digest(df.columns, df.schema))
+    marked = df.withColumn("__first", first).withColumn("__second", second)
+    return marked.dropDuplicates(["__first", "__second"]).drop("__first", "__second")
 
 
 def _typed(value: float, data_type: T.DataType) -> tuple[Column, T.DataType]:
@@ -69,12 +66,6 @@ def _mode(df: DataFrame, name: str) -> object:
     return None if top is None else top.v
 
 
-def frequent_labels(df: DataFrame, name: str, threshold: float) -> list[str]:
-    """Labels at or above the share: at most 1 / threshold of them."""
-    counts = categories.value_counts(df.select(col(name)), [name])
-    return [r.value for r in categories.frequent_values(counts, threshold).collect()]
-
-
 def _needs(actions: list[dict], types: dict[str, T.DataType]) -> tuple[dict, list[str]]:
     """Quantiles and means wanted by a batch of column actions."""
     wanted: dict[str, list[float]] = {}
@@ -141,13 +132,8 @@ def _repaired(df: DataFrame, a: dict, t: T.DataType, quart: dict, means: dict) -
             raise TypeError(f"logarithm of a {t.simpleString()} column")
         return {c: F.when(x.isNotNull(), F.log1p(F.greatest(x.cast("double"), F.lit(0.0))))}
     if op == "group_rare":
-        threshold = float(p.get("threshold") or 0.01)
-        if threshold * LITERAL_LABELS < 1:
-            raise ValueError(f"rare threshold {threshold} below 1/{LITERAL_LABELS}: use group_rare")
-        text = x.cast("string")
-        keep = frequent_labels(df, c, threshold)
-        known = text.isin(keep) if keep else F.lit(False)
-        return {c: F.when(text.isNull() | known, text).otherwise("OTHER")}
+        text = x.cast("string")  # `with_frequent` has marked the labels that stay
+        return {c: F.when(text.isNull() | col(_kept(c)), text).otherwise("OTHER")}
     if op == "cast_type":
         if p.get("target_type") != "numeric":
             return {c: x.cast("string")}
@@ -163,6 +149,30 @@ def _repaired(df: DataFrame, a: dict, t: T.DataType, quart: dict, means: dict) -
     raise ValueError(f"unknown operation {op}")
 
 
+def _kept(name: str) -> str:
+    return f"__kept {name}"
+
+
+def with_frequent(df: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+    """For each column add whether its label is at or above the share.
+
+    All columns are counted in one scan. At most 1 / threshold labels of a column stay;
+    they are joined, whatever the threshold, and broadcast while that bound is small.
+    """
+    if not thresholds:
+        return df
+    names = list(thresholds)
+    counts = categories.value_counts(df.select(*[col(c) for c in names]), names)
+    for name, threshold in thresholds.items():
+        labels = categories.frequent_values(counts.where(F.col("column") == name), threshold)
+        labels = labels.select(F.col("value").alias("__label"))
+        if threshold * BROADCAST_LABELS >= 1:
+            labels = F.broadcast(labels)
+        joined = df.join(labels, col(name).cast("string") == F.col("__label"), "left")
+        df = joined.withColumn(_kept(name), F.col("__label").isNotNull()).drop("__label")
+    return df
+
+
 def repair_columns(
     df: DataFrame, actions: list[dict], cfg: Profiling = Profiling(), outcome: Outcome | None = None
 ) -> DataFrame:
@@ -196,6 +206,9 @@ def repair_columns(
                 quart = numeric.quantiles(narrow, wanted, exact=cfg.exact_quantiles)
             if mean_of:
                 means = one_row(narrow, {c: f"avg({dbl(c)})" for c in mean_of})
+    rare = [a for a in present if a["operation"] == "group_rare"]
+    names = df.columns
+    df = with_frequent(df, {a["column"]: float(a["params"].get("threshold") or 0.01) for a in rare})
     dropped, new = set(), {}
     for a in present:
         if a["operation"] == "drop_column":
@@ -205,7 +218,7 @@ def repair_columns(
             new |= _repaired(df, a, types[a["column"]], quart, means)
         except (TypeError, ValueError) as error:
             outcome.errors.append((a, str(error)))
-    kept = [new.get(c, col(c)).alias(c) for c in df.columns if c not in dropped]
+    kept = [new.get(c, col(c)).alias(c) for c in names if c not in dropped]
     added = [v.alias(c) for c, v in new.items() if c not in types]
     return df.select(*kept, *added)
 
@@ -233,22 +246,8 @@ flag_nulls = _one("flag_nulls")
 
 
 def group_rare(df: DataFrame, name: str, threshold: float = 0.01) -> DataFrame:
-    """Labels below the share become OTHER; nulls stay.
-
-    The frequent labels are few (at most 1 / threshold). Up to a thousand become
-    literals; beyond that they are joined like any other table.
-    """
-    if threshold * LITERAL_LABELS >= 1:
-        return _one("group_rare")(df, name, threshold=threshold)
-    counts = categories.value_counts(df.select(col(name)), [name])
-    keep = categories.frequent_values(counts, threshold).select(
-        F.col("value").alias("__label")
-    )
-    joined = df.join(keep, col(name).cast("string") == F.col("__label"), "left")
-    text = col(name).cast("string")
-    return joined.withColumn(
-        name, F.when(text.isNull() | F.col("__label").isNotNull(), text).otherwise("OTHER")
-    ).drop("__label")
+    """Labels below the share become OTHER; nulls stay."""
+    return _one("group_rare")(df, name, threshold=threshold)
 
 
 def remove_anomalies(

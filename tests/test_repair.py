@@ -2,7 +2,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from qualityframe.operators import repair
+from qualityframe.operators import repair, structure
 from qualityframe.operators.planning import PLAN_COLUMNS
 from qualityframe.operators.scale import local_frame
 
@@ -55,8 +55,28 @@ def test_log_of_negatives_is_zero(spark):
     assert values(repair.log_transform(df, "x"), "x") == [0.0, 0.0, None]
 
 
+def test_nested_nulls_are_told_apart(spark):
+    """Duplicates are what removing duplicates removes, at every depth."""
+    df = spark.sql("""SELECT * FROM VALUES
+        (array(1, null), named_struct('x', 1, 'y', null), array(map('a', 1))),
+        (array(null, 1), named_struct('x', 1, 'y', null), array(map('a', 1))),
+        (array(1), named_struct('x', null, 'y', 1), array(map('a', 1))),
+        (array(1), named_struct('x', null, 'y', 1), array(map('a', null))),
+        (array(1), null, null),
+        (array(), named_struct('x', null, 'y', null), array()),
+        (null, named_struct('x', null, 'y', null), array(map('a', 1, 'b', 2))),
+        (null, named_struct('x', null, 'y', null), array(map('b', 2, 'a', 1)))
+        AS t(list, both, maps)""")
+    left = repair.remove_duplicates(df)
+    assert left.columns == df.columns and left.count() == 7
+    seen = structure.duplicate_rows(df).first()
+    assert seen.duplicate_row_ratio == pytest.approx(1 / 8)
+    assert structure.duplicate_rows(df.select("list", "both")).first().duplicate_row_ratio == pytest.approx(2 / 8)
+    assert structure.duplicate_rows(df.select("list")).first().duplicate_row_ratio == pytest.approx(3 / 8)
+
+
 @pytest.mark.parametrize("threshold", [0.1, 0.0005])
-def test_group_rare_by_literals_and_by_join(spark, threshold):
+def test_group_rare_at_any_threshold(spark, threshold):
     rows = [("a",)] * 1999 + [("b",)] + [(None,)]
     rare = threshold > 1 / 2000
     got = repair.group_rare(spark.createDataFrame(rows, "s string"), "s", threshold)

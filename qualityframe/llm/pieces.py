@@ -43,9 +43,9 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
 UNKNOWN_PENALTY = 10.0
 CHUNK = re.compile(r" *[^ ]+| +")
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 CACHED_LENGTH = 40
-CACHED_PAIRS = 1_000_000
+CACHED_PAIRS = 400_000
 
 
 def fields(data: bytes):
@@ -175,7 +175,7 @@ class Pieces:
         return parts
 
     @cached_property
-    def _pairs(self) -> dict[tuple[int, int], bool]:
+    def _pairs(self) -> dict[int, bool]:
         return {}
 
     def fits(self, left: int, right: int) -> bool:
@@ -185,7 +185,7 @@ class Pieces:
 
     def by_rank(self, text: str) -> tuple[list[int], list[int]]:
         """For each end the start and id of the last piece of merging the text so far."""
-        start, used, pairs = [0] * (len(text) + 1), [None] * (len(text) + 1), self._pairs
+        start, used, pairs, size = [0] * (len(text) + 1), [None] * (len(text) + 1), self._pairs, len(self.text)
         for i, c in enumerate(text):
             if c not in self.single:
                 start[i + 1], used[i + 1] = i, -1
@@ -197,9 +197,10 @@ class Pieces:
             at = end + 1 - length
             before = used[at] if at else -1
             if before >= 0:
-                fits = pairs.get((before, piece))
+                pair = before * size + piece
+                fits = pairs.get(pair)
                 if fits is None:
-                    fits = pairs[before, piece] = self.fits(before, piece)
+                    fits = pairs[pair] = self.fits(before, piece)
                 if not fits:
                     continue
             start[end + 1], used[end + 1] = at, piece

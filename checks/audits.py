@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qualityframe.operators import audit
+from qualityframe.config import HUMAN, Config
+from qualityframe.operators import audit, planning
 from qualityframe.operators.scale import scratch_path
+from qualityframe.plans.analyze import analyze, execute
 
 from .inputs import frame, sql, table
 
@@ -174,6 +176,34 @@ add(
 )
 
 
+def _own_trail(s, d) -> DataFrame:
+    """What a run with approval leaves in its own log, read by the log's own checks."""
+    cfg = Config(mode=HUMAN, tracing=True, lineage=True).with_profiling(enable_ml=False)
+    result = analyze(frame(s, d, "orders_after"), cfg, run_id="own")
+    execute(result, planning.approve(result.plan))
+    log = audit.event_frame(s, result.events)
+    steps = log.groupBy("component", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    wanted = steps.where("component || '/' || event_type IN ('rule/check', 'fix/proposal', 'trace/decision')")
+    found, planned = result.findings.count(), result.plan.count()
+    return wanted.select(
+        "component", "event_type",
+        F.when(F.col("component") == "rule", F.col("n") == found)
+        .when(F.col("component") == "fix", F.col("n") == planned)
+        .otherwise(F.col("n") == 1).alias("complete"),
+        F.lit(log.where("event_type = 'execution' AND name = 'execute'").count()).cast("bigint").alias("executions"),
+        F.lit(audit.decision_checks(log).where("status <> 'ok'").count()).cast("bigint").alias("bad_decisions"),
+    )
+
+
+add(
+    "trace_own_run",
+    _own_trail,
+    """SELECT component, event_type, true AS complete, 1::BIGINT AS executions, 0::BIGINT AS bad_decisions
+    FROM (VALUES ('rule', 'check'), ('fix', 'proposal'), ('trace', 'decision')) AS v(component, event_type)
+    WHERE (SELECT count(*) FROM orders) > 0""",
+)
+
+
 def _roundtrip(s, d) -> DataFrame:
     path = scratch_path(s, "trace")
     audit.append_events(events(s, d), path)

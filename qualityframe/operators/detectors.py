@@ -61,6 +61,7 @@ class Context:
     baseline: DataFrame | None = None
     config: Config = field(default_factory=Config)
     key: list[str] | None = None
+    run: tuple[str, str] | None = None  # (run_id, dataset_id) of the data
     pattern: str = EMAIL_SHAPE
     pattern_class: str = "email"
 
@@ -286,6 +287,15 @@ def combination_uniqueness(
     return local_frame(df.sparkSession, found, COMBO_SCHEMA)
 
 
+def of_run(found: DataFrame, c: Context) -> DataFrame:
+    """What a scan of the data found, labelled with the run that the data belong to."""
+    runs = c.dataset.select("run_id", "dataset_id").distinct().take(2)
+    if c.run is None and len(runs) > 1:
+        raise ValueError("profiles of several runs: name the run that the data belong to")
+    run = tuple(runs[0]) if c.run is None else c.run
+    return found.withColumn("run_id", F.lit(run[0])).withColumn("dataset_id", F.lit(run[1]))
+
+
 def quasi_identifiers(c: Context) -> DataFrame | None:
     """Pairs and triples of quasi-identifying columns that single out most rows."""
     if c.data is None:
@@ -296,9 +306,8 @@ def quasi_identifiers(c: Context) -> DataFrame | None:
     found = combination_uniqueness(c.data, names, c.limits.quasi_id).where(
         F.col("ratio") > c.limits.quasi_id
     )
-    ids = c.dataset.select("run_id", "dataset_id")  # one row per run
     return finding(
-        found.join(F.broadcast(ids)), "QuasiIdentifierDetector", "quasi_identifier_risk",
+        of_run(found, c), "QuasiIdentifierDetector", "quasi_identifier_risk",
         "privacy", F.col("ratio"),
         F.format_string(
             "%s together single out %.2f%% of rows", F.concat_ws(", ", "columns"), F.col("ratio") * 100
@@ -465,9 +474,8 @@ def anomalies(c: Context) -> DataFrame | None:
     if c.data is None:
         return None
     found = forest.anomaly_rows(c.data, key=c.key, cfg=c.config.profiling)
-    ids = c.dataset.select("run_id", "dataset_id")
     return finding(
-        found.join(F.broadcast(ids)), "IsolationForest", "anomaly_score", "accuracy",
+        of_run(found, c), "IsolationForest", "anomaly_score", "accuracy",
         F.col("anomaly_ratio"),
         F.format_string("%d of %d rows are anomalous", F.col("anomaly_count"), F.col("samples")),
         {"samples": F.col("samples"), "anomaly_count": F.col("anomaly_count")},

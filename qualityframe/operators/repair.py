@@ -29,6 +29,15 @@ class Outcome:
     approval_requested: bool = False
     blocked: bool = False
 
+    def statuses(self) -> list[tuple[dict, str, str | None]]:
+        """(action, executed, skipped or error, message) of every action that was tried."""
+        failed = {id(a): message for a, message in self.errors}
+        missed = {id(a) for a in self.skipped}
+        out = [(a, "error", m) for a, m in self.errors]
+        out += [(a, "skipped", None) for a in self.skipped]
+        out += [(a, "executed", None) for a in self.executed if id(a) not in failed and id(a) not in missed]
+        return out
+
 
 def drop_column(df: DataFrame, name: str) -> DataFrame:
     return df.drop(name)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
@@ -45,7 +47,8 @@ class Result:
         return planning.run_summary(self.decisions, means, self.plan).first().summary
 
     def save(self, path: str) -> None:
-        """Append findings, decisions, plan, executed actions and the audit tables.
+        """Append findings, decisions, plan, executed actions, the outcome of every
+        action and the audit tables.
 
         One folder per table; tables of many runs share it, partitioned by run.
         """
@@ -60,6 +63,13 @@ class Result:
             done = [tuple(a[c] for c in planning.PLAN_COLUMNS) for a in self.outcome.executed]
             actions = local_frame(spark, done, self.plan.schema)
             actions.write.mode("append").partitionBy("run_id").json(f"{path}/actions")
+        if self.outcome is not None and self.outcome.statuses():
+            rows = [
+                (self.run_id, a.get("action_id"), a.get("operation"), a.get("column"), status, error)
+                for a, status, error in self.outcome.statuses()
+            ]
+            names = "run_id string, action_id string, operation string, `column` string, status string, error string"
+            local_frame(spark, rows, names).write.mode("append").partitionBy("run_id").json(f"{path}/outcome")
         if self.events:
             audit.append_events(audit.event_frame(spark, self.events), f"{path}/trace_events")
         if self.lineage:
@@ -68,15 +78,38 @@ class Result:
             )
 
 
+# The reason codes of the audit tables that stand for an issue type.
+REASONS = {
+    "missing_values": "high_null_ratio",
+    "constant_column": "low_cardinality",
+    "imbalance": "low_cardinality",
+    "rare_category": "low_cardinality",
+    "outliers": "outlier_detected",
+    "anomaly_score": "outlier_detected",
+    "pattern_violation": "rule_violation",
+    "range_violation": "rule_violation",
+    "semantic_violation": "rule_violation",
+    "type_mismatch": "rule_violation",
+}
+OTHER_REASON = "metric_threshold_exceeded"
+
+
 class Recorder:
-    """Collects the few audit rows of a run; off unless tracing is on."""
+    """Collects the few audit rows of a run; off unless tracing is on.
+
+    Given a result, it goes on where that run's trail ended.
+    """
 
-    def __init__(self, trace_id: str, cfg: Config) -> None:
+    def __init__(self, trace_id: str, cfg: Config, result: Result | None = None) -> None:
         self.trace_id, self.cfg = trace_id, cfg
-        self.events: list[dict] = []
-        self.nodes: list[dict] = []
+        self.events: list[dict] = [] if result is None else result.events
+        self.nodes: list[dict] = [] if result is None else result.lineage
 
-    def event(self, name: str, event_type: str = "info", severity: str = "info", **metadata) -> None:
+    def event(
+        self, name: str, event_type: str = "info", severity: str = "info", component: str = "trace",
+        inputs=None, outputs=None, confidence: float | None = None, reasons: list[str] | None = None,
+        evidence=None, **metadata,
+    ) -> None:
         if not self.cfg.tracing:
             return
         self.events.append(
@@ -84,15 +117,65 @@ class Recorder:
                 "event_id": str(uuid.uuid4()),
                 "trace_id": self.trace_id,
                 "parent_event_id": self.events[0]["event_id"] if self.events else None,
-                "component": "trace",
+                "component": component,
                 "event_type": event_type,
                 "severity": severity,
                 "name": name,
                 "timestamp": datetime.now(UTC).replace(tzinfo=None),
+                "inputs": inputs,
+                "outputs": outputs,
                 "metadata": metadata,
+                "confidence": confidence,
+                "reasons": reasons,
+                "evidence": evidence,
             }
         )
 
+    @contextmanager
+    def stage(self, name: str, event_type: str):
+        """One event when a step ends, with the seconds it took; an error is recorded."""
+        begun, noted = time.perf_counter(), {}
+        try:
+            yield noted
+        except Exception as error:
+            self.event(name, "error", "error", error_message=str(error))
+            raise
+        self.event(name, event_type, seconds=round(time.perf_counter() - begun, 3), **noted)
+
+    def findings(self, rows: list) -> None:
+        """One failed rule check for each finding; a run's findings are bounded by its schema."""
+        for r in rows:
+            self.event(
+                r.issue_type, "check", "warning", "rule", inputs={"column": r.column, "detector": r.detector},
+                outputs={"passed": False, "severity": r.severity},
+            )
+
+    def decision(self, row, rows: list) -> None:
+        """The verdict, how far its score is from the next verdict, and why."""
+        margin = min(abs(row.score - edge) for edge in (scoring.PASS_BELOW, scoring.WARN_BELOW))
+        codes = sorted({REASONS.get(r.issue_type, OTHER_REASON) for r in rows}) or [OTHER_REASON]
+        self.event(
+            "verdict", "decision", confidence=round(min(1.0, 0.5 + margin), 4), reasons=codes,
+            evidence={"score": row.score, "issues": list(row.dominant_issues)}, decision=row.decision,
+        )
+
+    def proposals(self, plan: DataFrame) -> None:
+        for a in plan.orderBy("seq").collect():  # one row per action
+            self.event(
+                a.operation or a.action_type, "proposal", component="fix",
+                outputs={"column": a.column, "action_type": a.action_type},
+                strategy=(a.params or {}).get("strategy") or a.action_type,
+            )
+
+    def outcome(self, outcome: repair.Outcome) -> None:
+        for a, status, error in outcome.statuses():
+            name = a.get("operation") or a.get("action_type")
+            if status == "error":
+                self.event(name, "error", "error", error_message=error, column=a.get("column"))
+            else:
+                severity = "warning" if status == "skipped" else "info"
+                self.event(name, "execution", severity, status=status, column=a.get("column"))
+
     def node(self, operation: str, inputs, outputs) -> None:
         if self.cfg.lineage:
             self.nodes.append(
@@ -125,7 +208,7 @@ def inspect(
             profiles = profile(data, cfg, order_by, run_id, dataset_id, key, parts)
         context = detectors.Context(
             profiles.columns, profiles.dataset, profiles.correlations, profiles.classes(), data,
-            None if baseline is None else baseline.columns, cfg, key,
+            None if baseline is None else baseline.columns, cfg, key, (run_id, dataset_id),
         )
         return profiles, pin(detectors.detect(context, registry))
 
@@ -161,15 +244,20 @@ def analyze(
     origin = describe(source, **options) if isinstance(source, str) else {"kind": "frame"}
     log.node("read", origin, df.columns)
 
-    profiles, findings = inspect(
-        df, cfg, baseline, order_by, key, dataset_id, run_id, registry, profiles
-    )
-    log.event("profile", "profiling", columns=len(df.columns))
-    log.event("detect", "result", findings=findings.count())
-    scores = pin(scoring.score(findings, cfg.weights))
-    decisions = pin(scoring.decisions(scores, profiles.dataset))
-    log.event("decide", "decision", decision=decisions.first().decision)
-    plan = pin(planning.make_plan(scores, decisions, cfg))
+    with log.stage("profile and detect", "profiling") as noted:
+        profiles, findings = inspect(
+            df, cfg, baseline, order_by, key, dataset_id, run_id, registry, profiles
+        )
+        rows = findings.orderBy("seq").collect() if cfg.tracing else []
+        noted |= {"columns": len(df.columns), "findings": len(rows)}
+    log.findings(rows)
+    with log.stage("score", "result"):
+        scores = pin(scoring.score(findings, cfg.weights))
+        decisions = pin(scoring.decisions(scores, profiles.dataset))
+    log.decision(decisions.first(), rows)
+    with log.stage("plan", "result"):
+        plan = pin(planning.make_plan(scores, decisions, cfg))
+    log.proposals(plan)
     result = Result(
         df, run_id, cfg, profiles, findings, scores, decisions, plan,
         events=log.events, lineage=log.nodes,
@@ -191,14 +279,18 @@ def execute(
     key: list[str] | None = None,
     log: Recorder | None = None,
 ) -> Result:
-    """Apply a plan (for example after approval) to the run's table, without re-profiling."""
+    """Apply a plan (for example after approval) to the run's table, without re-profiling.
+
+    The run's audit trail goes on: each action, skip and error is an event.
+    """
     cfg = result.config
+    log = log or Recorder(result.run_id, cfg, result)
     result.data, result.outcome = repair.apply_plan(
         result.data, plan, handlers, key, cfg.profiling, cfg.planning.stop_on_block
     )
-    if log:
-        log.event("execute", "execution", executed=len(result.outcome.executed))
-        log.node("action_execution", plan.count(), len(result.outcome.executed))
+    log.outcome(result.outcome)
+    log.event("execute", "execution", executed=len(result.outcome.executed))
+    log.node("action_execution", plan.count(), len(result.outcome.executed))
     return result
 
 

@@ -302,3 +302,35 @@ def test_saved_results_hold_actions_and_audit_rows(spark, tmp_path):
     assert '"kind": "parquet"' in nodes.first().inputs
     events = spark.read.json(str(tmp_path / "out" / "trace_events"))
     assert events.where("trace_id = 'r1'").count() == len(result.events)
+    outcome = spark.read.json(str(tmp_path / "out" / "outcome"))
+    assert {r.status for r in outcome.collect()} == {"executed"}
+
+
+def test_skips_and_errors_are_recorded(spark, tmp_path):
+    from qualityframe.operators import repair
+
+    cfg = C.Config(mode=C.HUMAN, tracing=True).with_profiling(enable_ml=False)
+    df = spark.createDataFrame([(None, "x"), (None, "y"), (1.0, "z")], "a double, s string")
+    result = analyze(df, cfg, run_id="r2")
+    before = len(result.events)
+    lost = result.plan.limit(1).withColumns({"operation": F.lit("drop_column"), "column": F.lit("gone"), "action_type": F.lit("DROP"), "seq": F.lit(90).cast("long")})
+    wrong = lost.withColumns({"operation": F.lit("clip"), "column": F.lit("s"), "seq": F.lit(91).cast("long")})
+    plan = planning.approve(lost.unionByName(wrong))
+    execute(result, plan)
+    assert isinstance(result.outcome, repair.Outcome)
+    tail = result.events[before:]
+    assert [(e["event_type"], e["severity"]) for e in tail] == [("error", "error"), ("execution", "warning"), ("execution", "info")]
+    result.save(str(tmp_path / "out"))
+    saved = spark.read.json(str(tmp_path / "out" / "outcome")).collect()
+    assert sorted(r.status for r in saved) == ["error", "skipped"]
+
+
+def test_findings_carry_the_run_that_was_scanned(spark):
+    df = spark.range(40).selectExpr("id", "cast(id AS string) AS zip_code", "id % 7 AS birth_year", "'F' AS gender")
+    one = profile(df, run_id="one", dataset_id="d", parts=LEAN)
+    two = profile(df, run_id="two", dataset_id="d", parts=LEAN)
+    both = one.dataset.unionByName(two.dataset)
+    context = detectors.Context(one.columns, both, one.correlations, one.classes(), df, run=("two", "d"))
+    assert {r.run_id for r in detectors.quasi_identifiers(context).collect()} == {"two"}
+    with pytest.raises(ValueError):
+        detectors.quasi_identifiers(detectors.Context(one.columns, both, one.correlations, one.classes(), df))

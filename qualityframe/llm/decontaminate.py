@@ -31,7 +31,7 @@ SPAN = 8
 WINDOW = 13
 SHARE = 0.8
 WORD_BITS = 17
-SEED_BITS = 18
+SEED_BITS = 20
 
 
 def words(text: str) -> Column:
@@ -58,25 +58,32 @@ def seeds(hashes: str) -> str:
     return f"concat({', '.join(each)})"
 
 
+def _spots(value: str, bits: int) -> list[str]:
+    """The two bits of a bitmap that stand for a value, as SQL."""
+    return [f"pmod({value}, {1 << bits}L)", f"pmod(shiftright({value}, {bits}), {1 << bits}L)"]
+
+
 def bitmap(values: DataFrame, column: str, bits: int) -> str:
-    """SQL for an array of 2 ** bits bits as longs: bit v mod 2 ** bits is set.
+    """SQL for an array of 2 ** bits bits as longs, with the bits of all values set.
 
     At most 2 ** bits / 64 rows come to the driver, whatever the input.
     """
-    spot = f"pmod(`{column}`, {1 << bits}L)"
-    held = values.where(F.col(column).isNotNull()).select(
-        F.expr(f"cast(shiftright({spot}, 6) AS int) AS at"),
-        F.expr(f"shiftleft(1L, cast(pmod(`{column}`, 64L) AS int)) AS bit"),
+    spots = ", ".join(_spots(f"`{column}`", bits))
+    held = values.where(F.col(column).isNotNull()).select(F.expr(f"explode(array({spots})) AS spot"))
+    lane = held.select(
+        F.shiftright("spot", 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(spot % 64 AS int)) AS bit")
     )
     lanes = [0] * ((1 << bits) // 64)
-    for at, lane in held.groupBy("at").agg(F.bit_or("bit")).collect():
-        lanes[at] = lane
+    for at, lane_bits in lane.groupBy("at").agg(F.bit_or("bit")).collect():
+        lanes[at] = lane_bits
     return f"cast(split('{','.join(map(str, lanes))}', ',') AS array<bigint>)"
 
 
 def in_bitmap(lanes: str, value: str, bits: int) -> str:
-    spot = f"cast(shiftright(pmod({value}, {1 << bits}L), 6) AS int) + 1"
-    return f"getbit(element_at({lanes}, {spot}), cast(pmod({value}, 64L) AS int)) = 1"
+    return " AND ".join(
+        f"getbit(element_at({lanes}, cast(shiftright({spot}, 6) AS int) + 1), cast({spot} % 64 AS int)) = 1"
+        for spot in _spots(value, bits)
+    )
 
 
 def prepared(items: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -146,9 +153,9 @@ def overlaps(
 
 def drop_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that hold no benchmark item."""
-    leaks = stored(overlaps(docs, items, key, text).select("key", "text_hash").distinct(), "leaks")
-    same = F.col(key).eqNullSafe(F.col("key")) & (F.xxhash64(whole(text)) == F.col("text_hash"))
-    return docs.join(leaks.toDF("key", "text_hash"), same, "left_anti")
+    leaks = overlaps(docs, items, key, text).select("key", "text_hash").distinct().toDF("__key", "__text_hash")
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(whole(text)) == F.col("__text_hash"))
+    return docs.join(stored(leaks, "leaks"), same, "left_anti")
 
 
 def op6(docs: DataFrame, items: DataFrame) -> DataFrame:

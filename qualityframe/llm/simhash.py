@@ -11,6 +11,12 @@ followed downwards only while the differences accumulated over shared bits stay
 `most`. A bucket returns a spanning forest of its links, never all pairs. Links are
 turned into components by alternating star contraction.
 
+Two rules share that index. `groups` links 64-bit fingerprints of three-word shingles at
+two bits or fewer. `similar_groups` links texts whose five-word shingles have a Jaccard
+similarity of 0.8 or more, as four fingerprints estimate it: at that similarity 64 bits
+differ in about ten places, so candidates come from shorter codes of two-word shingles,
+within two bits in any of six tables, and the distance of all 256 bits decides.
+
 Defined cases: a null or empty text has fingerprint zero, which links like any other;
 a text of fewer words than a shingle is one shingle; repeated rows each get a row; a
 null id stays null and is ignored by the smallest id; other columns are not read.
@@ -28,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import by_batch, discard, stored, whole, without
+from .common import by_batch, discard, kept, stored, whole, without
 
 BITS = 64
 WORDS = 3
@@ -84,9 +90,9 @@ def gray_rank(name: str) -> Column:
     return out
 
 
-def _split(mask: int, parts: int) -> list[int]:
+def _split(mask: int, parts: int, bits: int) -> list[int]:
     """`mask` plus each of `parts` nearly equal runs of the bits it leaves free."""
-    free = [b for b in range(BITS) if not mask >> b & 1]
+    free = [b for b in range(bits) if not mask >> b & 1]
     return [mask | sum(1 << b for b in run.tolist()) for run in np.array_split(free, parts)]
 
 
@@ -94,12 +100,16 @@ def _signed(mask: int) -> int:
     return mask - (1 << BITS) if mask >> (BITS - 1) else mask
 
 
-def buckets(codes: DataFrame, most: int = MOST, largest: int = LARGEST) -> DataFrame:
-    """(bucket, fp): every pair within `most` bits shares a bucket; buckets stay small.
+def buckets(
+    codes: DataFrame, most: int = MOST, largest: int = LARGEST, bits: int = BITS, within: tuple[str, ...] = ()
+) -> DataFrame:
+    """`codes` (fp and any columns) with a bucket: every pair of codes within `most` bits
+    and with equal columns `within` shares one.
 
-    Codes are distinct, so each split fixes more bits until at most 2 ** free bits
-    remain together; no bucket is cut short.
+    Large buckets are split until all bits are used, so distinct codes end in buckets of
+    at most 2 ** free bits; no bucket is cut short.
     """
+    kept = codes.columns
 
     def dealt(frame: DataFrame, children: dict[int, list[int]]) -> DataFrame:
         if len(children) == 1:
@@ -107,25 +117,25 @@ def buckets(codes: DataFrame, most: int = MOST, largest: int = LARGEST) -> DataF
         else:
             pairs = [x for k, v in children.items() for x in (F.lit(_signed(k)), F.array(*[F.lit(_signed(m)) for m in v]))]
             masks = F.element_at(F.create_map(*pairs), F.col("mask"))
-        out = frame.select("fp", F.explode(masks).alias("mask"))
-        return out.withColumn("bucket", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
+        out = frame.select(*kept, F.explode(masks).alias("mask"))
+        return out.withColumn("bucket", F.xxhash64(*within, "mask", F.col("fp").bitwiseAND(F.col("mask"))))
 
-    masks = _split(0, most + 1)
-    rows, done = dealt(codes.select("fp"), {0: masks}), []
+    masks = _split(0, most + 1, bits)
+    rows, done = dealt(codes, {0: masks}), []
     while True:
         sizes = rows.groupBy("bucket").count().where(F.col("count") > largest).select("bucket")
         large = stored(sizes, "large-buckets")
         if large.isEmpty():
             break
         done.append(rows.join(large, "bucket", "left_anti"))
-        children = {m: _split(m, most + 1) for m in masks}
+        children = {m: _split(m, most + 1, bits) for m in masks}
         rows = dealt(rows.join(large, "bucket", "left_semi"), children)
         masks = sorted({m for v in children.values() for m in v})
-        if 2 ** max(BITS - m.bit_count() for m in masks) <= largest:
+        if 2 ** max(bits - m.bit_count() for m in masks) <= largest:
             break
     for part in done:
         rows = rows.unionByName(part)
-    return rows.select("bucket", "fp")
+    return rows.select("bucket", *kept)
 
 
 def _expand(a, b, seen, far, size: int):
@@ -254,20 +264,163 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     marks = stored(fingerprints(docs, text, words, (key,)).toDF("key", "fp"), "fingerprints")
     classes = marks.groupBy("fp").agg(F.min("key").alias("first"))
     links = bucket_links(buckets(classes.select("fp"), most), most)
+    return _named(marks, classes, links).withColumnRenamed("key", key)
+
+
+def _named(marks: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, fp, root, component) from rows (key, fp), classes (fp, first) and links."""
     stars = star_components(links).withColumnRenamed("node", "fp")
     rooted = classes.join(stars, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))
     named = stored(rooted.join(least, "root").select("fp", "root", "component"), "components")
-    return marks.join(named, "fp").select(F.col("key").alias(key), "fp", "root", "component")
+    return marks.join(named, "fp").select("key", "fp", "root", "component")
+
+
+# Near duplicates by similarity -------------------------------------------------------
+
+SIMILAR_WORDS, SEARCH_WORDS = 5, 2
+SIMILARITY = 0.8
+SIGNS, SEARCHES = 4, 3
+CODE_BITS = 32
+SLACK = 3
+CROWD = 1024
+MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
+
+
+class WordHashes(dict):
+    """Hashes of words seen by this worker; emptied when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 300_000:
+            self.clear()
+        value = xxh64_intdigest(word)
+        if len(word) <= 32:
+            self[word] = value
+        return value
+
+
+def shingles(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Distinct hashes of runs of words; fewer words are one run."""
+    if len(hashes) == 0:
+        return hashes
+    size = max(1, len(hashes) - words + 1)
+    out = np.zeros(size, np.uint64)
+    for k in range(min(words, len(hashes))):
+        out = (out ^ hashes[k : k + size]) * MIX[0]
+        out ^= out >> np.uint64(32)
+    return np.unique(out)
+
+
+def signature(data: bytes) -> list[int]:
+    """SIGNS fingerprints of five-word shingles, then SEARCHES of shorter ones; zeros for
+    a text without words."""
+    found = data.lower().split()
+    known = kept("simhash words", WordHashes)
+    hashes = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+    out = []
+    for words, count in ((SIMILAR_WORDS, SIGNS), (SEARCH_WORDS, SEARCHES)):
+        runs = shingles(hashes, words)
+        for family in range(count):
+            mixed = (runs ^ np.uint64(family + 1)) * MIX[1]
+            mixed = (mixed ^ (mixed >> np.uint64(33))) * MIX[0]
+            out.append(majority(mixed ^ (mixed >> np.uint64(29))) if len(runs) else 0)
+    return out
+
+
+NAMES = [f"__s{k}" for k in range(SIGNS + SEARCHES)]
+
+
+def signatures(docs: DataFrame, text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """The columns `also`, the signature of the text, and __fp, a hash of the signature."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = np.array([signature(t) for t in batch.column(len(also)).to_pylist()], np.uint64).view(np.int64)
+        columns = [pa.array(np.ascontiguousarray(made[:, k])) for k in range(len(NAMES))]
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*also, *NAMES])
+
+    left = docs.select(*also)
+    read = docs.select(*also, whole(text).cast("binary").alias("__data"))
+    schema = T.StructType([*left.schema.fields, *[T.StructField(n, T.LongType()) for n in NAMES]])
+    return by_batch(read, step, schema).withColumn("__fp", F.xxhash64(*NAMES))
+
+
+def most_bits(similarity: float) -> int:
+    """Differing bits of SIGNS fingerprints that a Jaccard similarity leads to: the angle
+    of sets of equal size, and some slack for chance."""
+    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(angle * SIGNS * BITS + SLACK)
+
+
+def similar_links(classes: DataFrame, similarity: float = SIMILARITY, largest: int = CROWD) -> DataFrame:
+    """(a, b): links between classes (fp and signature) of at least a similarity.
+
+    Candidates are codes of CODE_BITS bits within MOST of each other, in any of several
+    tables; what links is the distance of the whole five-word signature. Where more
+    classes than `largest` share one code, 8 bits at a time of the next search
+    fingerprint part them; the other tables part them otherwise.
+    """
+    limit, signs, half = most_bits(similarity), NAMES[:SIGNS], (1 << CODE_BITS) - 1
+    tables = []
+    for k in range(SEARCHES):
+        own, other = F.col(NAMES[SIGNS + k]), F.col(NAMES[SIGNS + (k + 1) % SEARCHES])
+        for part in range(BITS // CODE_BITS):
+            code = F.shiftrightunsigned(own, part * CODE_BITS).bitwiseAND(F.lit(half))
+            tables.append(F.struct(F.lit(2 * k + part).alias("table"), code.alias("code"), other.alias("other")))
+    each = classes.select("fp", *signs, F.explode(F.array(*tables)).alias("t"))
+    codes = each.select(F.col("t.code").alias("fp"), F.col("t.table").alias("table"), F.col("t.other").alias("other"), F.col("fp").alias("id"), *signs)
+    rows = stored(buckets(codes, MOST, largest, CODE_BITS, ("table",)), "similar-buckets")
+    for shift in range(0, BITS, 8):
+        large = stored(rows.groupBy("bucket").count().where(F.col("count") > largest).select("bucket"), "crowded")
+        if large.isEmpty():
+            break
+        crowded = rows.join(large, "bucket", "left_semi")
+        byte = F.shiftrightunsigned("other", shift).bitwiseAND(F.lit(255))
+        parted = crowded.withColumn("bucket", F.xxhash64("bucket", byte))
+        rows = rows.join(large, "bucket", "left_anti").unionByName(parted)
+
+    def solve(keys: np.ndarray, codes: np.ndarray, ids: np.ndarray, sign: np.ndarray) -> pa.RecordBatch:
+        i, j = near_pairs(keys, codes.view(np.uint64), MOST)
+        sign, far = np.ascontiguousarray(sign).view(np.uint64), np.zeros(len(i), np.int64)
+        for k in range(SIGNS):
+            far += np.bitwise_count(sign[i, k] ^ sign[j, k])
+        i, j = i[far <= limit], j[far <= limit]
+        root = forest(len(ids), i, j) if len(i) else np.arange(len(ids))
+        node = np.flatnonzero(ids != ids[root])
+        x, y = ids[node], ids[root[node]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 3 + SIGNS), np.int64)
+        for batch in batches:
+            held = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
+            if len(held) >= ROWS_AT_ONCE // 4:
+                cut = int(np.searchsorted(held[:, 0], held[-1, 0]))  # the last bucket may go on
+                if cut:
+                    yield solve(held[:cut, 0], np.ascontiguousarray(held[:cut, 1]), held[:cut, 2], held[:cut, 3:])
+                    held = held[cut:]
+        if len(held):
+            yield solve(held[:, 0], np.ascontiguousarray(held[:, 1]), held[:, 2], held[:, 3:])
+
+    ordered = rows.select("bucket", "fp", "id", *signs).repartition("bucket").sortWithinPartitions("bucket", gray_rank("fp"))
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(key, fp, root, component) as `groups` has them, for texts whose five-word shingles
+    are similar; fp is the hash of the signature."""
+    marks = stored(signatures(docs, text, (key,)).withColumnsRenamed({key: "key", "__fp": "fp"}), "signatures")
+    classes = marks.groupBy("fp", *NAMES).agg(F.min("key").alias("first"))
+    return _named(marks, classes, similar_links(classes, similarity)).withColumnRenamed("key", key)
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, most: int = MOST) -> DataFrame:
-    """The documents without near duplicates: of each group the one with the smallest key.
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The documents without near duplicates: of each group of similar texts the one with
+    the smallest key.
 
     A row without a key stays only if its whole group has none. Of rows that share key
     and group one stays.
     """
-    found = stored(groups(docs, key, text, words, most), "near-duplicates")
+    found = stored(similar_groups(docs, key, text, similarity), "near-duplicates")
     gone = stored(found.where(F.col(key) != F.col("component")).select(key).distinct(), "dropped")
     odd = stored(found.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull()).select(key), "unclear")
     if odd.isEmpty():
@@ -275,7 +428,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     # keys of several rows, or none: the row's own fingerprint decides
     plain = without(without(docs.where(F.col(key).isNotNull()), gone, key), odd, key)
     unclear = docs.join(odd.select(F.col(key).alias("__odd")), F.col(key).eqNullSafe(F.col("__odd")), "left_semi")
-    marked = fingerprints(unclear, text, words, tuple(docs.columns))
+    marked = signatures(unclear, text, tuple(docs.columns))
     named = found.select(*[F.col(c).alias(f"__{c}") for c in ("fp", "root", "component")]).distinct()
     stays = marked.join(named, "__fp").where(F.col(key).eqNullSafe(F.col("__component")))
     return plain.unionByName(stays.dropDuplicates(["__root"]).select(*docs.columns))

@@ -107,3 +107,43 @@ def test_odd_rows_one_stays(odd_docs, no_docs):
     assert out.columns == odd_docs.columns
     assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "1", "2", "5", "6", "None"]
     assert simhash.keep_one(no_docs).count() == 0
+
+
+def shingle_set(text):
+    words = text.lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def test_similar_texts_group_and_others_do_not(spark):
+    """Copies of a text with few words changed; the truth is Jaccard by brute force."""
+    rng = random.Random(9)
+    rows, texts = [], []
+    for _ in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(80, 400))]
+        texts.append(base)
+        for _ in range(3):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), max(1, len(copy) // 120)):
+                copy[at] = "changed"
+            texts.append(copy)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    found = {r.doc_id: r.component for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: shingle_set(t) for i, t in rows}
+    near = [(a, b) for a in sets for b in range(4 * (a // 4), a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(near) > 100
+    assert sum(found[a] == found[b] for a, b in near) >= 0.95 * len(near)
+    assert all(c // 4 == i // 4 for i, c in found.items())  # nothing unrelated meets
+
+
+def test_crowds_of_near_copies_are_split_and_still_meet(spark):
+    rng = random.Random(10)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    rows = []
+    for i in range(400):
+        copy = list(base)
+        copy[rng.randrange(400)] = f"c{i}"
+        rows.append((i, " ".join(copy)))
+    marks = simhash.signatures(spark.createDataFrame(rows, "doc_id long, text string"), also=("doc_id",))
+    links = simhash.similar_links(marks.withColumnRenamed("__fp", "fp"), largest=60)
+    stars = simhash.star_components(links).collect()
+    assert len(stars) >= 390 and len({r.root for r in stars}) == 1

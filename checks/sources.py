@@ -43,22 +43,35 @@ add(
 add("src_parquet", lambda s, d: load(s, f"{d}/customer.parquet"), "SELECT * FROM customer")
 
 
+PARTS = "SELECT * REPLACE (CAST(p_size AS BIGINT) AS p_size) FROM part"
+
+
 def _src_json(s, d) -> DataFrame:
     path = scratch_path(s, "parts") + ".json"
-    one = table(s, d, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
+    one = table(s, d, "part")
     # each line holds an array of records
     one.groupBy(F.pmod("p_partkey", F.lit(64)).alias("chunk")).agg(
         F.to_json(F.collect_list(F.struct(*one.columns))).alias("value")
     ).drop("chunk").write.text(path)
-    lines = read_json(s, path, lines=True)
-    return lines.select("p_partkey", "p_name", "p_size", "p_retailprice")
+    return read_json(s, path, lines=True).select(*one.columns)
+
+
+def _src_json_array(s, d) -> DataFrame:
+    """The default form: each file is one array of records, here a few lines long."""
+    path = scratch_path(s, "parts-array")
+    one = table(s, d, "part")
+    chunked = one.groupBy(F.pmod("p_partkey", F.lit(16)).alias("chunk"))
+    text = F.concat(F.lit("[\n"), F.array_join(F.collect_list(F.to_json(F.struct(*one.columns))), ",\n"), F.lit("\n]"))
+    chunked.agg(text.alias("value")).write.partitionBy("chunk").text(path)
+    return read_json(s, path).select(*one.columns)
 
 
 add(
     "src_json",
     _src_json,
-    "SELECT p_partkey, p_name, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part",
+    PARTS,
 )
+add("src_json_array", _src_json_array, PARTS)
 
 
 def _src_table(s, d) -> DataFrame:
@@ -67,8 +80,7 @@ def _src_table(s, d) -> DataFrame:
 
 
 add("src_table", _src_table, "SELECT * FROM supplier")
-add("src_load", lambda s, d: load(s, f"{d}/events.parquet").select("event_id", "event_type", "value"),
-    "SELECT event_id, event_type, value FROM events")
+add("src_load", lambda s, d: load(s, f"{d}/events.parquet"), "SELECT * FROM events")
 
 
 def _sink_csv(s, d) -> DataFrame:

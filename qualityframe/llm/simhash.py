@@ -249,12 +249,14 @@ def star_components(links: DataFrame) -> DataFrame:
         return up.unionByName(own).where("a != b").distinct()
 
     edges, mark = stored(links, "links"), None
+    if edges.isEmpty():
+        return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
     while True:
         new = stored(small(large(edges)), "stars")
-        sign = new.agg(F.count("a"), F.expr("bit_xor(xxhash64(a, b))"), F.countDistinct("b")).first()
+        sign = new.agg(F.count("a"), F.expr("bit_xor(xxhash64(a, b))")).first()  # has anything moved?
         discard(edges)
         edges = new
-        if sign == mark or not sign[0]:
+        if sign == mark:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
         mark = sign
 

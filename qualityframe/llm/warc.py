@@ -38,6 +38,7 @@ LEAST_SHARED = 1000
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 16 << 20
 LEVEL = 3
+MOST_READERS = 10_000
 NAME = "urn:x-page:"
 DATE = "1970-01-01T00:00:00Z"
 RECORDS = "page_id long, path string, frame int, offset int, size int"
@@ -183,6 +184,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST_SHARED) -> DataFrame
 def read(manifest: DataFrame) -> DataFrame:
     """Read every bundle of a manifest back, frame by frame, one row for each record."""
     paths = manifest.select("path").distinct()
+    paths = paths.repartition(max(1, min(paths.count(), MOST_READERS)), "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -37,7 +37,9 @@ MAGIC = b"RANKVB01"
 HEAD = "<8sQQQ"
 FILE_BYTES = 16 << 20
 WORD = re.compile(r"[^ \t\n\r\f\v]+")
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
+CLOSING = ".,;:!?"
+MARK, WORDS_AT_ONCE = "\x01", 500
 CACHED_LENGTH = 40
 TEXTS_AT_ONCE = 200
 END_BYTES = np.array([END], "<u4").tobytes()
@@ -69,8 +71,24 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out
 
 
+def parted(word: str) -> tuple[str, str] | None:
+    """A word as lower-case core and closing marks, where that leaves its ids as they are.
+
+    The vocabulary lower-cases and cuts between letters or digits and other characters.
+    Below U+0100 nothing composes; a special token begins with `<|`.
+    """
+    core = word.rstrip(CLOSING)
+    if len(core) == len(word) or not core or not core[-1].isalnum() or max(word) > "\xff" or "<|" in word:
+        return None
+    return core.lower(), word[len(core) :]
+
+
 class Tokens:
-    """The library's tokenizer with the ids of words seen by this worker."""
+    """The library's tokenizer with the ids of words seen by this worker.
+
+    Words are kept in two generations: when the younger is full it becomes the older, and
+    a word found in the older moves up, so frequent words stay.
+    """
 
     def __init__(self, data: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,6 +96,12 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_str(data)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        mark = self.ids(MARK)
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers, the end id last."""
@@ -86,17 +110,41 @@ class Tokens:
             out += self._encode(texts[start : start + TEXTS_AT_ONCE])
         return out
 
+    def _new(self, words: list[str]) -> None:
+        """Look words up in the library, many in one text with a mark of one id between."""
+        plain = [w for w in words if self.mark is not None and MARK not in w]
+        for w in words if self.mark is None else [w for w in words if MARK in w]:
+            self.known[w] = np.array(self.ids(w), "<u4").tobytes()
+        for start in range(0, len(plain), WORDS_AT_ONCE):
+            part = plain[start : start + WORDS_AT_ONCE]
+            found = np.array(self.ids(f" {MARK} ".join(part)), "<u4")
+            ends = [*(4 * np.flatnonzero(found == self.mark)).tolist(), 4 * len(found)]
+            data, at = found.tobytes(), 0
+            for w, end in zip(part, ends, strict=True):
+                self.known[w] = data[at:end]
+                at = end + 4
+
+    def _fetch(self, words: set[str]) -> list[str]:
+        """Make words known; returns those that the library was asked for."""
+        known, older = self.known, self.older
+        known.update((w, older[w]) for w in words if w in older)
+        new = [w for w in words if w not in known]
+        self._new(new)
+        return new
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         split = [WORD.findall(t) for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.known.update((w, np.array(f.ids, "<u4").tobytes()) for w, f in zip(new, found))
-        out = [b"".join(map(self.known.__getitem__, words)) + END_BYTES for words in split]
+        known = self.known
+        missing = set().union(*split).difference(known)
+        parts = {w: p for w in missing if (p := parted(w))}
+        new = self._fetch({x for p in parts.values() for x in p if x not in known} | (missing - parts.keys()))
+        known.update((w, known[core] + known[tail]) for w, (core, tail) in parts.items())
+        out = [b"".join(map(known.__getitem__, words)) + END_BYTES for words in split]
         for w in new:
             if len(w) > CACHED_LENGTH:
-                del self.known[w]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
+                del known[w]
+        if len(known) > CACHED_WORDS:
+            self.known, self.older = {}, known
         return out
 
 

@@ -353,32 +353,39 @@ def most_bits(similarity: float) -> int:
     return int(angle * SIGNS * BITS + SLACK)
 
 
+def in_blocks(rows: DataFrame, key: str, largest: int) -> DataFrame:
+    """`rows` with buckets of more than `largest` rows dealt to blocks by a hash of `key`;
+    each pair of blocks is a bucket of its own, so any two rows of a bucket still meet."""
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / largest).alias("__blocks"))
+    large = stored(sizes.where("__blocks > 1"), "crowded")
+    if large.isEmpty():
+        return rows
+    block = F.pmod(F.xxhash64(F.lit(0), key), F.col("__blocks"))
+    crowded = rows.join(large, "bucket").withColumn("__block", block)
+    dealt = crowded.withColumn("__with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)))
+    pair = F.xxhash64("bucket", F.least("__block", "__with"), F.greatest("__block", "__with"))
+    parted = dealt.withColumn("bucket", pair).select(*rows.columns)
+    return rows.join(large, "bucket", "left_anti").select(*rows.columns).unionByName(parted)
+
+
 def similar_links(classes: DataFrame, similarity: float = SIMILARITY, largest: int = CROWD) -> DataFrame:
     """(a, b): links between classes (fp and signature) of at least a similarity.
 
     Candidates are codes of CODE_BITS bits within MOST of each other, in any of several
-    tables; what links is the distance of the whole five-word signature. Where more
-    classes than `largest` share one code, 8 bits at a time of the next search
-    fingerprint part them; the other tables part them otherwise.
+    tables; what links is the distance of the whole five-word signature. A bucket of more
+    classes than `largest` is compared block against block.
     """
     limit, signs, half = most_bits(similarity), NAMES[:SIGNS], (1 << CODE_BITS) - 1
     tables = []
     for k in range(SEARCHES):
-        own, other = F.col(NAMES[SIGNS + k]), F.col(NAMES[SIGNS + (k + 1) % SEARCHES])
+        own = F.col(NAMES[SIGNS + k])
         for part in range(BITS // CODE_BITS):
             code = F.shiftrightunsigned(own, part * CODE_BITS).bitwiseAND(F.lit(half))
-            tables.append(F.struct(F.lit(2 * k + part).alias("table"), code.alias("code"), other.alias("other")))
+            tables.append(F.struct(F.lit(2 * k + part).alias("table"), code.alias("code")))
     each = classes.select("fp", *signs, F.explode(F.array(*tables)).alias("t"))
-    codes = each.select(F.col("t.code").alias("fp"), F.col("t.table").alias("table"), F.col("t.other").alias("other"), F.col("fp").alias("id"), *signs)
+    codes = each.select(F.col("t.code").alias("fp"), F.col("t.table").alias("table"), F.col("fp").alias("id"), *signs)
     rows = stored(buckets(codes, MOST, largest, CODE_BITS, ("table",)), "similar-buckets")
-    for shift in range(0, BITS, 8):
-        large = stored(rows.groupBy("bucket").count().where(F.col("count") > largest).select("bucket"), "crowded")
-        if large.isEmpty():
-            break
-        crowded = rows.join(large, "bucket", "left_semi")
-        byte = F.shiftrightunsigned("other", shift).bitwiseAND(F.lit(255))
-        parted = crowded.withColumn("bucket", F.xxhash64("bucket", byte))
-        rows = rows.join(large, "bucket", "left_anti").unionByName(parted)
+    rows = in_blocks(rows, "id", largest)
 
     def solve(keys: np.ndarray, codes: np.ndarray, ids: np.ndarray, sign: np.ndarray) -> pa.RecordBatch:
         i, j = near_pairs(keys, codes.view(np.uint64), MOST)

@@ -147,3 +147,43 @@ def test_crowds_of_near_copies_are_split_and_still_meet(spark):
     links = simhash.similar_links(marks.withColumnRenamed("__fp", "fp"), largest=60)
     stars = simhash.star_components(links).collect()
     assert len(stars) >= 390 and len({r.root for r in stars}) == 1
+
+
+def test_crowded_buckets_stay_whole(spark):
+    rows = [(b, i) for b, size in ((7, 130), (8, 20), (9, 1)) for i in range(size)]
+    dealt = simhash.in_blocks(spark.createDataFrame(rows, "bucket long, id long"), "id", 20)
+    groups = {}
+    for r in dealt.collect():
+        groups.setdefault(r.bucket, []).append(r.id)
+    assert groups[8] == list(range(20)) and groups[9] == [0]
+    met = {(a, b) for g in (set(v) for k, v in groups.items() if k not in (8, 9)) for a in g for b in g}
+    assert met == {(a, b) for a in range(130) for b in range(130)}
+    assert max(map(len, groups.values())) < 130
+
+
+def test_pairs_in_a_crowd_are_found(spark):
+    """Texts of one template, all in crowded buckets; each has one near copy."""
+    rng = random.Random(11)
+    base, texts = [f"w{k}" for k in range(400)], []
+    for i in range(150):
+        one = list(base)
+        for at in rng.sample(range(400), 25):
+            one[at] = f"t{i}x{at}"
+        texts.append(one)
+        copy = list(one)
+        for at in rng.sample(range(400), 6):
+            copy[at] = f"c{i}x{at}"
+        texts.append(copy)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = {i: shingle_set(t) for i, t in rows}
+    near = [i for i in range(0, 300, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    assert len(near) > 100
+    marks = simhash.signatures(spark.createDataFrame(rows, "doc_id long, text string"), also=("doc_id",)).withColumnRenamed("__fp", "fp")
+    marks = marks.cache()
+    name = {r.doc_id: r.fp for r in marks.collect()}
+
+    def joined(largest):
+        root = {r.node: r.root for r in simhash.star_components(simhash.similar_links(marks, largest=largest)).collect()}
+        return {i for i in near if root.get(name[i], name[i]) == root.get(name[i + 1], name[i + 1])}
+
+    assert joined(8) == joined(10_000)

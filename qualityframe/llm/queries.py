@@ -5,7 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, perplexity, personal_data, pieces, secret_scan, sharding, simhash, token_files, toxicity, warc
+from . import (
+    cap_filters,
+    decontaminate,
+    perplexity,
+    personal_data,
+    pieces,
+    resample,
+    secret_scan,
+    sharding,
+    simhash,
+    token_files,
+    toxicity,
+    warc,
+    whitening,
+)
 from .common import table
 
 
@@ -53,6 +67,18 @@ def op10_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.op11(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.op12(table(spark, sf_dir, "embeddings"))
+
+
+def op13_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.op13(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -66,6 +92,9 @@ QUERIES = {
         op8_token_files,
         op9_simhash,
         op10_perplexity,
+        op11_resample,
+        op12_whitening,
+        op13_cap_filters,
     )
 }
-ORACLES: dict[str, str] = {"op3_warc": warc.OP3_SQL, "op6_decontaminate": decontaminate.OP6_SQL}
+ORACLES: dict[str, str] = {"op3_warc": warc.OP3_SQL, "op6_decontaminate": decontaminate.OP6_SQL, "op11_resample": resample.OP11_SQL}

@@ -46,15 +46,9 @@ def string_type(n: int, mean_length: float | None, distinct: float, cfg: Profili
     return "categorical" if (mean_length or 0) < cfg.text_mean_length and few else "text"
 
 
-def infer_types(df: DataFrame, cfg: Profiling = Profiling(), shape: dict | None = None) -> dict[str, str]:
-    """Logical type of every column.
-
-    The sketch settles clear cases; a column whose estimate lies within six
-    standard errors of a limit is counted exactly.
-    """
-    texts = columns_of(df, TEXTUAL)
-    if shape is None:
-        shape = text_shape(df, texts)
+def sketched_types(df: DataFrame, cfg: Profiling, shape: dict) -> tuple[dict[str, str], list[str]]:
+    """Logical types that schema and sketch settle, and the text columns they do not:
+    those whose estimate lies within six standard errors of a limit."""
     out: dict[str, str] = {}
     close = []
     for f in df.schema.fields:
@@ -63,7 +57,7 @@ def infer_types(df: DataFrame, cfg: Profiling = Profiling(), shape: dict | None
             out[f.name] = k
         elif k != TEXTUAL:
             out[f.name] = "unknown"
-    for c in texts:
+    for c in columns_of(df, TEXTUAL):
         s = shape[c]
         low, high = s["approx"] * (1 - SKETCH_MARGIN), s["approx"] * (1 + SKETCH_MARGIN)
         verdicts = {string_type(s["n"], s["mean"], d, cfg) for d in (low, high)}
@@ -71,6 +65,14 @@ def infer_types(df: DataFrame, cfg: Profiling = Profiling(), shape: dict | None
             out[c] = verdicts.pop()
         else:
             close.append(c)
+    return out, close
+
+
+def infer_types(df: DataFrame, cfg: Profiling = Profiling(), shape: dict | None = None) -> dict[str, str]:
+    """Logical type of every column; what the sketch leaves open is counted exactly."""
+    if shape is None:
+        shape = text_shape(df, columns_of(df, TEXTUAL))
+    out, close = sketched_types(df, cfg, shape)
     if close:
         for row in distinct_counts(df, close).collect():
             s = shape[row.column]

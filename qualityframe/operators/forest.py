@@ -287,6 +287,7 @@ def anomaly_columns(
     names: list[str] | None = None,
     key: list[str] | None = None,
     cfg: Profiling = Profiling(),
+    counts: dict[str, int] | None = None,
 ) -> dict[str, tuple[float, float]]:
     """{column: (anomaly share, mean decision score)} from one forest per column.
 
@@ -296,12 +297,13 @@ def anomaly_columns(
     names = names or [c for c in columns_of(df, NUMERIC) if c not in (key or [])]
     keep = [*names, *[k for k in (key or []) if k not in names]]
     with spread(df.select(*[col(c) for c in keep])) as narrow:
-        return _anomaly_columns(narrow, names, key, cfg)
+        return _anomaly_columns(narrow, names, key, cfg, counts)
 
 
-def _anomaly_columns(df, names, key, cfg) -> dict[str, tuple[float, float]]:
+def _anomaly_columns(df, names, key, cfg, counts=None) -> dict[str, tuple[float, float]]:
     trees, seed, tree_rows = cfg.anomaly_n_estimators, cfg.global_seed, cfg.anomaly_tree_rows
-    counts = one_row(df, {c: f"count({q(c)})" for c in names}) if names else {}
+    if counts is None:
+        counts = one_row(df, {c: f"count({q(c)})" for c in names}) if names else {}
     ready = [c for c in names if counts[c] >= cfg.min_rows_anomaly_detection]
     if not ready:
         return {}

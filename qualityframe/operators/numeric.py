@@ -39,7 +39,7 @@ def _merged(spans: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return out
 
 
-def _segment(x: str, spans: list[tuple[float, float]]) -> str:
+def segment(x: str, spans: list[tuple[float, float]]) -> str:
     """0 below the first span, 1 inside it, 2 between it and the next, and so on."""
     cases = "".join(
         f" WHEN {x} < {number(lo)} THEN {2 * i} WHEN {x} <= {number(hi)} THEN {2 * i + 1}"
@@ -69,6 +69,44 @@ def _bracket(df: DataFrame, wanted: dict, counts: dict, margin: float, accuracy:
     return out
 
 
+def bracket_points() -> list[float]:
+    margin = 2.0 / ACCURACY
+    return sorted({min(max(p + s * margin, 0.0), 1.0) for p in QUARTILES for s in (-1, 1)})
+
+
+def bracket_sketch(x: str) -> str:
+    """A sketch, as SQL, of the values on both sides of each quartile."""
+    return _sketch(x, bracket_points(), ACCURACY)
+
+
+def quartile_spans(sketch: list[float]) -> list[tuple[float, float]]:
+    """Merged brackets around the quartiles, from the values of `bracket_sketch`."""
+    at = dict(zip(bracket_points(), sketch))
+    margin = 2.0 / ACCURACY
+    return _merged([(at[p - margin], at[p + margin]) for p in QUARTILES])
+
+
+def near_median(sketch: list[float]) -> float:
+    """A value of the column next to its median, from the values of `bracket_sketch`."""
+    return sketch[len(sketch) // 2]
+
+
+def fits_brackets(n: int) -> bool:
+    """Do the brackets of so many values hold few enough to list?"""
+    return n * 4 * 2.0 / ACCURACY <= MAX_BRACKET_ROWS
+
+
+def pick(counts: list[tuple[int, float | None, int]], n: int, p: float) -> float | None:
+    """A quantile from sorted counts of segments and bracket values; None if it lies outside."""
+    low, high, part_way = _positions(n, p)
+    ends = np.cumsum([c for _, _, c in counts])
+    at = [counts[int(np.searchsorted(ends, k, side="right"))] for k in (low, high)]
+    if any(place % 2 == 0 for place, _, _ in at):
+        return None
+    a, b = float(at[0][1]), float(at[1][1])
+    return a if a == b else a + (b - a) * part_way
+
+
 def _narrow(df: DataFrame, spans: dict, counts: dict, accuracy: int, limit: int) -> dict:
     """Sketch again inside brackets that still hold too many rows."""
     while True:
@@ -141,7 +179,7 @@ def quantiles(
             merged = {c: _merged([spans[c, p] for p in open_[c]]) for c in part}
             slots = []
             for i, c in enumerate(part):
-                seg = _segment(dbl(c), merged[c])
+                seg = segment(dbl(c), merged[c])
                 slots.append(
                     f"CASE WHEN {q(c)} IS NOT NULL THEN named_struct('slot', {i}, 'seg', {seg}, "
                     f"'v', CASE WHEN ({seg}) % 2 = 1 THEN {dbl(c)} END) END"
@@ -250,6 +288,11 @@ def _numeric_stats(
         {c: stats[c]["n"] for c in live},
         exact=cfg.exact_quantiles,
     )
+    return assembled(names, stats, {c: [sums[f"{c}\0{i}"] for i in (1, 2, 3, 4)] for c in live}, quart)
+
+
+def assembled(names: list[str], stats: dict[str, dict], sums: dict[str, list], quart: dict) -> dict[str, dict]:
+    """The numeric fields of each column from base statistics, power sums and quartiles."""
     out = {}
     for c in names:
         s = stats[c]
@@ -258,7 +301,7 @@ def _numeric_stats(
             out[c] = {"n": 0} | {f: 0.0 for f in NUMERIC_FIELDS}
             continue
         flat = s["min"] == s["max"]
-        m = _moments(n, *([0.0] * 4 if flat else [sums[f"{c}\0{i}"] for i in (1, 2, 3, 4)]), flat)
+        m = _moments(n, *([0.0] * 4 if flat else sums[c]), flat)
         mean = s["min"] if flat else s["mean"]
         q25, q50, q75 = [s["min"] if flat else quart[c, p] for p in QUARTILES]
         out[c] = {
@@ -309,13 +352,13 @@ def outlier_condition(x: str, s: dict, cfg: Profiling) -> str | None:
 
 
 def numeric_behavior(
-    df: DataFrame, stats: dict[str, dict], cfg: Profiling = Profiling()
+    df: DataFrame, stats: dict[str, dict], cfg: Profiling = Profiling(), batch: int = 16
 ) -> dict[str, dict]:
     """Outlier share, tail weight, modality and variance indicators per column."""
     ready = {c: s for c, s in stats.items() if s["n"] >= cfg.min_rows_numeric_behavior}
     tests = {c: outlier_condition(dbl(c), s, cfg) for c, s in ready.items()}
     exprs = {c: f"count_if({t})" for c, t in tests.items() if t is not None}
-    hits = one_row(df, exprs) if exprs else {}
+    hits = one_row(df, exprs, batch) if exprs else {}
     out = {}
     for c, s in ready.items():
         spread = s["max"] - s["min"]

@@ -30,16 +30,16 @@ def _frame(spark, rows: list[tuple[str, str, float | None]]) -> DataFrame:
     return local_frame(spark, sorted(kept), PAIR_SCHEMA)
 
 
-def _co_moments(df: DataFrame, names: list[str]) -> DataFrame:
+def _co_moments(df: DataFrame, names: list[str], middle: dict[str, float | None] | None = None) -> DataFrame:
     """(i, j, n, sx, sy, sxx, syy, sxy) over rows where both columns are present.
 
     One scan for any number of columns: each task folds its Arrow batches into
     matrix products of the shifted values and their presence masks, and emits one
     row per pair. Values are shifted by a middle value of the column: it lies within
     one deviation of the mean, so sums keep their digits, and it is itself a value,
-    so a constant column gives exact zeros.
+    so a constant column gives exact zeros. `middle` saves the scan that finds it.
     """
-    middle = one_row(df, {c: f"percentile_approx({dbl(c)}, 0.5D, 100)" for c in names})
+    middle = middle or one_row(df, {c: f"percentile_approx({dbl(c)}, 0.5D, 100)" for c in names})
     shift = np.array([middle[c] if middle[c] is not None else 0.0 for c in names])
     width = len(names)
     upper = np.triu_indices(width)
@@ -74,7 +74,9 @@ def _co_moments(df: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-def pearson(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+def pearson(
+    df: DataFrame, names: list[str] | None = None, middle: dict[str, float | None] | None = None
+) -> DataFrame:
     """(col1, col2, value) for col1 <= col2, pairwise complete; undefined cells dropped.
 
     One scan whatever the number of pairs, where built-in `corr` aggregates would
@@ -90,7 +92,7 @@ def pearson(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     vx, vy = spread_of("sxx", "sx"), spread_of("syy", "sy")
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
     return (
-        _co_moments(df, names)
+        _co_moments(df, names, middle)
         .where(F.col("n") > 1)
         .select(
             F.get(listed, F.col("i")).alias("col1"),
@@ -319,13 +321,17 @@ METHODS = {"pearson": pearson, "spearman": spearman, "kendall": kendall}
 
 
 def correlations(
-    df: DataFrame, names: list[str] | None = None, method: str = "pearson", cfg: Profiling = Profiling()
+    df: DataFrame,
+    names: list[str] | None = None,
+    method: str = "pearson",
+    cfg: Profiling = Profiling(),
+    middle: dict[str, float | None] | None = None,
 ) -> DataFrame | None:
     """Upper triangle with diagonal; None below the minimum number of columns."""
     names = sorted(names or columns_of(df, NUMERIC))
     if len(names) < cfg.min_numeric_cols_for_correlation:
         return None
-    return METHODS[method](df, names)
+    return pearson(df, names, middle) if method == "pearson" else METHODS[method](df, names)
 
 
 def correlation_summary(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:

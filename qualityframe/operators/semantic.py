@@ -87,9 +87,9 @@ def match_share(value: str, label: str, pattern: str) -> str:
     return f"avg(CASE WHEN {value} IS NULL THEN NULL WHEN {hit} THEN 1D ELSE 0D END)"
 
 
-def _share(df: DataFrame, name: str, label: str, pattern: str) -> str | None:
+def share(field: T.StructField, label: str, pattern: str) -> str | None:
     """Share of values that match; None when the type cannot spell the class."""
-    t = df.schema[name].dataType
+    name, t = field.name, field.dataType
     if kind(t) == TEXTUAL:
         return match_share(q(name), label, pattern)
     whole = isinstance(t, T.IntegralType) or (isinstance(t, T.DecimalType) and t.scale == 0)
@@ -111,23 +111,26 @@ def classify(df: DataFrame, cfg: Profiling = Profiling()) -> dict[str, tuple[str
     exprs: dict[str, str] = {}
     for f in df.schema.fields:
         for label, pattern, _ in CLASSES:
-            share = _share(df, f.name, label, pattern)
-            if share is not None:
-                exprs[f"{f.name}\0{label}"] = share
+            matched = share(f, label, pattern)
+            if matched is not None:
+                exprs[f"{f.name}\0{label}"] = matched
     if not exprs:
         return {}
     df = dealt(df)
     if cfg.semantic_sample_size:
         size = cfg.semantic_sample_size
         df = sample_rows(df, df.columns, replace(cfg, sampling_threshold=size, sample_size=size))
-    shares = one_row(df, exprs, batch=8)
+    return decided(df.columns, one_row(df, exprs, batch=8), cfg)
+
+
+def decided(columns: list[str], shares: dict[str, float], cfg: Profiling = Profiling()) -> dict[str, tuple[str, float]]:
+    """{column: (class, confidence)} from the shares, {column NUL class: share}."""
     out = {}
-    for name in sorted(df.columns):
+    for name in sorted(columns):
         best = None
         for label, _, words in CLASSES:
             named = any(w in name.lower() for w in words)
-            share = shares.get(f"{name}\0{label}") or 0.0
-            score = share * cfg.semantic_weight_pattern + named * cfg.semantic_weight_keyword
+            score = (shares.get(f"{name}\0{label}") or 0.0) * cfg.semantic_weight_pattern + named * cfg.semantic_weight_keyword
             if score > 0.1 and (best is None or score > best[1]):
                 best = (label, score)
         if best and best[1] >= cfg.semantic_min_confidence:

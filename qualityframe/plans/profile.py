@@ -6,14 +6,15 @@ rows become the profile tables that detection, scoring and planning read.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config, Profiling
-from ..functions.cells import NUMERIC, TEXTUAL, col, kind, nan_to_null, q
-from ..operators import categories, forest, numeric, relations, semantic, structure, text, times
+from ..functions.cells import TEXTUAL, col, columns_of, nan_to_null
+from ..operators import categories, forest, numeric, passes, relations, semantic, structure, times
 from ..operators.scale import local_frame, pin, spread, together
 
 NUMERIC_STRUCT = ", ".join(f"`{f}`: double" for f in numeric.NUMERIC_FIELDS)
@@ -68,98 +69,125 @@ PARTS = frozenset(
 )
 
 
-def _first_look(df: DataFrame, numbers: bool) -> tuple[dict, dict, dict]:
-    """One pass for sizes of all columns, shapes of texts and ends of numbers.
+WIDE = 64  # outlier tests of one scan
 
-    Returns ({column: sizes}, {text column: shape}, {numeric column: base statistics}).
-    """
-    wanted: dict[str, dict[str, str]] = {}
-    parts: dict[str, dict[str, str]] = {}
-    for f in sorted(df.schema.fields, key=lambda f: f.name):
-        sizes = {"null": f"count_if({q(f.name)} IS NULL)", "bytes": structure.byte_size(f)}
-        parts[f.name] = {}
-        if kind(f.dataType) == TEXTUAL:
-            parts[f.name] = categories.shape_exprs(f.name)
-        elif kind(f.dataType) == NUMERIC and numbers:
-            parts[f.name] = structure.base_exprs(f.name)
-        wanted[f.name] = {"rows": "count(1)"} | sizes | parts[f.name]
-    seen = structure.look(df, wanted)
-    found, shapes, bases = {}, {}, {}
-    for f in df.schema.fields:
-        s = seen[f.name]
-        found[f.name] = {
-            "dtype": f.dataType.simpleString(),
+
+def _sizes(seen: dict[str, dict], df: DataFrame) -> dict[str, dict]:
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return {
+        c: {
+            "dtype": types[c],
             "row_count": s["rows"],
-            "null_count": s["null"],
-            "null_ratio": s["null"] / s["rows"] if s["rows"] else 0.0,
+            "null_count": s["nulls"],
+            "null_ratio": s["nulls"] / s["rows"] if s["rows"] else 0.0,
             "bytes": int(s["bytes"]),
         }
-        rest = {k: s[k] for k in parts[f.name]}
-        if kind(f.dataType) == TEXTUAL:
-            shapes[f.name] = rest
-        elif rest:
-            bases[f.name] = rest
-    return dict(sorted(found.items())), shapes, bases
+        for c, s in seen.items()
+    }
 
 
-def _labels(df: DataFrame, names: list[str], cfg: Profiling) -> dict[str, dict]:
-    if not names:
-        return {}
-    found = categories.categorical_summary(categories.value_counts(df, names), cfg).collect()
+def _label_fields(s: dict, total: int) -> dict:
+    """Label statistics from the value counts of a column with `total` values."""
+    n = s["distinct_count"]
+    entropy = max(math.log2(total) - s["nlogn"] / total, 0.0)
+    imbalance = 1.0 - (entropy / math.log2(n) if n > 1 else entropy)
+    share = -s["top"].less / total
     return {
-        r.column: {
-            "distinct_count": r.cardinality,
-            "categorical": (
-                r.cardinality, r.entropy, r.mode, r.mode_ratio, r.dominance_ratio, r.rare_count,
-            ),
-            "behavior": (r.outlier_ratio, r.imbalance, r.mode_ratio, r.imbalance),
-        }
-        for r in found
+        "distinct_count": n,
+        "categorical": (n, entropy, s["top"].value, share, share, s["rare_count"]),
+        "behavior": (s["rare_count"] / n, imbalance, share, imbalance),
     }
 
 
-def _distinct(df: DataFrame, names: list[str], texts: set, cfg: Profiling) -> dict[str, dict]:
-    if not names:
-        return {}
-    found = structure.distinct_counts(df, names, cfg.exact_distinct, texts).collect()
-    return {r.column: {"distinct_count": r.distinct_count} for r in found}
-
-
-def _numbers(df: DataFrame, names: list[str], cfg: Profiling, base: dict) -> dict[str, dict]:
-    stats = numeric.numeric_stats(df, names, cfg, base) if names else {}
-    behavior = numeric.numeric_behavior(df, stats, cfg) if stats else {}
-    out = {c: {"numeric": tuple(s[f] for f in numeric.NUMERIC_FIELDS)} for c, s in stats.items()}
-    for c, b in behavior.items():
-        out[c]["behavior"] = tuple(b.values())
+def _quartiles(df: DataFrame, seen: dict, spans: dict, inside: dict, live: list[str], cfg: Profiling) -> dict:
+    """Exact quartiles from the bracket counts; columns without them are selected apart."""
+    out, open_ = {}, {}
+    for c in live:
+        counts = sorted(inside.get(c, []), key=lambda r: (r[0], r[1] or 0.0))
+        for p in numeric.QUARTILES:
+            value = numeric.pick(counts, seen[c]["n"], p) if counts else None
+            if value is None:
+                open_.setdefault(c, []).append(p)
+            else:
+                out[c, p] = value
+    if open_:
+        out |= numeric.quantiles(df, open_, {c: seen[c]["n"] for c in open_}, exact=cfg.exact_quantiles)
     return out
 
 
-def _dates(df: DataFrame, names: list[str], order_by: str | None) -> dict[str, dict]:
-    if not names:
-        return {}
-    return {
-        r.column: {
-            "datetime": (
-                r["min"], r["max"], r.range_days,
-                times.monotonic(df, r.column, order_by).first().monotonic if order_by else None,
-            )
-        }
-        for r in times.datetime_stats(df, names).collect()
+def _values(
+    df: DataFrame, seen: dict, shapes: dict, types: dict, close: list[str], cfg: Profiling, chosen: set, numbers: list[str]
+) -> tuple[dict[str, dict], dict[str, str]]:
+    """Everything that needs value counts or quartiles: ({column: fields}, types).
+
+    One scan counts values, and one more tests for outliers.
+    """
+    texts = [c for c, t in types.items() if t == "categorical"] if "labels" in chosen else []
+    counted = [c for c in structure.countable(df) if types.get(c) != "categorical"] if "distinct" in chosen else []
+    exact = counted if cfg.exact_distinct else []
+    columns = sorted({*texts, *exact, *close})
+    live = [c for c in numbers if seen[c]["n"] and seen[c]["min"] != seen[c]["max"]] if "numbers" in chosen else []
+    spans = {
+        c: numeric.quartile_spans(seen[c]["sketch"])
+        for c in live
+        if cfg.exact_quantiles and numeric.fits_brackets(seen[c]["n"])
     }
+    totals = {c: shapes[c]["n"] for c in (*texts, *close)}
+    stats, inside = passes.value_look(df, columns, totals, spans, cfg)
+    types = types | {c: categories.string_type(totals[c], shapes[c]["mean"], stats[c]["distinct_count"], cfg) for c in close}
+    out: dict[str, dict] = {c: {} for c in types}
+    for c in columns:
+        if types[c] == "categorical":
+            if "labels" in chosen and totals[c]:
+                out[c] = _label_fields(stats[c], totals[c])
+        elif "distinct" in chosen:
+            out[c] = {"distinct_count": stats[c]["distinct_count"]}
+    if counted and not cfg.exact_distinct:
+        for r in structure.distinct_counts(df, counted, exact=False).collect():
+            out[r.column]["distinct_count"] = r.distinct_count
+    if "numbers" in chosen and numbers:
+        quart = _quartiles(df, seen, spans, inside, live, cfg)
+        found = numeric.assembled(numbers, seen, passes.power_sums(df, seen, live), quart)
+        for c, fields in found.items():
+            out[c]["numeric"] = tuple(fields[f] for f in numeric.NUMERIC_FIELDS)
+        for c, b in numeric.numeric_behavior(df, found, cfg, WIDE).items():
+            out[c]["behavior"] = tuple(b.values())
+    return out, types
+
+
+def _text_types(seen: dict, df: DataFrame, cfg: Profiling) -> tuple[dict, dict, list[str]]:
+    """(text shapes, logical types, text columns too close to a limit for the sketch)."""
+    shapes = {
+        c: {"n": seen[c]["text_n"], "mean": seen[c]["text_mean"], "approx": seen[c]["text_approx"]}
+        for c in columns_of(df, TEXTUAL)
+    }
+    types, close = categories.sketched_types(df, cfg, shapes)
+    return shapes, types, close
+
 
+def _dates(df: DataFrame, seen: dict, names: list[str], order_by: str | None) -> dict[str, dict]:
+    def ordered(c: str) -> bool | None:
+        return times.monotonic(df, c, order_by).first().monotonic if order_by else None
 
-def _prose(df: DataFrame, names: list[str]) -> dict[str, dict]:
-    found = text.text_stats(df, names).collect() if names else []
-    return {r.column: {"text": tuple(r)[1:]} for r in found}
+    return {c: {"datetime": (*ends, ordered(c))} for c, ends in passes.date_stats(df, seen, names).items()}
 
 
-def _pairs(df: DataFrame, names: list[str], cfg: Profiling, key: list[str] | None) -> list | None:
+def _pairs(df: DataFrame, seen: dict, names: list[str], cfg: Profiling, key: list[str] | None) -> list | None:
+    if not names:
+        return None
+    middle = {c: seen[c]["sketch"] and numeric.near_median(seen[c]["sketch"]) for c in names if "sketch" in seen[c]}
     if cfg.sample_correlation:
-        df = structure.sample_rows(df, key or df.columns, cfg)
-    found = relations.correlations(df, names, cfg.correlation_method, cfg) if names else None
+        df, middle = structure.sample_rows(df, key or df.columns, cfg), {}
+    found = relations.correlations(df, names, cfg.correlation_method, cfg, middle)
     return None if found is None else found.collect()
 
 
+def _classes(df: DataFrame, seen: dict, cfg: Profiling) -> dict[str, tuple[str, float]]:
+    if cfg.semantic_sample_size:
+        return semantic.classify(df, cfg)
+    return semantic.decided(df.columns, passes.class_shares(seen), cfg)
+
+
 def profile(
     df: DataFrame,
     cfg: Config | Profiling = Profiling(),
@@ -171,8 +199,8 @@ def profile(
 ) -> Profiles:
     """Profile every column, the dataset and, if enabled, correlations and models.
 
-    The steps do not depend on each other once types are known, so their jobs are
-    submitted together. `parts` leaves steps out.
+    A first scan looks at every column, a second counts values, a third tests for outliers;
+    pairs and forests read the table on their own, at the same time. `parts` leaves steps out.
     """
     cfg = cfg.profiling if isinstance(cfg, Config) else cfg
     df = nan_to_null(df)
@@ -188,33 +216,30 @@ def profile(
         return names if part in chosen else []
 
     with spread(df) as data:
-        found, shapes, base = _first_look(data, "numbers" in chosen)
-        types = categories.infer_types(data, cfg, shapes)
-        by_type: dict[str, list[str]] = {}
-        for c in found:
-            found[c]["logical_type"] = types[c]
-            by_type.setdefault(types[c], []).append(c)
-        numbers, prose = by_type.get("numeric", []), by_type.get("text", [])
+        seen = passes.first_look(data, {*chosen} - ({"classes"} if cfg.semantic_sample_size else set()))
+        found = _sizes(seen, data)
+        shapes, types, close = _text_types(seen, data, cfg)
+        numbers = [c for c in found if types.get(c) == "numeric"]
         features = [c for c in numbers if c not in (key or [])]
-        plain = [c for c in structure.countable(df) if types[c] != "categorical"]
-        *columnwise, pairs, classes, anomalies, repeated, mark = together(
+        counts = {c: seen[c]["rows"] - seen[c]["nulls"] for c in features}
+        dates = names_if("dates", [c for c in found if types.get(c) == "datetime"])
+        (values, types), days, pairs, classes, anomalies, repeated = together(
             spark,
-            lambda: _labels(data, names_if("labels", by_type.get("categorical", [])), cfg),
-            lambda: _distinct(data, names_if("distinct", plain), set(prose), cfg),
-            lambda: _numbers(data, names_if("numbers", numbers), cfg, base),
-            lambda: _dates(data, names_if("dates", by_type.get("datetime", [])), order_by),
-            lambda: _prose(data, names_if("prose", prose)),
-            lambda: _pairs(data, names_if("pairs", numbers), cfg, key),
-            lambda: semantic.classify(data, cfg) if "classes" in chosen else {},
-            lambda: forest.anomaly_columns(data, features, key, cfg)
+            lambda: _values(data, seen, shapes, types, close, cfg, chosen, numbers),
+            lambda: _dates(data, seen, dates, order_by),
+            lambda: _pairs(data, seen, names_if("pairs", numbers), cfg, key),
+            lambda: _classes(data, seen, cfg) if "classes" in chosen else {},
+            lambda: forest.anomaly_columns(data, features, key, cfg, counts)
             if "anomalies" in chosen and features
             else {},
-            lambda: structure.duplicate_rows(data).first() if "rows" in chosen else None,
-            lambda: structure.fingerprint(data).first() if "rows" in chosen else None,
+            lambda: structure.row_look(data).first() if "rows" in chosen else None,
         )
-    for piece in columnwise:
-        for c, fields in piece.items():
-            found[c] |= fields
+        prose = passes.prose_stats(data, seen, names_if("prose", [c for c in found if types[c] == "text"]))
+    for c in found:
+        found[c]["logical_type"] = types[c]
+        found[c] |= values.get(c, {}) | days.get(c, {})
+        if c in prose:
+            found[c]["text"] = prose[c]
     rows = next(iter(found.values()))["row_count"] if found else 0
     for fields in found.values():
         distinct = fields.get("distinct_count")
@@ -245,7 +270,10 @@ def profile(
                 *ids, rows, len(found), repeated.duplicate_row_ratio if repeated else None,
                 sum(f["bytes"] for f in found.values()),
                 sum(f["null_count"] for f in found.values()) / cells if cells else 0.0,
-                type_counts, density, mark.fingerprint if mark else None,
+                type_counts, density,
+                structure.fingerprint_of(df.schema, *[repeated[k] for k in ("row_count", "row_xor", "row_sum")])
+                if repeated
+                else None,
             )
         ],
         DATASET_SCHEMA,

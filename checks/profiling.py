@@ -16,6 +16,8 @@ from qualityframe.operators import (
     text,
     times,
 )
+from qualityframe.operators.scale import scratch_path
+from qualityframe.plans import incremental
 from qualityframe.plans import profile as plans
 
 from .inputs import frame, sql, table
@@ -576,7 +578,20 @@ WITHOUT_FOREST = plans.PARTS - {"anomalies"}
 
 
 def _profile_table(s, d) -> DataFrame:
-    found = plans.profile(frame(s, d, "readings"), parts=WITHOUT_FOREST - {"pairs", "classes"})
+    return _shown(plans.profile(frame(s, d, "readings"), parts=WITHOUT_FOREST - {"pairs", "classes"}))
+
+
+def _profile_growing(s, d) -> DataFrame:
+    """A table that arrives in two halves: each half is read once, the states are merged."""
+    readings = frame(s, d, "readings")
+    folder, store = scratch_path(s, "readings"), scratch_path(s, "states")
+    for rest in (0, 1):
+        readings.where(f"event_id % 2 = {rest}").write.mode("append").parquet(folder)
+        incremental.update(s, folder, store)
+    return _shown(incremental.stored_profile(s, folder, store))
+
+
+def _shown(found: plans.Profiles) -> DataFrame:
     shown = plans.rounded(found.columns, 4)
     return shown.select(
         "column", "logical_type", "row_count", "null_count", "distinct_count", "null_ratio",
@@ -619,16 +634,14 @@ READING_CTES = (
     + counts_cte(sql("readings"), READING_LABELS).split(", counts AS", 1)[1]
     + f", summary AS ({SUMMARY.format()})"
 )
-query(
-    "profile_table",
-    f"WITH {READING_CTES} "
-    + profile_rows(
-        [
-            ("area", "categorical"), ("event_id", "numeric"), ("event_type", "categorical"),
-            ("sparse", "numeric"), ("ts", "datetime"), ("value", "numeric"),
-        ]
-    ),
-)(_profile_table)
+READING_PROFILE = f"WITH {READING_CTES} " + profile_rows(
+    [
+        ("area", "categorical"), ("event_id", "numeric"), ("event_type", "categorical"),
+        ("sparse", "numeric"), ("ts", "datetime"), ("value", "numeric"),
+    ]
+)
+query("profile_table", READING_PROFILE)(_profile_table)
+query("profile_growing", READING_PROFILE)(_profile_growing)
 
 
 def _risk_signals(s, d) -> DataFrame:

@@ -23,7 +23,7 @@ NUMERIC_FIELDS = (
 ).split()
 
 
-def _positions(n: int, p: float) -> tuple[int, int, float]:
+def positions(n: int, p: float) -> tuple[int, int, float]:
     k = p * (n - 1)
     low = math.floor(k)
     return low, math.ceil(k), k - low
@@ -98,7 +98,7 @@ def fits_brackets(n: int) -> bool:
 
 def pick(counts: list[tuple[int, float | None, int]], n: int, p: float) -> float | None:
     """A quantile from sorted counts of segments and bracket values; None if it lies outside."""
-    low, high, part_way = _positions(n, p)
+    low, high, part_way = positions(n, p)
     ends = np.cumsum([c for _, _, c in counts])
     at = [counts[int(np.searchsorted(ends, k, side="right"))] for k in (low, high)]
     if any(place % 2 == 0 for place, _, _ in at):
@@ -119,7 +119,7 @@ def _narrow(df: DataFrame, spans: dict, counts: dict, accuracy: int, limit: int)
         for i, ((c, p), (lo, hi)) in enumerate(spans.items()):
             inside = sizes[f"{i}in"]
             if inside > limit and lo < hi:
-                first, last, _ = _positions(counts[c], p)
+                first, last, _ = positions(counts[c], p)
                 first, last = first - sizes[f"{i}below"], last - sizes[f"{i}below"]
                 if 0 <= first and last < inside:
                     todo[c, p] = (lo, hi, first / inside, last / inside)
@@ -200,7 +200,7 @@ def quantiles(
                 mine_seg, mine, ends = seg_[here], value[here], np.cumsum(n_[here])
                 missed = []
                 for p in open_[c]:
-                    low, high, part_way = _positions(counts[c], p)
+                    low, high, part_way = positions(counts[c], p)
                     i_low = int(np.searchsorted(ends, low, side="right"))
                     i_high = int(np.searchsorted(ends, high, side="right"))
                     if mine_seg[i_low] % 2 == 0 or mine_seg[i_high] % 2 == 0:
@@ -359,16 +359,18 @@ def numeric_behavior(
     tests = {c: outlier_condition(dbl(c), s, cfg) for c, s in ready.items()}
     exprs = {c: f"count_if({t})" for c, t in tests.items() if t is not None}
     hits = one_row(df, exprs, batch) if exprs else {}
-    out = {}
-    for c, s in ready.items():
-        spread = s["max"] - s["min"]
-        out[c] = {
-            "outlier_ratio": hits.get(c, 0) / s["n"],
-            "heavy_tail_score": abs(s["kurtosis"]) if s["kurtosis"] is not None else 0.0,
-            "multimodality_score": s["bimodality"],
-            "low_variance_indicator": s["variance"] / spread if spread else 0.0,
-        }
-    return out
+    return {c: behavior_of(s, hits.get(c, 0)) for c, s in ready.items()}
+
+
+def behavior_of(s: dict, outliers: int) -> dict[str, float]:
+    """The behaviour of a column from its statistics and its number of outliers."""
+    reach = s["max"] - s["min"]
+    return {
+        "outlier_ratio": outliers / s["n"],
+        "heavy_tail_score": abs(s["kurtosis"]) if s["kurtosis"] is not None else 0.0,
+        "multimodality_score": s["bimodality"],
+        "low_variance_indicator": s["variance"] / reach if reach else 0.0,
+    }
 
 
 BEHAVIOR_SCHEMA = (

@@ -220,10 +220,11 @@ def _cell(slot: int, given: dict[str, str]) -> str:
     return f"named_struct('slot', {slot}, {fields})"
 
 
-def value_cell(slot: int, f: T.StructField, label: bool) -> str:
+def value_cell(slot: int, f: T.StructField, label: bool, limit: int = 64) -> str:
+    """The value of a column; a text that is no label travels as SHA-256 beyond `limit`."""
     c, k = q(f.name), kind(f.dataType)
     if k == TEXTUAL:
-        return _cell(slot, {"s": f"CAST({c} AS STRING)" if label else short_key(f.name)})
+        return _cell(slot, {"s": f"CAST({c} AS STRING)" if label else short_key(f.name, limit)})
     if k == DATETIME:
         return _cell(slot, {"l": micros(f.name, f.dataType)})
     if k == BOOLEAN or isinstance(f.dataType, T.IntegralType):
@@ -240,7 +241,7 @@ def counted(df: DataFrame, cells: list[str], by: tuple[str, ...] = ()) -> DataFr
     return some.groupBy(*by, "slot", *KEY).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _chunks(names: list[str]) -> list[list[str]]:
+def chunks(names: list[str]) -> list[list[str]]:
     return [names[i : i + CELLS_AT_ONCE] for i in range(0, len(names), CELLS_AT_ONCE)]
 
 
@@ -286,8 +287,8 @@ def value_look(
         for r in counted(df, cells).select("slot", "l", "d", "n").collect():  # a bounded number each
             inside[some[r.slot]].append((r.l, r.d, r.n))
 
-    steps = [partial(values, some) for some in _chunks(columns)]
-    steps += [partial(brackets, some) for some in _chunks(list(spans))]
+    steps = [partial(values, some) for some in chunks(columns)]
+    steps += [partial(brackets, some) for some in chunks(list(spans))]
     if steps:
         together(df.sparkSession, *steps)
     return stats, inside

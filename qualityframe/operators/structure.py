@@ -150,7 +150,12 @@ def row_look(df: DataFrame) -> DataFrame:
     """One row: rows, the share of repeated ones, and the sums of the fingerprint; one scan."""
     h1, h2 = row_digest(df.columns, df.schema)
     seen = df.selectExpr(f"{h1} AS h1", f"{h2} AS h2").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
-    return seen.agg(
+    return row_sums(seen)
+
+
+def row_sums(digests: DataFrame) -> DataFrame:
+    """`row_look` from distinct row digests (h1, h2) and how often (n) each occurs."""
+    return digests.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
         safe_ratio(F.sum(F.col("n") - 1), F.sum("n")).alias("duplicate_row_ratio"),
         # an even number of equal hashes cancels out

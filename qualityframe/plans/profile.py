@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config, Profiling
@@ -86,7 +86,7 @@ def _sizes(seen: dict[str, dict], df: DataFrame) -> dict[str, dict]:
     }
 
 
-def _label_fields(s: dict, total: int) -> dict:
+def label_fields(s: dict, total: int) -> dict:
     """Label statistics from the value counts of a column with `total` values."""
     n = s["distinct_count"]
     entropy = max(math.log2(total) - s["nlogn"] / total, 0.0)
@@ -139,7 +139,7 @@ def _values(
     for c in columns:
         if types[c] == "categorical":
             if "labels" in chosen and totals[c]:
-                out[c] = _label_fields(stats[c], totals[c])
+                out[c] = label_fields(stats[c], totals[c])
         elif "distinct" in chosen:
             out[c] = {"distinct_count": stats[c]["distinct_count"]}
     if counted and not cfg.exact_distinct:
@@ -240,6 +240,24 @@ def profile(
         found[c] |= values.get(c, {}) | days.get(c, {})
         if c in prose:
             found[c]["text"] = prose[c]
+    mark = repeated and structure.fingerprint_of(df.schema, repeated.row_count, repeated.row_xor, repeated.row_sum)
+    share = repeated.duplicate_row_ratio if repeated else None
+    return assemble(spark, ids, found, cfg, share, mark, pairs, classes, anomalies)
+
+
+def assemble(
+    spark: SparkSession,
+    ids: tuple[str, str],
+    found: dict[str, dict],
+    cfg: Profiling,
+    duplicate_row_ratio: float | None,
+    fingerprint: str | None,
+    pairs: list | None = None,
+    classes: dict[str, tuple[str, float]] | None = None,
+    anomalies: dict[str, tuple[float, float]] | None = None,
+) -> Profiles:
+    """The profile tables from the fields of each column."""
+    classes, anomalies = classes or {}, anomalies or {}
     rows = next(iter(found.values()))["row_count"] if found else 0
     for fields in found.values():
         distinct = fields.get("distinct_count")
@@ -267,13 +285,11 @@ def profile(
         density = sum(off) / len(off) if off else 0.0
     dataset = local_frame(spark, [
             (
-                *ids, rows, len(found), repeated.duplicate_row_ratio if repeated else None,
+                *ids, rows, len(found), duplicate_row_ratio,
                 sum(f["bytes"] for f in found.values()),
                 sum(f["null_count"] for f in found.values()) / cells if cells else 0.0,
                 type_counts, density,
-                structure.fingerprint_of(df.schema, *[repeated[k] for k in ("row_count", "row_xor", "row_sum")])
-                if repeated
-                else None,
+                fingerprint,
             )
         ],
         DATASET_SCHEMA,

@@ -21,10 +21,13 @@ from pyspark.sql import functions as F
 
 from ..config import Profiling
 from ..functions.cells import NUMERIC, as_double, col, columns_of, dbl, q
-from .scale import dealt, local_frame, one_row, spread
+from .scale import dealt, local_frame, materialize, one_row, spread
 
 TABLE_TREES = 100
 HASH_SPAN = 1 << 30
+SPARE = 8  # contents kept per row of the pool, before they are counted
+OFTEN = 10_000  # a content with over one in so many rows is counted in any case
+TRACKED = 1 << 17  # items of the sketch; it misses none above 3.5 / TRACKED of the rows
 
 TREE_SCHEMA = (
     "tree int, feature array<int>, cut array<double>, left array<int>, right array<int>, "
@@ -168,14 +171,63 @@ def _drawn(rows: DataFrame, cut: Column, seed: int) -> DataFrame:
     get hashes of their own.
     """
     names = rows.columns
-    content = [F.col(c) for c in names]
     counted = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
-    exact = F.col("__n") * (cut / HASH_SPAN) - _hash(content, seed) / HASH_SPAN
-    copies = counted.withColumn("__draws", F.ceil(exact).cast("int")).where("__draws >= 1")
+    exact = F.col("__n") * (cut / HASH_SPAN) - _hash([F.col(c) for c in names], seed) / HASH_SPAN
+    return _numbered(counted.withColumn("__exact", exact), names, seed)
+
+
+def _numbered(counted: DataFrame, names: list[str], seed: int) -> DataFrame:
+    """(h, *names): each row as often as __exact, rounded up, says."""
+    content = [F.col(c) for c in names]
+    copies = counted.withColumn("__draws", F.ceil("__exact").cast("int")).where("__draws >= 1")
     numbered = copies.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__draws"))))
     return numbered.select(_hash([*content, F.col("__copy")], seed).alias("h"), *content)
 
 
+def _few_contents(rows: DataFrame, slot: Column, totals: list[int], pool_rows: int, seed: int) -> tuple[DataFrame, list[float]]:
+    """(rows with __often and __slot, share of contents kept per slot).
+
+    A hash of the content keeps about `SPARE` times the pool, and every content that may
+    hold more than one in `OFTEN` rows stays (a sketch lists them all, and more), so that
+    few rows are grouped. Both depend on contents and totals only.
+    """
+    content = [F.col(c) for c in rows.columns]
+    marked = rows.withColumns({"__slot": slot, "__g": F.xxhash64(F.lit(seed + 1), *content)})
+    top = F.expr(f"approx_top_k(__g, {2 * OFTEN}, {TRACKED})").alias("top")
+    looks = materialize(marked.groupBy("__slot").agg(F.approx_count_distinct("__g", 0.03).alias("d"), top))
+    distinct = {r["__slot"]: r.d for r in looks.select("__slot", "d").collect()}
+    kept = [
+        min(1.0, SPARE * pool_rows / max(distinct.get(i, 0), 1)) if n > SPARE * pool_rows else 1.0
+        for i, n in enumerate(totals)
+    ]
+    total = F.get(F.array(*[F.lit(n) for n in totals]), F.col("__slot"))
+    listed = looks.select("__slot", F.inline("top")).where(F.col("count") * (2 * OFTEN) >= total)
+    listed = listed.select("__slot", F.col("item").alias("__g"), F.lit(True).alias("__often"))
+    cut = F.get(F.array(*[F.lit(int(k * HASH_SPAN)) for k in kept]), F.col("__slot"))
+    # at most 2 * OFTEN hashes per slot
+    joined = marked.join(F.broadcast(listed), ["__slot", "__g"], "left")
+    low = F.pmod(F.col("__g"), F.lit(HASH_SPAN)) < cut
+    return joined.withColumn("__low", low).where("__low OR __often").drop("__g", "__often"), kept
+
+
+def _pool(
+    rows: DataFrame, slot: Column, totals: list[int], cut: Column, pool_rows: int, seed: int
+) -> DataFrame:
+    """`_drawn` without a shuffle of the table: of a content kept with chance p, n copies
+    give n / p times the share; one that holds over one in `OFTEN` rows is always kept."""
+    if all(n <= SPARE * pool_rows for n in totals):
+        return _drawn(rows, cut, seed)
+    names = rows.columns
+    some, kept = _few_contents(rows, slot, totals, pool_rows, seed)
+    counted = some.groupBy(*names, "__slot", "__low").agg(F.count(F.lit(1)).alias("__n"))
+    total = F.get(F.array(*[F.lit(n) for n in totals]), F.col("__slot"))
+    often = F.col("__n") * OFTEN > total
+    chance = F.when(often, F.lit(1.0)).otherwise(F.get(F.array(*[F.lit(k) for k in kept]), F.col("__slot")))
+    share = F.col("__n") * (cut / HASH_SPAN) / chance
+    exact = F.when(often | F.col("__low"), share - _hash([F.col(c) for c in names], seed) / HASH_SPAN)
+    return _numbered(counted.withColumn("__exact", exact), names, seed)
+
+
 def fit(
     df: DataFrame,
     names: list[str],
@@ -193,7 +245,7 @@ def fit(
     if key:
         pool = complete.select(_hash([col(k) for k in key], seed).alias("h"), x).where(F.col("h") < cut)
     else:
-        pool = _drawn(complete.select(x), F.lit(cut), seed)
+        pool = _pool(complete.select(x), F.lit(0), [rows], F.lit(cut), pool_rows, seed)
     pool = pool.persist()
     try:
         grown = _trees(pool, len(names), trees, seed, tree_rows)
@@ -319,7 +371,7 @@ def _anomaly_columns(df, names, key, cfg, counts=None) -> dict[str, tuple[float,
         pool = pool.where((F.col("h") < F.col("cut")) & F.col("v").isNotNull())
     else:
         cells = df.select(F.inline(F.array(*slots))).where(F.col("v").isNotNull())
-        pool = _drawn(cells, F.col("cut"), seed)
+        pool = _pool(cells, F.col("slot"), [counts[c] for c in ready], F.col("cut"), pool_rows, seed)
     # per column at most about `pool_rows` rows; each (column, tree) draws its own sample
     numbers = F.sequence(F.lit(0), F.lit(trees - 1))
     share = [min(4.0 * tree_rows / min(counts[c], pool_rows), 1.0) for c in ready]

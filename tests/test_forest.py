@@ -52,6 +52,43 @@ def test_copies_are_drawn_in_proportion(spark):
     assert len({r.h for r in drawn}) == len(drawn)
 
 
+def test_keyless_draw_groups_few_rows(spark, monkeypatch):
+    """A pool of 100 from 60,000 rows: a third are one content, a third each occur 20 times."""
+    monkeypatch.setattr(forest, "OFTEN", 50)
+    df = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, 0.5)
+        .when(F.col("id") % 3 == 1, (F.col("id") / 3).cast("int") % 1000 + 10)
+        .otherwise(F.col("id") + 10_000)
+        .cast("double")
+        .alias("x")
+    )
+    cut = F.lit(int(forest.HASH_SPAN * 100 / 60_000))
+    drawn = []
+    for parts in (3, 11):
+        rows = df.repartition(parts)
+        some, kept = forest._few_contents(rows, F.lit(0), [60_000], 100, 42)
+        assert 0 < kept[0] < 0.06
+        # contents that reach the shuffle, once a task that holds them
+        sent = some.groupBy(F.spark_partition_id(), "x").count().count()
+        assert sent < 10 * 100 + parts * 2 * forest.OFTEN
+        pool = forest._pool(rows, F.lit(0), [60_000], cut, 100, 42).collect()
+        drawn.append(sorted((r.x, r.h) for r in pool))
+    assert drawn[0] == drawn[1]
+    often = sum(x == 0.5 for x, _ in drawn[0])
+    assert often in (33, 34) and 70 < len(drawn[0]) < 140
+
+
+def test_many_draws_are_unbiased(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.col("id") % 500).otherwise(F.col("id")).cast("double").alias("x"))
+    cut = F.lit(int(forest.HASH_SPAN * 200 / 20_000))
+    copied, every = 0, 0
+    for seed in range(6):
+        pool = forest._pool(df, F.lit(0), [20_000], cut, 200, seed).collect()
+        copied += sum(r.x < 500 for r in pool)
+        every += len(pool)
+    assert 1000 < every < 1400 and 0.42 < copied / every < 0.58
+
+
 def test_hand_computed_tree():
     """One split at 2.0: the value alone ends after one step, the three others after
     one step and the mean depth of three."""

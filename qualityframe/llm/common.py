@@ -46,6 +46,15 @@ def kept(name: str, make: Callable):
     return store[name]
 
 
+def only_kept(name: str, make: Callable):
+    """As `kept`; what other steps kept in this worker is let go."""
+    store = sys.modules.setdefault("_kept_by_worker", ModuleType("_kept_by_worker")).__dict__
+    if name not in store:
+        for other in [k for k in store if not k.startswith("__")]:
+            del store[other]
+    return kept(name, make)
+
+
 def by_batch(
     df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType
 ) -> DataFrame:

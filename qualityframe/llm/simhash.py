@@ -25,16 +25,17 @@ null id stays null and is ignored by the smallest id; other columns are not read
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import by_batch, discard, kept, stored, whole, without
+from .common import by_batch, discard, only_kept, stored, whole, without
 
 BITS = 64
 WORDS = 3
@@ -287,7 +288,9 @@ SIGNS = BANDS * DEPTH
 SHINGLES_AT_ONCE = 1 << 12
 LEAST_CHANCE = 5.0
 CROWD = 1024
-TEXTS_HELD = 500
+SHINGLES_HELD = 1 << 20  # by a worker, between pairs
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 SEEDS = np.array([xxh64_intdigest(b"least hash", seed=k) | 1 for k in range(SIGNS)], np.uint64)
 
@@ -319,7 +322,7 @@ def shingles(hashes: np.ndarray, words: int) -> np.ndarray:
 def text_shingles(data: bytes) -> np.ndarray:
     """The sorted distinct five-word shingles of a text, as hashes."""
     found = data.lower().split()
-    known = kept("simhash words", WordHashes)
+    known = only_kept("simhash words", WordHashes)
     return shingles(np.fromiter(map(known.__getitem__, found), np.uint64, len(found)), SIMILAR_WORDS)
 
 
@@ -384,26 +387,43 @@ def in_blocks(rows: DataFrame, key: str, largest: int) -> DataFrame:
     return rows.join(large, "bucket", "left_anti").select(*rows.columns).unionByName(parted)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingles have at least the Jaccard similarity, counted out.
+def one_text_each(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(fp, data) for the classes `ids`, stored: of rows with one fp, and so the same
+    shingles, the first is read. The texts cross one shuffle."""
+    first = texts.select("fp", "__row").join(ids, "fp", "left_semi").groupBy("fp").agg(F.min("__row").alias("__row"))
+    chosen = texts.join(first.select("__row"), "__row", "left_semi")
+    return stored(chosen.select("fp", F.col("__data").alias("data")), "texts")
 
-    `texts` has fp, __row and __data; of rows with one fp, and so the same shingles, the
-    first is read.
-    """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    first = texts.groupBy("fp").agg(F.min("__row").alias("__row")).join(ids, "fp", "left_semi").select("__row")
-    some = stored(texts.join(first, "__row", "left_semi").select("fp", F.col("__data").alias("data")), "texts")
-    right = pairs.join(some.withColumnsRenamed({"fp": "b", "data": "y"}), "b")
-    both = right.join(some.withColumnsRenamed({"fp": "a", "data": "x"}), "a").select("a", "b", "x", "y")
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of a few MB: rows here hold two whole texts."""
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingles have at least the Jaccard similarity, counted out;
+    stored. `texts` has one row a class, fp and data."""
+    right = pairs.join(texts.withColumnsRenamed({"fp": "b", "data": "y"}), "b")
+    both = right.join(texts.withColumnsRenamed({"fp": "a", "data": "x"}), "a").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
+        size = 0
 
         def of(fp: int, data: pa.Scalar) -> np.ndarray:
+            nonlocal size
             if fp not in held:
-                if len(held) >= TEXTS_HELD:
+                if size >= SHINGLES_HELD:
                     held.clear()
+                    size = 0
                 held[fp] = text_shingles(data.as_py())
+                size += len(held[fp])
             return held[fp]
 
         for batch in batches:
@@ -416,7 +436,8 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
                 good.append(shared >= similarity * (len(all_) - shared) - 1e-9)
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    with small_batches(pairs.sparkSession):
+        return stored(both.mapInArrow(run, "a long, b long"), "verified-links")
 
 
 def bucket_candidates(rows: DataFrame, similarity: float) -> DataFrame:
@@ -477,14 +498,15 @@ def similar_links(classes: DataFrame, similarity: float = SIMILARITY, largest: i
     shared = rows.groupBy("bucket").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     met = stored(rows.join(shared, "bucket"), "similar-buckets")
     leaders = met.where("id != first").groupBy("id").agg(F.min("first").alias("a")).select("a", F.col("id").alias("b"))
-    links = stored(verified(stored(leaders, "leaders"), texts, similarity), "first-links")
+    some = one_text_each(texts, met.select(F.col("id").alias("fp")).distinct())
+    links = verified(stored(leaders, "leaders"), some, similarity)
     roots = stored(star_components(links), "first-stars").select(F.col("node").alias("id"), "root")
     rooted = stored(met.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root")), "rooted")
     apart = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
     sketches = alone.select(F.col("fp").alias("id"), F.col("__size").alias("size"), F.col("__sketch").alias("sketch"))
     left = stored(rooted.join(apart, "bucket", "left_semi").join(sketches, "id"), "apart")
     rest = stored(bucket_candidates(in_blocks(left, "id", largest), similarity), "pairs")
-    return links.unionByName(verified(rest, texts, similarity))
+    return links.unionByName(verified(rest, some, similarity))
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

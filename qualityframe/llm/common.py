@@ -68,6 +68,14 @@ def by_batch(
     return df.mapInArrow(run, schema)
 
 
+def apart(docs: DataFrame, step: Callable[[DataFrame], DataFrame], *used: str) -> DataFrame:
+    """`step` on rows whose columns, but for those used, bear names that clash with nothing;
+    the columns get their names back."""
+    hidden = {c: f"__column_{i}" for i, c in enumerate(docs.columns) if c not in used}
+    out = step(docs.withColumnsRenamed(hidden))
+    return out.withColumnsRenamed({name: c for c, name in hidden.items()})
+
+
 def whole(text: str = "text") -> Column:
     """The text of a row; a null text counts as empty."""
     return F.coalesce(F.col(text), F.lit(""))

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, whole
+from .common import apart, stored, whole
 
 MASKS = ((0, 1, 3, 6, 7), (0, 1, 4, 6, 7))
 SPAN = 8
@@ -152,10 +152,14 @@ def overlaps(
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that hold no benchmark item."""
-    leaks = overlaps(docs, items, key, text).select("key", "text_hash").distinct().toDF("__key", "__text_hash")
-    same = F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(whole(text)) == F.col("__text_hash"))
-    return docs.join(stored(leaks, "leaks"), same, "left_anti")
+    """The documents that hold no benchmark item; other columns may have any name."""
+
+    def step(rows: DataFrame) -> DataFrame:
+        leaks = overlaps(rows, items, key, text).select("key", "text_hash").distinct().toDF("__key", "__text_hash")
+        same = F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(whole(text)) == F.col("__text_hash"))
+        return rows.join(stored(leaks, "leaks"), same, "left_anti")
+
+    return apart(docs, step, key, text)
 
 
 def op6(docs: DataFrame, items: DataFrame) -> DataFrame:

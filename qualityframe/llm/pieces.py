@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_batch, kept, whole
+from .common import apart, by_batch, kept, whole
 
 # Fixed values of the model format: the word mark, and the kinds of pieces.
 MARK = "▁"
@@ -312,8 +312,13 @@ def decode(ids: DataFrame, path: str, column: str) -> DataFrame:
 
 
 def with_pieces(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """The documents with piece_ids."""
-    return encode(docs, path, text).withColumnRenamed("__ids", "piece_ids").drop("__same")
+    """The documents with piece_ids, which takes the place of a column of that name; other
+    columns may have any name."""
+
+    def step(rows: DataFrame) -> DataFrame:
+        return encode(rows, path, text).withColumnRenamed("__ids", "piece_ids").drop("__same")
+
+    return apart(docs.drop("piece_ids"), step, text)
 
 
 def op1(docs: DataFrame, path: str) -> DataFrame:

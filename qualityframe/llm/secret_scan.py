@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import word
 from . import spans
-from .common import whole
+from .common import apart, whole
 
 # Kinds of secrets in the order in which their spans are listed, the
 # pattern of each, the group whose length counts, and the least length.
@@ -123,12 +123,17 @@ def scan(docs: DataFrame, text: str = "text", allowed: tuple[str, ...] = ALLOWED
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """The documents with every found span replaced; a null text stays null."""
-    found = scan(docs, text)
-    clean = F.when(F.size("__all") > 0, spans.masked(text, "__all", mark)).otherwise(F.col(text))
-    return found.withColumn("__clean", clean).select(
-        *[F.col("__clean").alias(c) if c == text else F.col(c) for c in docs.columns]
-    )
+    """The documents with every found span replaced; a null text stays null. Other columns
+    keep their values, whatever their names."""
+
+    def step(rows: DataFrame) -> DataFrame:
+        found = scan(rows, text)
+        clean = F.when(F.size("__all") > 0, spans.masked(text, "__all", mark)).otherwise(F.col(text))
+        return found.withColumn("__clean", clean).select(
+            *[F.col("__clean").alias(c) if c == text else F.col(c) for c in rows.columns]
+        )
+
+    return apart(docs, step, text)
 
 
 def op2(docs: DataFrame) -> DataFrame:

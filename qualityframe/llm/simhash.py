@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import by_batch, discard, only_kept, stored, whole, without
+from .common import apart, by_batch, discard, only_kept, stored, whole, without
 
 BITS = 64
 WORDS = 3
@@ -522,8 +522,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
     the smallest key.
 
     A row without a key stays only if its whole group has none. Of rows that share key
-    and group one stays.
+    and group one stays. Other columns may have any name.
     """
+    return apart(docs, lambda rows: _keep_one(rows, key, text, similarity), key, text)
+
+
+def _keep_one(docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
     found = stored(similar_groups(docs, key, text, similarity), "near-duplicates")
     gone = stored(found.where(F.col(key) != F.col("component")).select(key).distinct(), "dropped")
     odd = stored(found.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull()).select(key), "unclear")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import by_batch, kept, table, whole
+from .common import apart, by_batch, kept, table, whole
 
 WORD = re.compile(r"\w+")
 BITS = 18
@@ -185,6 +185,14 @@ def op5(spark: SparkSession, sf_dir: str, fit: Fit = Fit()) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), key: str = "doc_id") -> DataFrame:
-    """The documents scored below the threshold, by a model of the labels not held out."""
-    model = learn(docs, labels.where(~held_out(key)), fit, key)
-    return score(docs, *model).where(F.col("__score") < fit.threshold).drop("__score")
+    """The documents scored below the threshold, by a model of the labels not held out.
+
+    A null or empty text is scored like any other; repeated rows share their fate; other
+    columns may have any name.
+    """
+
+    def step(rows: DataFrame) -> DataFrame:
+        model = learn(rows, labels.where(~held_out(key)), fit, key)
+        return score(rows, *model).where(F.col("__score") < fit.threshold).drop("__score")
+
+    return apart(docs, step, key, "text")

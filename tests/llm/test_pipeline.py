@@ -1,6 +1,8 @@
 import subprocess
 import sys
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from qualityframe.llm import decontaminate, simhash
 from qualityframe.llm.common import table
@@ -44,6 +46,27 @@ def test_odd_rows_go_through_every_stage(spark, odd_docs, sample, tmp_path):
         assert docs.columns == [*COLUMNS, "piece_ids"]
 
 
+CLASHING = ["__text", "__row", "__ids", "__same", "__score", "__all", "__base", "__n", "__fp", "__key", "key", "fp", "data", "root"]
+
+
+def test_columns_with_clashing_names_keep_their_values(spark, sample, tmp_path):
+    secret = "password=abcdefghijkl"
+    extra = [F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in CLASHING]
+    docs = table(spark, sample, "documents").where("doc_id < 40").withColumn("text", F.concat(F.lit(f"{secret} "), "text"))
+    wide = docs.select("*", *extra)
+    for _, stage in corpus_pipeline.STAGES:
+        plain = {r.doc_id: r for r in stage(spark, docs, sample).collect()}
+        out = stage(spark, wide, sample)
+        rows = out.collect()
+        assert sorted(r.doc_id for r in rows) == sorted(plain)
+        for r in rows:
+            assert all(r[c] == f"{c} {r.doc_id}" for c in CLASHING)
+            assert r.text == plain[r.doc_id].text
+    redacted = corpus_pipeline.redact(spark, wide, sample)
+    assert redacted.columns == wide.columns
+    assert not any(secret in str(v) for r in redacted.collect() for v in r)
+
+
 def test_entry_without_this_folder():
     code = (
         "import sys; sys.modules['qualityframe.llm'] = None; import __spark_entry__ as e; "

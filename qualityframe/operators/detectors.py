@@ -7,6 +7,7 @@ profiles work on any number of runs and datasets at once.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -250,26 +251,42 @@ def quasi_columns(c: Context) -> list[str]:
 COMBO_SCHEMA = "columns array<string>, distinct_count bigint, row_count bigint, ratio double"
 
 
+def _promising(
+    data: DataFrame, names: list[str], combos: list[list[str]], at_least: float
+) -> tuple[int, list[list[str]]]:
+    """(rows, combinations that may hold `at_least` times as many different values)."""
+    singles = {c: sketch_distinct(row_digest([c], data.schema)[0]) for c in names}
+    found = one_row(data, {"": "count(1)"} | singles, batch=12)
+    rows = found[""]
+    if not rows:
+        return 0, []
+    slack = 6 * COMBO_SKETCH_ERROR
+    most = {c: found[c] * (1 + slack) for c in names}
+    combos = [k for k in combos if math.prod(most[c] for c in k) >= at_least * rows]
+    if not combos:
+        return rows, []
+    digests = {str(i): sketch_distinct(row_digest(k, data.schema)[0]) for i, k in enumerate(combos)}
+    sketch = one_row(data, digests, batch=6)
+    floor = at_least * rows * (1 - slack)
+    return rows, [k for i, k in enumerate(combos) if sketch[str(i)] >= floor]
+
+
 def combination_uniqueness(
     df: DataFrame, names: list[str], at_least: float = 0.0
 ) -> DataFrame:
     """(columns, distinct_count, row_count, ratio) for every pair and triple of columns.
 
-    A sketch pass drops combinations that cannot reach `at_least`; the rest are
-    counted exactly in one scan, each row sending 20 bytes per combination. Only
-    the counts, one per combination, come back.
+    With `at_least`, combinations that cannot reach it are dropped level by level: first
+    those whose product of single-column counts is too small, then, of the rest, those
+    whose sketch is. The survivors are counted exactly in one scan, each row sending 20
+    bytes per combination. Only the counts, one per combination, come back.
     """
     combos = [list(k) for r in (2, 3) for k in itertools.combinations(names, r)]
     with spread(df.select(*[col(c) for c in names])) as data:
-        rows = data.count()
-        if at_least > 0 and rows:
-            digests = {
-                str(i): sketch_distinct(row_digest(k, df.schema)[0])
-                for i, k in enumerate(combos)
-            }
-            sketch = one_row(data, digests, batch=6)
-            floor = at_least * rows * (1 - 6 * COMBO_SKETCH_ERROR)
-            combos = [k for i, k in enumerate(combos) if sketch[str(i)] >= floor]
+        if at_least > 0:
+            rows, combos = _promising(data, names, combos, at_least)
+        else:
+            rows = data.count()
         if not combos or not rows:
             return local_frame(df.sparkSession, [], COMBO_SCHEMA)
         slots = [

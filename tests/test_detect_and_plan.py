@@ -334,3 +334,27 @@ def test_findings_carry_the_run_that_was_scanned(spark):
     assert {r.run_id for r in detectors.quasi_identifiers(context).collect()} == {"two"}
     with pytest.raises(ValueError):
         detectors.quasi_identifiers(detectors.Context(one.columns, both, one.correlations, one.classes(), df))
+
+
+def test_quasi_identifiers_are_pruned_by_single_columns(spark, monkeypatch):
+    """Nulls count as a value; a product of exactly the wanted count must survive."""
+    df = spark.range(1200).select(
+        (F.col("id") % 40).alias("a"), F.when(F.col("id") % 30 > 0, F.col("id") % 30).alias("b"),
+        (F.col("id") / 40).cast("int").alias("c"), (F.col("id") % 2).alias("d"), F.lit(1).alias("e"),
+        F.lit(None).cast("string").alias("f"),
+    )
+    names = list("abcdef")
+    every = {tuple(r.columns): r.ratio for r in detectors.combination_uniqueness(df, names).collect()}
+    assert len(every) == 15 + 20 and every["a", "c"] == 1.0
+    sketched = []
+    one_row = detectors.one_row
+
+    def seen(data, exprs, **options):
+        sketched.append(len(exprs))
+        return one_row(data, exprs, **options)
+
+    monkeypatch.setattr(detectors, "one_row", seen)
+    found = {tuple(r.columns): r.ratio for r in detectors.combination_uniqueness(df, names, 0.9).collect()}
+    assert {k: v for k, v in found.items() if v >= 0.9} == {k: v for k, v in every.items() if v >= 0.9}
+    assert sketched[0] == 7 and len(sketched) == 2 and sketched[1] < 20
+    assert detectors.combination_uniqueness(df.limit(0), names, 0.9).count() == 0

@@ -162,23 +162,38 @@ def _kept(name: str) -> str:
     return f"__kept {name}"
 
 
+def _marks(text: Column) -> dict[str, Column]:
+    """Two hashes that stand for a label of any length."""
+    return {"__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit("second"), text)}
+
+
 def with_frequent(df: DataFrame, thresholds: dict[str, float]) -> DataFrame:
     """For each column add whether its label is at or above the share.
 
-    All columns are counted in one scan. At most 1 / threshold labels of a column stay;
-    they are joined, whatever the threshold, and broadcast while that bound is small.
+    All columns are counted in one scan. Labels travel as 16 bytes, whatever their length.
+    Those with at least one in `BROADCAST_LABELS` rows are so few that they are broadcast;
+    wanted rarer ones are joined, and none of them is hot, since rows whose label is known
+    by then are dealt out under a number of their own.
     """
     if not thresholds:
         return df
     names = list(thresholds)
     counts = categories.value_counts(df.select(*[col(c) for c in names]), names)
+    share = 1 / BROADCAST_LABELS
     for name, threshold in thresholds.items():
-        labels = categories.frequent_values(counts.where(F.col("column") == name), threshold)
-        labels = labels.select(F.col("value").alias("__label"))
-        if threshold * BROADCAST_LABELS >= 1:
-            labels = F.broadcast(labels)
-        joined = df.join(labels, col(name).cast("string") == F.col("__label"), "left")
-        df = joined.withColumn(_kept(name), F.col("__label").isNotNull()).drop("__label")
+        wanted = counts.where((F.col("column") == name) & (F.col("share") >= threshold))
+        labels = wanted.select("share", *[v.alias(k) for k, v in _marks(F.col("value")).items()])
+        often = labels.where(F.col("share") >= share).select("__h1", "__h2", F.lit(True).alias("__often"))
+        df = df.withColumns(_marks(col(name).cast("string"))).join(F.broadcast(often), ["__h1", "__h2"], "left")
+        found = F.coalesce("__often", F.lit(False))
+        if threshold < share:
+            seldom = labels.where(F.col("share") < share).select(
+                "__h1", "__h2", F.lit(0).cast("long").alias("__own"), F.lit(True).alias("__seldom")
+            )
+            own = F.when(found, 1 + F.monotonically_increasing_id()).otherwise(F.lit(0))
+            df = df.withColumn("__own", own.cast("long")).join(seldom, ["__h1", "__h2", "__own"], "left")
+            found = found | F.coalesce("__seldom", F.lit(False))
+        df = df.withColumn(_kept(name), found).drop("__h1", "__h2", "__often", "__own", "__seldom")
     return df
 
 

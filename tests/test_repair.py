@@ -152,3 +152,16 @@ def test_same_column_twice_applies_in_order(spark):
         ),
     )
     assert values(healed, "x") == [0.0, 0.0]
+
+
+def test_long_and_seldom_labels_stay_at_any_threshold(spark, monkeypatch):
+    """Labels above one in ten rows are broadcast, rarer wanted ones are joined."""
+    monkeypatch.setattr(repair, "BROADCAST_LABELS", 10)
+    labels = ["hot"] * 400 + ["y" * 5000] * 60 + ["z"] * 30 + ["w"] * 9 + ["v"] + [None] * 20
+    df = spark.createDataFrame([(i, x, x) for i, x in enumerate(labels)], "id long, label string, other string")
+    for threshold in (0.3, 0.1, 0.05, 0.015, 0.001):
+        total = sum(x is not None for x in labels)
+        kept = {x for x in labels if x is not None and labels.count(x) / total >= threshold}
+        got = {r.id: r.label for r in repair.group_rare(df.repartition(4), "label", threshold).collect()}
+        assert got == {i: x if x is None or x in kept else "OTHER" for i, x in enumerate(labels)}
+    assert repair.group_rare(df, "label", 0.001).columns == df.columns

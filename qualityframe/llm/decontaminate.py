@@ -4,22 +4,30 @@ Method. A text becomes hashes of its words. At every position a few fixed masks
 some of the next words and ignore the others, so a substituted word at an ignored
 position does not hide a match. Seeds of documents meet equal seeds of benchmark items;
 a meeting names a diagonal (item, offset), and along it a window of `window` words slides
-over the item: the pair counts if one window has `share` of its words equal. With the
-masks below, every window of 13 words with at most two substitutions holds a seed.
+over the item: the pair counts if one window has `share` of its words equal.
+
+A window of n words tolerates t = n - ceil(share * n) substitutions. Two masks of five
+words leave no window of 12 or 13 words with two substitutions without a seed. For any
+other window its words are dealt to t + 2 groups and each mask reads two of them: t
+substitutions leave two groups whole, so one mask reads equal words only. Windows without
+a tolerated substitution (up to four words) are one seed. Documents are read with the
+masks of the item lengths that the benchmark holds, no others.
 
 Two bitmaps of fixed size keep the seeds of clean documents out of the shuffle: words
 of the benchmark and seeds of the benchmark. They have false positives only, which the
-join removes; a benchmark that fills them costs time, not matches.
+join removes; a benchmark that fills them costs time, not matches. A diagonal carries the
+words beside its item, not the document.
 
 Defined cases: words are runs of letters and digits, lower-cased; null and empty texts
-match nothing; items of fewer words than a mask spans hold no seed and match nothing;
-items shorter than the window are compared over all their words; equal items are
-reported each; repeated documents get the same rows, joined by distinct.
+and items without a word match nothing; items shorter than the window are compared over
+all their words, so an item of one word is found wherever that word stands; equal items
+are reported each; repeated documents get the same rows, joined by distinct.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,40 +35,55 @@ from pyspark.sql import functions as F
 from .common import apart, stored, whole
 
 MASKS = ((0, 1, 3, 6, 7), (0, 1, 4, 6, 7))
-SPAN = 8
 WINDOW = 13
 SHARE = 0.8
 WORD_BITS = 17
 SEED_BITS = 20
 
 
+def masks_for(n: int, share: float = SHARE) -> tuple[tuple[int, ...], ...]:
+    """Masks of which one reads equal words only, in any tolerated window of n words."""
+    gone = n - math.ceil(share * n)
+    if n in (12, 13) and gone <= 2:
+        return MASKS
+    if gone <= 0:
+        return (tuple(range(n)),)
+    groups = [range(g, n, gone + 2) for g in range(gone + 2)]
+    read = {tuple(sorted([*x, *y])) for x, y in combinations(groups, 2)}
+    return tuple(sorted({tuple(o - m[0] for o in m) for m in read if m}))
+
+
 def words(text: str) -> Column:
     return F.array_remove(F.split(F.lower(whole(text)), r"[^\p{L}\p{N}]+", -1), "")
 
 
-def _seed(at: str, mask: tuple[int, ...], number: int) -> str:
-    """Hash of the words that a mask reads at position i; null if one is null."""
-    parts = [f"element_at({at}, i + {o})" for o in mask]
-    known = " AND ".join(f"{p} IS NOT NULL" for p in parts)
-    return f"if({known}, xxhash64({number}, {', '.join(parts)}), NULL)"
+def _seed(at: str, mask: tuple[int, ...]) -> str:
+    """Hash of the words that a mask reads at position i, its offsets included."""
+    known = " AND ".join(f"element_at({at}, i + {o}) IS NOT NULL" for o in mask)
+    read = ", ".join(f"element_at({at}, i + {o})" for o in mask)
+    return f"if({known}, xxhash64('{mask}', {read}), NULL)"
 
 
-def seeds(hashes: str) -> str:
+def seeds(hashes: str, masks: tuple[tuple[int, ...], ...]) -> str:
     """SQL: array of (at, seed) for all masks at all positions; nulls give no seed."""
-    n = f"size({hashes})"
-    common = sorted(set.intersection(*map(set, MASKS)))
+    span = 1 + max(m[-1] for m in masks)
+    if any(m[-1] + 1 != span for m in masks):  # one search of the positions for each span
+        spans = sorted({m[-1] for m in masks})
+        return f"concat({', '.join(seeds(hashes, tuple(m for m in masks if m[-1] == s)) for s in spans)})"
+    common = sorted(set.intersection(*map(set, masks)))
     open_ = " AND ".join(f"element_at({hashes}, i + {o}) IS NOT NULL" for o in common)
-    places = f"filter(if({n} >= {SPAN}, sequence(1, {n} - {SPAN - 1}), cast(array() AS array<int>)), i -> {open_})"
+    places = f"filter(if(size({hashes}) >= {span}, sequence(1, size({hashes}) - {span - 1}), cast(array() AS array<int>)), i -> {open_})"
     each = [
-        f"filter(transform({places}, i -> named_struct('at', i, 'seed', {_seed(hashes, m, k)})), s -> s.seed IS NOT NULL)"
-        for k, m in enumerate(MASKS)
+        f"filter(transform({places}, i -> named_struct('at', i, 'seed', {_seed(hashes, m)})), s -> s.seed IS NOT NULL)"
+        for m in masks
     ]
     return f"concat({', '.join(each)})"
 
 
-def _spots(value: str, bits: int) -> list[str]:
-    """The two bits of a bitmap that stand for a value, as SQL."""
-    return [f"pmod({value}, {1 << bits}L)", f"pmod(shiftright({value}, {bits}), {1 << bits}L)"]
+def _lane(value: str, bits: int) -> str:
+    """The long of a bitmap that holds the bit of a value, as SQL; the value's last six
+    bits name the bit."""
+    return f"cast(shiftright({value} & {(1 << bits) - 1}L, 6) AS int)"
 
 
 def bitmap(values: DataFrame, column: str, bits: int) -> str:
@@ -68,11 +91,8 @@ def bitmap(values: DataFrame, column: str, bits: int) -> str:
 
     At most 2 ** bits / 64 rows come to the driver, whatever the input.
     """
-    spots = ", ".join(_spots(f"`{column}`", bits))
-    held = values.where(F.col(column).isNotNull()).select(F.expr(f"explode(array({spots})) AS spot"))
-    lane = held.select(
-        F.shiftright("spot", 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(spot % 64 AS int)) AS bit")
-    )
+    held = values.where(F.col(column).isNotNull())
+    lane = held.selectExpr(f"{_lane(f'`{column}`', bits)} AS at", f"shiftleft(1L, cast(`{column}` & 63L AS int)) AS bit")
     lanes = [0] * ((1 << bits) // 64)
     for at, lane_bits in lane.groupBy("at").agg(F.bit_or("bit")).collect():
         lanes[at] = lane_bits
@@ -80,37 +100,53 @@ def bitmap(values: DataFrame, column: str, bits: int) -> str:
 
 
 def in_bitmap(lanes: str, value: str, bits: int) -> str:
-    return " AND ".join(
-        f"getbit(element_at({lanes}, cast(shiftright({spot}, 6) AS int) + 1), cast({spot} % 64 AS int)) = 1"
-        for spot in _spots(value, bits)
-    )
+    return f"getbit(get({lanes}, {_lane(value, bits)}), cast({value} & 63L AS int)) = 1"
 
 
-def prepared(items: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(key, words as hashes) of the benchmark, and its seeds (seed, key, at)."""
+def prepared(items: DataFrame, key: str, text: str, window: int, share: float) -> tuple[DataFrame, DataFrame]:
+    """(row, key, words as hashes) of the benchmark, and its seeds (seed, row, at, n), each
+    item by the masks of its own window; n is the number of words. Both are stored."""
     hashed = items.select(F.col(key).alias("item"), words(text).alias("w"))
     hashed = hashed.select("item", F.expr("transform(w, x -> xxhash64(x))").alias("item_words")).distinct()
-    found = hashed.select("item", F.expr(f"inline({seeds('item_words')})"))
-    return hashed, found.select("seed", "item", F.col("at").alias("item_at")).distinct()
+    hashed = stored(hashed.withColumn("item_row", F.monotonically_increasing_id()), "benchmark")
+    n = f"least(size(item_words), {window})"
+    by_length = " ".join(f"WHEN {k} THEN {seeds('item_words', masks_for(k, share))}" for k in range(1, window + 1))
+    found = hashed.where("size(item_words) > 0").select(
+        "item_row", F.size("item_words").alias("n"), F.expr(f"inline(CASE {n} {by_length} END)")
+    )
+    return hashed, stored(found.select("seed", "item_row", F.col("at").alias("item_at"), "n").distinct(), "seeds")
 
 
-def candidates(docs: DataFrame, hashed: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+def candidates(
+    docs: DataFrame, hashed: DataFrame, found: DataFrame, key: str, text: str, window: int, share: float
+) -> DataFrame:
     """(row, key, text hash, words as hashes, seeds) of documents that may match."""
     vocabulary = bitmap(hashed.select(F.explode("item_words").alias("h")), "h", WORD_BITS)
     known = bitmap(found, "seed", SEED_BITS)
+    lengths = [r.n for r in found.select(F.least("n", F.lit(window)).alias("n")).distinct().collect()]  # at most `window`
+    masks = tuple(sorted({m for n in lengths for m in masks_for(n, share)})) or MASKS
     read = docs.select(
         F.col(key).alias("key"),
         F.xxhash64(whole(text)).alias("text_hash"),
         F.transform(words(text), lambda w: F.xxhash64(w)).alias("h"),
     )
     marked = read.withColumn("k", F.expr(f"transform(h, x -> if({in_bitmap(vocabulary, 'x', WORD_BITS)}, x, NULL))"))
-    seeded = marked.withColumn("seeds", F.expr(f"filter({seeds('k')}, s -> {in_bitmap(known, 's.seed', SEED_BITS)})"))
+    seeded = marked.withColumn("seeds", F.expr(f"filter({seeds('k', masks)}, s -> {in_bitmap(known, 's.seed', SEED_BITS)})"))
     # a generator, as a filter would be pushed down and would repeat all of the above
     some = F.expr("explode(if(size(seeds) > 0, array(named_struct('h', h, 'seeds', seeds)), array()))")
     few = seeded.select("key", "text_hash", some.alias("x")).select("key", "text_hash", "x.*")
     return stored(few.withColumn("row", F.monotonically_increasing_id()), "candidates")
 
 
+def diagonals(few: DataFrame, found: DataFrame) -> DataFrame:
+    """(row, key, text hash, item row, offset, beside): each diagonal once, with the words of
+    the document that lie beside the item; the first of them is word 1 + max(offset, 0)."""
+    hits = few.select("row", F.expr("inline(seeds)")).join(found, "seed")
+    lines = hits.select("row", "item_row", "n", (F.col("at") - F.col("item_at")).alias("offset")).distinct()
+    beside = "slice(h, greatest(offset, 0) + 1, n + least(offset, 0))"
+    return lines.join(few.drop("seeds"), "row").select("row", "key", "text_hash", "item_row", "offset", F.expr(beside).alias("beside"))
+
+
 def overlaps(
     docs: DataFrame,
     items: DataFrame,
@@ -125,14 +161,11 @@ def overlaps(
 
     equal_words is the best window of the best diagonal.
     """
-    hashed, found = (stored(x, "benchmark") for x in prepared(items, item_key, item_text))
-    few = candidates(docs, hashed, found, key, text)
-    hits = few.select("row", F.expr("inline(seeds)")).join(found, "seed")
-    lines = hits.select("row", "item", (F.col("at") - F.col("item_at")).alias("offset")).distinct()
-    beside = lines.join(few.drop("seeds"), "row").join(hashed, "item")
+    hashed, found = prepared(items, item_key, item_text, window, share)
+    few = candidates(docs, hashed, found, key, text, window, share)
+    beside = diagonals(few, found).join(hashed, "item_row")
     # along the diagonal: equal words, then a running count over the last `span` of them
-    equal = """transform(item_words, (x, i) ->
-        if(if(i + 1 + offset BETWEEN 1 AND size(h), element_at(h, i + 1 + offset) = x, false), 1, 0))"""
+    equal = "transform(item_words, (x, i) -> if(coalesce(get(beside, i + least(offset, 0)) = x, false), 1, 0))"
     now = "a.now + e - if(a.i > span, element_at(equal, a.i - span), 0)"
     best = f"""aggregate(equal, named_struct('i', 1, 'now', 0, 'best', 0),
         (a, e) -> named_struct('i', a.i + 1, 'now', {now}, 'best', greatest(a.best, {now})),
@@ -141,6 +174,7 @@ def overlaps(
         beside.withColumn("span", F.least(F.size("item_words"), F.lit(window)))
         .withColumn("equal", F.expr(equal))
         .withColumn("best", F.expr(best))
+        .where(F.col("best") >= F.ceil(F.col("span") * F.lit(share)))
     )
     pairs = scored.groupBy("row", "item").agg(
         F.first("key").alias("key"),
@@ -148,7 +182,7 @@ def overlaps(
         F.max("best").alias("equal_words"),
         F.max("span").alias("window_words"),
     )
-    return pairs.where(F.col("equal_words") >= F.ceil(F.col("window_words") * F.lit(share))).select("key", "text_hash", "item", "equal_words", "window_words")
+    return pairs.select("key", "text_hash", "item", "equal_words", "window_words")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -177,7 +211,7 @@ OP6_SQL = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark),
 dw AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
-iw AS (SELECT item_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM i WHERE len(w) >= {SPAN}),
+iw AS (SELECT item_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM i),
 m AS (SELECT doc_id, item_id, n, dw.p - iw.p AS o, iw.p AS p FROM dw JOIN iw USING (x)),
 c AS (SELECT doc_id, item_id, least(n, {WINDOW}) AS n, count(*) OVER (
     PARTITION BY doc_id, item_id, o ORDER BY p RANGE BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS e FROM m)

@@ -1,5 +1,7 @@
+import math
 import random
 import re
+from itertools import combinations
 
 import pytest
 from qualityframe.llm import decontaminate
@@ -15,13 +17,11 @@ def brute_force(docs, items):
         for item, body in items:
             i = WORD.findall((body or "").lower())
             span = min(len(i), decontaminate.WINDOW)
-            if len(i) < decontaminate.SPAN:
-                continue
             best = 0
             for offset in range(-len(i), len(d)):
                 equal = [0 <= k + offset < len(d) and d[k + offset] == w for k, w in enumerate(i)]
                 best = max([best, *(sum(equal[k : k + span]) for k in range(len(i) - span + 1))])
-            if best >= decontaminate.SHARE * span:
+            if span and best >= decontaminate.SHARE * span:
                 out[doc, item] = (best, span)
     return out
 
@@ -56,14 +56,43 @@ def test_equals_brute_force(spark, planted):
     assert kept == {k for k, _ in docs} - {k for k, _ in got}
 
 
-def test_every_tolerated_window_holds_a_seed():
-    from itertools import combinations
+@pytest.mark.parametrize("share", [0.8, 0.6, 1.0])
+def test_every_tolerated_window_holds_a_seed(share):
+    for n in range(1, 21):
+        masks = decontaminate.masks_for(n, share)
+        for gone in combinations(range(n), n - math.ceil(share * n)):
+            assert any(not {s + o for o in mask} & set(gone) for mask in masks for s in range(n - mask[-1])), (n, gone)
 
-    n = decontaminate.WINDOW
-    for gone in combinations(range(n), n - -(-8 * n // 10)):
-        assert any(
-            not {s + o for o in mask} & set(gone) for mask in decontaminate.MASKS for s in range(n - decontaminate.SPAN + 1)
-        )
+
+def test_short_items_equal_brute_force(spark):
+    """Items of 1 to 14 words, whole, with substitutions, and cut by the ends of a text."""
+    rng = random.Random(5)
+    items = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in range(15)] + [(None, "no id here at all")]
+    docs = [(900, "no id here at all")]
+    for n, text in items[1:15]:
+        for gone in range(4):
+            for place in range(3):
+                leak = text.split()
+                for at in rng.sample(range(n), min(gone, n)):
+                    leak[at] = "changed"
+                noise = [f"n{rng.randrange(50)}" for _ in range(6)]
+                whole = [noise + leak + noise, leak[1:] + noise, noise + leak[: max(1, n - 1)]][place]
+                docs.append((len(docs), " ".join(whole)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.equal_words, r.window_words) for r in decontaminate.op6(d, i).collect()}
+    want = brute_force(docs, items)
+    assert got == want
+    assert {k for _, k in want} == {None, *range(1, 15)}
+
+
+def test_a_diagonal_carries_the_words_beside_its_item(spark):
+    docs = spark.createDataFrame([(1, "x " * 5000 + "one two three four five six seven eight nine ten " + "y " * 5000)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    hashed, found = decontaminate.prepared(items, "item_id", "text", decontaminate.WINDOW, decontaminate.SHARE)
+    few = decontaminate.candidates(docs, hashed, found, "doc_id", "text", decontaminate.WINDOW, decontaminate.SHARE)
+    rows = decontaminate.diagonals(few, found).collect()
+    assert [(r.offset, len(r.beside)) for r in rows] == [(5000, 10)]
 
 
 def test_odd_rows(spark, odd_docs, no_docs):

@@ -39,6 +39,8 @@ WINDOW = 13
 SHARE = 0.8
 WORD_BITS = 17
 SEED_BITS = 20
+#: Every word is tested, so one bit must do; few seeds are, and a second bit is cheap.
+WORD_SHIFTS, SEED_SHIFTS = (0,), (0, 26)
 
 
 def masks_for(n: int, share: float = SHARE) -> tuple[tuple[int, ...], ...]:
@@ -80,27 +82,30 @@ def seeds(hashes: str, masks: tuple[tuple[int, ...], ...]) -> str:
     return f"concat({', '.join(each)})"
 
 
-def _lane(value: str, bits: int) -> str:
-    """The long of a bitmap that holds the bit of a value, as SQL; the value's last six
-    bits name the bit."""
-    return f"cast(shiftright({value} & {(1 << bits) - 1}L, 6) AS int)"
+def _spot(value: str, bits: int, shift: int) -> tuple[str, str]:
+    """The long of a bitmap that holds a bit of a value, and the bit, as SQL."""
+    part = f"shiftright({value}, {shift})" if shift else value
+    return f"cast(shiftright({part} & {(1 << bits) - 1}L, 6) AS int)", f"cast({part} & 63L AS int)"
 
 
-def bitmap(values: DataFrame, column: str, bits: int) -> str:
-    """SQL for an array of 2 ** bits bits as longs, with the bits of all values set.
+def bitmap(values: DataFrame, column: str, bits: int, shifts: tuple[int, ...]) -> str:
+    """SQL for an array of 2 ** bits bits as longs, with the bits of all values set, one
+    bit of a value for each shift.
 
     At most 2 ** bits / 64 rows come to the driver, whatever the input.
     """
     held = values.where(F.col(column).isNotNull())
-    lane = held.selectExpr(f"{_lane(f'`{column}`', bits)} AS at", f"shiftleft(1L, cast(`{column}` & 63L AS int)) AS bit")
+    spots = ", ".join(f"struct({at} AS at, shiftleft(1L, {bit}) AS bit)" for at, bit in (_spot(f"`{column}`", bits, k) for k in shifts))
+    lane = held.selectExpr(f"inline(array({spots}))")
     lanes = [0] * ((1 << bits) // 64)
     for at, lane_bits in lane.groupBy("at").agg(F.bit_or("bit")).collect():
         lanes[at] = lane_bits
     return f"cast(split('{','.join(map(str, lanes))}', ',') AS array<bigint>)"
 
 
-def in_bitmap(lanes: str, value: str, bits: int) -> str:
-    return f"getbit(get({lanes}, {_lane(value, bits)}), cast({value} & 63L AS int)) = 1"
+def in_bitmap(lanes: str, value: str, bits: int, shifts: tuple[int, ...]) -> str:
+    spots = (_spot(value, bits, k) for k in shifts)
+    return " AND ".join(f"getbit(get({lanes}, {at}), {bit}) = 1" for at, bit in spots)
 
 
 def prepared(items: DataFrame, key: str, text: str, window: int, share: float) -> tuple[DataFrame, DataFrame]:
@@ -121,8 +126,8 @@ def candidates(
     docs: DataFrame, hashed: DataFrame, found: DataFrame, key: str, text: str, window: int, share: float
 ) -> DataFrame:
     """(row, key, text hash, words as hashes, seeds) of documents that may match."""
-    vocabulary = bitmap(hashed.select(F.explode("item_words").alias("h")), "h", WORD_BITS)
-    known = bitmap(found, "seed", SEED_BITS)
+    vocabulary = bitmap(hashed.select(F.explode("item_words").alias("h")), "h", WORD_BITS, WORD_SHIFTS)
+    known = bitmap(found, "seed", SEED_BITS, SEED_SHIFTS)
     lengths = [r.n for r in found.select(F.least("n", F.lit(window)).alias("n")).distinct().collect()]  # at most `window`
     masks = tuple(sorted({m for n in lengths for m in masks_for(n, share)})) or MASKS
     read = docs.select(
@@ -130,8 +135,8 @@ def candidates(
         F.xxhash64(whole(text)).alias("text_hash"),
         F.transform(words(text), lambda w: F.xxhash64(w)).alias("h"),
     )
-    marked = read.withColumn("k", F.expr(f"transform(h, x -> if({in_bitmap(vocabulary, 'x', WORD_BITS)}, x, NULL))"))
-    seeded = marked.withColumn("seeds", F.expr(f"filter({seeds('k', masks)}, s -> {in_bitmap(known, 's.seed', SEED_BITS)})"))
+    marked = read.withColumn("k", F.expr(f"transform(h, x -> if({in_bitmap(vocabulary, 'x', WORD_BITS, WORD_SHIFTS)}, x, NULL))"))
+    seeded = marked.withColumn("seeds", F.expr(f"filter({seeds('k', masks)}, s -> {in_bitmap(known, 's.seed', SEED_BITS, SEED_SHIFTS)})"))
     # a generator, as a filter would be pushed down and would repeat all of the above
     some = F.expr("explode(if(size(seeds) > 0, array(named_struct('h', h, 'seeds', seeds)), array()))")
     few = seeded.select("key", "text_hash", some.alias("x")).select("key", "text_hash", "x.*")

@@ -98,6 +98,32 @@ add(
       repeat('  ', depth) || '[' || strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f') || '] ' || message
     FROM walk AS w JOIN log USING (trace_id, event_id) JOIN told USING (trace_id, event_id)""",
 )
+add(
+    "trace_full_report",
+    lambda s, d: audit.full_report(events(s, d)),
+    f"""WITH RECURSIVE {LOG}, walk AS (
+      SELECT trace_id, event_id, 0 AS depth FROM log AS c
+      WHERE parent_event_id IS NULL OR NOT EXISTS (SELECT 1 FROM log AS p
+        WHERE p.event_id = c.parent_event_id AND p.trace_id = c.trace_id)
+      UNION ALL
+      SELECT c.trace_id, c.event_id, w.depth + 1
+      FROM walk AS w JOIN log AS c ON c.parent_event_id = w.event_id AND c.trace_id = w.trace_id),
+    said AS (SELECT trace_id, arg_min(metadata, ("timestamp", event_id)) AS m FROM log WHERE event_type = 'start' GROUP BY trace_id),
+    head AS (SELECT l.trace_id, min("timestamp") AS created, any_value(m) AS m,
+        count(*) FILTER (severity IN ('critical', 'error', 'warning')) AS n_issues
+      FROM log AS l LEFT JOIN said AS s ON s.trace_id = l.trace_id GROUP BY l.trace_id),
+    told AS (SELECT trace_id, event_id, "timestamp", severity, {MESSAGE} AS message FROM log),
+    stamped AS (SELECT *, '[' || strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f') || '] ' || message AS line FROM told)
+    SELECT trace_id, 0 AS section, 0 AS rank, 'Trace: ' || trace_id AS line FROM head
+    UNION ALL SELECT trace_id, 0, 1, 'Created: ' || strftime(created, '%Y-%m-%dT%H:%M:%S.%f') FROM head
+    UNION ALL SELECT trace_id, 0, 2, 'Mode: ' || coalesce(json_extract_string(m, '$.mode'), 'unknown') FROM head
+    UNION ALL SELECT trace_id, 0, 3, 'Dataset: ' || json_extract_string(m, '$.dataset_id') FROM head
+      WHERE json_extract_string(m, '$.dataset_id') IS NOT NULL
+    UNION ALL SELECT trace_id, 0, 5, 'No issues' FROM head WHERE n_issues = 0
+    UNION ALL SELECT trace_id, 1, (severity = 'warning')::INTEGER, '[' || upper(severity) || '] ' || line
+    FROM stamped WHERE severity IN ('critical', 'error', 'warning')
+    UNION ALL SELECT w.trace_id, 2, 0, repeat('  ', depth) || line FROM walk AS w JOIN stamped USING (trace_id, event_id)""",
+)
 add(
     "trace_decisions",
     lambda s, d: audit.decision_checks(events(s, d)),

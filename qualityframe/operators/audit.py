@@ -237,6 +237,55 @@ def report(events: DataFrame) -> DataFrame:
     return listed.unionByName(told).orderBy("trace_id", "section", "late", "path")
 
 
+def heads(events: DataFrame) -> DataFrame:
+    """One row for each trace: when it began, how many issues it has, and what its first
+    start event says of the run (mode, dataset, tags); null where it says nothing.
+
+    A trace is reduced to one row before the shuffle, however many events it has.
+    """
+    said = F.when(F.col("event_type") == "start", F.struct("timestamp", "event_id", "metadata"))
+    first = F.min(said)["metadata"]
+    return events.groupBy("trace_id").agg(
+        F.min("timestamp").alias("created"),
+        F.count_if(F.col("severity").isin(list(SEVERITY_LABELS))).alias("n_issues"),
+        F.get_json_object(first, "$.mode").alias("mode"),
+        F.get_json_object(first, "$.dataset_id").alias("dataset_id"),
+        F.array_join(F.from_json(F.get_json_object(first, "$.tags"), "array<string>"), ", ").alias("tags"),
+    )
+
+
+def full_report(events: DataFrame) -> DataFrame:
+    """`report` with a head for each trace, issues with their times, and a line where a
+    trace has no issue: (trace_id, section, rank, line), ordered; rank orders the head."""
+
+    def at(c: str) -> Column:
+        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+    nowhere = F.array().cast("array<struct<at:timestamp_ntz,id:string>>")
+    lines = [
+        F.concat(F.lit("Trace: "), "trace_id"),
+        F.concat(F.lit("Created: "), at("created")),
+        F.concat(F.lit("Mode: "), _text("mode", "unknown")),
+        F.concat(F.lit("Dataset: "), "dataset_id"),
+        F.concat(F.lit("Tags: "), F.nullif("tags", F.lit(""))),
+        F.when(F.col("n_issues") == 0, "No issues"),
+    ]
+    head = heads(events).select("trace_id", F.posexplode(F.array(*lines)).alias("rank", "line"))
+    head = head.where(F.col("line").isNotNull()).select(
+        "trace_id", F.lit(0).alias("section"), "rank", nowhere.alias("path"), "line"
+    )
+    listed = issues(events).select(
+        "trace_id",
+        F.lit(1).alias("section"),
+        (F.col("label") == "WARNING").cast("int").alias("rank"),
+        F.array(F.struct(F.col("timestamp").alias("at"), F.col("event_id").alias("id"))).alias("path"),
+        F.concat(F.lit("["), "label", F.lit("] ["), at("timestamp"), F.lit("] "), "message").alias("line"),
+    )
+    told = narrative(events).select("trace_id", F.lit(2).alias("section"), F.lit(0).alias("rank"), "path", "line")
+    every = head.unionByName(listed).unionByName(told)
+    return every.orderBy("trace_id", "section", "rank", "path").drop("path")
+
+
 def decision_checks(events: DataFrame) -> DataFrame:
     """Decision events with what is wrong with them, if anything."""
     rows = events.where((F.col("component") == "trace") & (F.col("event_type") == "decision"))

@@ -225,15 +225,21 @@ def analyze(
     registry: detectors.Registry | None = None,
     handlers: dict | None = None,
     profiles: Profiles | None = None,
+    tags: list[str] | None = None,
+    metadata: dict | None = None,
     **options,
 ) -> Result:
     """Run every step; only schema-sized tables come back to the driver.
 
-    A source that cannot be read gives a result with `error` instead of raising.
+    A source that cannot be read gives a result with `error` instead of raising. Tags and
+    metadata of the run are kept in its first event, beside mode, dataset and configuration.
     """
     run_id = run_id or str(uuid.uuid4())
     log = Recorder(run_id, cfg)
-    log.event("analyze", "start", config_hash=cfg.hash())
+    log.event(
+        "analyze", "start", config_hash=cfg.hash(), mode=cfg.mode, dataset_id=dataset_id,
+        tags=list(tags or []), properties=dict(metadata or {}),
+    )
     try:
         df = source if isinstance(source, DataFrame) else load(spark, source, **options)
     except Exception as error:  # reported in the result

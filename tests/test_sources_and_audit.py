@@ -4,8 +4,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from qualityframe.config import Config
 from qualityframe.operators import audit
 from qualityframe.operators.scale import local_frame, lookup
+from qualityframe.plans.analyze import analyze
 from qualityframe.sources import readers, sinks
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -132,6 +134,37 @@ def test_report_of_four_events(spark):
     assert "Decision 'choose' (Confidence: 0.95). Reasons: rule_violation." in told[2]
 
 
+def test_full_report_has_heads_times_and_a_line_without_issues(spark):
+    start = {"mode": "strict", "dataset_id": "orders", "tags": ["nightly", "eu"]}
+    rows = [
+        event(1, name="run", kind="start", metadata=start), event(2, "1", kind="start", metadata={"mode": "late"}),
+        event(3, "1", severity="warning", name="w"), event(4, "1", severity="critical", name="c"), event(5, trace="u"),
+    ]
+    got = [(r.trace_id, r.section, r.line) for r in audit.full_report(audit.event_frame(spark, rows)).collect()]
+    assert [line for t, s, line in got if t == "t" and s == 0] == [
+        "Trace: t", "Created: 2024-01-01T00:00:01.000001", "Mode: strict", "Dataset: orders", "Tags: nightly, eu",
+    ]
+    assert [line.split("] ")[:2] for t, s, line in got if t == "t" and s == 1] == [
+        ["[CRITICAL", "[2024-01-01T00:00:04.000004"], ["[WARNING", "[2024-01-01T00:00:03.000003"],
+    ]
+    assert [line for t, s, line in got if t == "u" and s == 0][2:] == ["Mode: unknown", "No issues"]
+    assert [s for t, s, _ in got] == sorted(s for t, s, _ in got if t == "t") + sorted(s for t, s, _ in got if t == "u")
+    empty = audit.full_report(audit.event_frame(spark, []))
+    assert empty.columns == ["trace_id", "section", "rank", "line"] and empty.isEmpty()
+
+
+def test_a_run_keeps_its_tags_and_metadata(spark):
+    cfg = Config(tracing=True).with_profiling(enable_ml=False)
+    result = analyze(
+        spark.range(20), cfg, dataset_id="ids", run_id="r", tags=["nightly"], metadata={"team": "ops", "name": "x", "inputs": 1}
+    )
+    log = audit.event_frame(spark, result.events)
+    head = audit.heads(log).first()
+    assert (head.trace_id, head.mode, head.dataset_id, head.tags) == ("r", cfg.mode, "ids", "nightly")
+    assert json.loads(log.where("event_type = 'start'").first().metadata)["properties"] == {"team": "ops", "name": "x", "inputs": 1}
+    assert audit.search(log, query="ops").count() == 1
+
+
 def test_tree_of_a_long_chain_hot_parent_and_cycle(spark):
     chain = [event(i, str(i - 1) if i else None) for i in range(70)]
     brood = [event(1000 + i, "0") for i in range(200)]

@@ -7,8 +7,9 @@ numpy decodes by table: a control byte selects four lengths, their running sum i
 each value lies. Documents lie in ascending order of their key over ranges of keys, one
 file for each range, and totals of the files give the position of each document.
 
-Tokenizing. The vocabulary drops white space and never joins across it, so words are
-tokenized by the library once per worker and kept, up to a fixed number.
+Tokenizing. Where the vocabulary file drops white space and never joins across it, words are
+tokenized by the library once per worker and kept, up to a fixed number; with any other
+file the library gets whole texts.
 
 Defined cases: null and empty texts have the end id only; null keys come first; equal
 keys are ordered by a hash of the text and then by row; repeated rows count each.
@@ -16,11 +17,13 @@ keys are ordered by a hash of the text and then by row; repeated rows count each
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import re
 import struct
-import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +33,36 @@ from pyspark.sql import functions as F
 
 from ..operators.scale import scratch_path
 from . import files
-from .common import by_batch, discard, kept, stored, whole
+from .common import by_batch, discard, only_kept, stored, whole
 
 END = 1
 MAGIC = b"RANKVB01"
 HEAD = "<8sQQQ"
 FILE_BYTES = 16 << 20
-WORD = re.compile(r"[^ \t\n\r\f\v]+")
-CACHED_WORDS = 300_000
-CLOSING = ".,;:!?"
+CACHED_WORDS = 450_000
+CLOSING = re.compile(r"[.,;:!?](?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ][.,;:!?])")
+BEYOND = re.compile("[^\\x00-\\xff]")
 MARK, WORDS_AT_ONCE = "\x01", 500
 CACHED_LENGTH = 40
 TEXTS_AT_ONCE = 200
 END_BYTES = np.array([END], "<u4").tobytes()
+SUFFIX = "</w>"
+
+# How a vocabulary file states that words are lower-cased and cut at white space.
+NORMALIZERS = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
+SPLITS = [
+    {
+        "type": "Split",
+        "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+        "behavior": "Removed",
+        "invert": True,
+    },
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
 
 #: Lengths of the four values that a control byte describes.
 LENGTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3).astype(np.int64) + 1
@@ -71,16 +91,29 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out
 
 
-def parted(word: str) -> tuple[str, str] | None:
-    """A word as lower-case core and closing marks, where that leaves its ids as they are.
+def cut_at_spaces(file: dict) -> bool:
+    """Does this vocabulary file drop white space and never join across it?
 
-    The vocabulary lower-cases and cuts between letters or digits and other characters.
-    Below U+0100 nothing composes; a special token begins with `<|`.
+    Only files that normalize and split exactly as the shortcuts below expect say yes; for
+    all others whole texts go to the library.
     """
-    core = word.rstrip(CLOSING)
-    if len(core) == len(word) or not core or not core[-1].isalnum() or max(word) > "\xff" or "<|" in word:
-        return None
-    return core.lower(), word[len(core) :]
+    parts = (file.get("normalizer") or {}).get("normalizers", [])
+    splits = (file.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    plain = not any(t.get("lstrip") or t.get("rstrip") or not t["content"].startswith("<|") for t in file.get("added_tokens", []))
+    return plain and parts == NORMALIZERS and splits == SPLITS and file["model"].get("end_of_word_suffix") == SUFFIX
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Words of a text, brought to fewer forms where that leaves the ids as they are.
+
+    The vocabulary lower-cases and cuts between a letter or digit and other characters.
+    Below U+0100 nothing composes; a special token begins with `<|`. Bytes are split at
+    the six white characters of ASCII only.
+    """
+    body = text.decode("utf-8", "replace")
+    if BEYOND.search(body) or "<|" in body:
+        return body.encode().split()
+    return CLOSING.sub(r" \g<0>", body.lower()).encode().split()
 
 
 class Tokens:
@@ -95,50 +128,74 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(data)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.by_word = cut_at_spaces(json.loads(data))
         mark = self.ids(MARK)
         self.mark = mark[0] if len(mark) == 1 else None
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        if self.by_word:
+            self.closes[[k for token, k in self.tokenizer.get_vocab().items() if token.endswith(SUFFIX)]] = True
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers, the end id last."""
+        if not self.by_word:
+            return [np.array([*self.ids(t.decode("utf-8", "replace")), END], "<u4").tobytes() for t in texts]
         out: list[bytes] = []
         for start in range(0, len(texts), TEXTS_AT_ONCE):
             out += self._encode(texts[start : start + TEXTS_AT_ONCE])
         return out
 
+    def _store(self, words: list[str], found: np.ndarray, ends: np.ndarray, gap: int) -> None:
+        """Keep the ids of words that lie one after the other, `gap` ids apart."""
+        data, at, known = found.tobytes(), 0, self.known
+        for w, end in zip(words, (4 * ends).tolist(), strict=True):
+            known[w.encode()] = data[at:end]
+            at = end + 4 * gap
+
+    def _letters(self, words: list[str]) -> list[str]:
+        """Look up words of letters below U+0100, many in one text: the last piece of each
+        closes it. Returns the words for which that does not hold."""
+        odd: list[str] = []
+        for start in range(0, len(words), WORDS_AT_ONCE):
+            part = words[start : start + WORDS_AT_ONCE]
+            found = np.array(self.ids(" ".join(part)), "<u4")
+            ends = np.flatnonzero(self.closes[found]) + 1
+            if len(ends) == len(part) and ends[-1] == len(found):
+                self._store(part, found, ends, 0)
+            else:
+                odd += part
+        return odd
+
     def _new(self, words: list[str]) -> None:
-        """Look words up in the library, many in one text with a mark of one id between."""
-        plain = [w for w in words if self.mark is not None and MARK not in w]
-        for w in words if self.mark is None else [w for w in words if MARK in w]:
-            self.known[w] = np.array(self.ids(w), "<u4").tobytes()
+        """Look words up in the library, many in one text."""
+        letters = [w for w in words if w.isalpha() and max(w) <= "\xff"]
+        others = [w for w in words if not (w.isalpha() and max(w) <= "\xff")] + self._letters(letters)
+        plain = [w for w in others if self.mark is not None and MARK not in w]
+        for w in others if self.mark is None else [w for w in others if MARK in w]:
+            self.known[w.encode()] = np.array(self.ids(w), "<u4").tobytes()
         for start in range(0, len(plain), WORDS_AT_ONCE):
             part = plain[start : start + WORDS_AT_ONCE]
             found = np.array(self.ids(f" {MARK} ".join(part)), "<u4")
-            ends = [*(4 * np.flatnonzero(found == self.mark)).tolist(), 4 * len(found)]
-            data, at = found.tobytes(), 0
-            for w, end in zip(part, ends, strict=True):
-                self.known[w] = data[at:end]
-                at = end + 4
+            self._store(part, found, np.r_[np.flatnonzero(found == self.mark), len(found)], 1)
 
-    def _fetch(self, words: set[str]) -> list[str]:
+    def _fetch(self, words: set[bytes]) -> list[bytes]:
         """Make words known; returns those that the library was asked for."""
         known, older = self.known, self.older
         known.update((w, older[w]) for w in words if w in older)
         new = [w for w in words if w not in known]
-        self._new(new)
+        self._new([w.decode() for w in new])
         return new
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        split = [WORD.findall(t) for t in texts]
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        split = [words_of(t) for t in texts]
+        new = self._fetch(set(filterfalse(self.known.__contains__, chain.from_iterable(split))))
         known = self.known
-        missing = set().union(*split).difference(known)
-        parts = {w: p for w in missing if (p := parted(w))}
-        new = self._fetch({x for p in parts.values() for x in p if x not in known} | (missing - parts.keys()))
-        known.update((w, known[core] + known[tail]) for w, (core, tail) in parts.items())
         out = [b"".join(map(known.__getitem__, words)) + END_BYTES for words in split]
         for w in new:
             if len(w) > CACHED_LENGTH:
@@ -151,14 +208,16 @@ class Tokens:
 def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, tie, ids): ids as bytes, the end id last; the file is read on the driver."""
     with open(path, encoding="utf-8") as file:
-        shared = docs.sparkSession.sparkContext.broadcast(file.read())
+        data = file.read()
+    shared = docs.sparkSession.sparkContext.broadcast(data)
+    name = f"tokens {hashlib.sha256(data.encode()).hexdigest()}"
     kind = docs.schema[key].dataType.simpleString()
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = kept(f"tokens {path}", lambda: Tokens(shared.value)).encode(batch.column(2).to_pylist())
+        found = only_kept(name, lambda: Tokens(shared.value)).encode(batch.column(2).to_pylist())
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["key", "tie", "ids"])
 
-    read = docs.select(F.col(key).alias("key"), F.xxhash64(whole(text)).alias("tie"), whole(text).alias("t"))
+    read = docs.select(F.col(key).alias("key"), F.xxhash64(whole(text)).alias("tie"), whole(text).cast("binary").alias("t"))
     return by_batch(read, step, f"key {kind}, tie long, ids binary")
 
 

@@ -1,12 +1,17 @@
 import zlib
 
 import numpy as np
+import public_tokenizers
 from hypothesis import given
 from hypothesis import strategies as st
 from qualityframe.llm import token_files
 from qualityframe.llm.queries import WORDS
 from tokenizers import Tokenizer
 
+with open(WORDS, encoding="utf-8") as file:
+    DATA = file.read()
+KNOWN = token_files.Tokens(DATA)
+
 
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=50))
 def test_streams_round_trip(values):
@@ -22,8 +27,8 @@ def test_file_round_trip():
     assert [(k, v.tolist()) for k, v in token_files.documents(made)] == docs
 
 
-def expected(rows):
-    tokenizer = Tokenizer.from_file(WORDS)
+def expected(rows, path=WORDS):
+    tokenizer = Tokenizer.from_file(path)
     start, out = 0, []
     for key, text in rows:
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
@@ -39,6 +44,29 @@ def test_equals_the_library(spark):
     assert sorted(map(tuple, token_files.op8(docs, WORDS).collect())) == want
 
 
+ODD_TEXTS = ["Hello, World. two  words", "  lead", "tail  ", "", None, "O'Neil's. ÀB, ß! ªº².", "don't", "a\n\nb\tc", "É" * 50 + "."]
+
+
+def test_other_vocabularies_equal_the_library(spark):
+    docs = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "doc_id long, text string")
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        assert sorted(map(tuple, token_files.op8(docs, path).collect())) == expected(sorted(docs.collect()), path)
+
+
+@given(st.lists(st.text(st.characters(max_codepoint=0x17F, exclude_categories=["Cs"]) | st.sampled_from("aB. ,'sS\x01")), max_size=6))
+def test_words_equal_the_library(texts):
+    got = KNOWN.encode([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [[*KNOWN.ids(t), 1] for t in texts]
+
+
+def test_full_tables_start_anew(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHED_WORDS", 5)
+    tokens = token_files.Tokens(DATA)
+    for text in ["one two three four five six", "One, two; three. seven eight", "one two nine " + "z" * 60] * 2:
+        assert np.frombuffer(tokens.encode([text.encode()])[0], "<u4").tolist() == [*KNOWN.ids(text), 1]
+
+
 def test_sample_table_equals_the_library(spark, sample):
     docs = spark.read.parquet(f"{sample}/documents.parquet").select("doc_id", "text")
     assert sorted(map(tuple, token_files.op8(docs, WORDS).collect())) == expected(sorted(docs.collect()))

@@ -23,7 +23,6 @@ import os
 import re
 import struct
 from collections.abc import Iterator
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -65,32 +64,67 @@ SPLITS = [
 ]
 
 #: Lengths of the four values that a control byte describes.
-LENGTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3).astype(np.int64) + 1
-
-
-def pack(values: np.ndarray) -> tuple[bytes, bytes]:
-    """(control bytes, data bytes) of unsigned 32-bit values."""
-    values = values.astype("<u4")
-    size = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    codes = np.zeros(-(-len(values) // 4) * 4, np.uint8)
-    codes[: len(values)] = size - 1
-    control = codes.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8)
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
-    return control.astype(np.uint8).tobytes(), data.tobytes()
+LENGTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3).astype(np.uint8) + np.uint8(1)
+VALUES_AT_ONCE = 1 << 18
+
+
+def groups(counts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of documents with about VALUES_AT_ONCE values; one may hold more."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(counts) // VALUES_AT_ONCE)) + 1
+    bounds = [0, *cuts.tolist(), len(counts)]
+    return ((a, b) for a, b in zip(bounds, bounds[1:]) if a < b)
+
+
+def pack_all(values: np.ndarray, counts: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """(control bytes, data bytes) of each document; `values` holds theirs one after another,
+    unsigned 32-bit numbers."""
+    values = np.ascontiguousarray(values, "<u4")
+    size = np.ones(len(values), np.uint8)
+    for most in (0xFF, 0xFFFF, 0xFFFFFF):
+        size += values > most
+    width = -(-counts // 4)
+    last, control_last = np.cumsum(counts), np.cumsum(width)
+    codes = np.zeros(4 * int(width.sum()), np.uint8)
+    codes[np.arange(len(values)) + np.repeat(4 * (control_last - width) - (last - counts), counts)] = size - 1
+    control = (codes[0::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6).tobytes()
+    widest = int(size.max(initial=0))
+    data = values.view(np.uint8).reshape(-1, 4)[:, :widest][np.arange(widest) < size[:, None]].tobytes()
+    data_last = np.r_[0, np.cumsum(size, dtype=np.int64)][last]
+    out, c, d = [], 0, 0
+    for c_end, d_end in zip(control_last.tolist(), data_last.tolist()):
+        out.append((control[c:c_end], data[d:d_end]))
+        c, d = c_end, d_end
+    return out
 
 
-def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
-    """The `count` values of a pair of streams."""
-    size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:count]
-    at = np.cumsum(size) - size
+def unpack_all(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
+    """The values of documents whose streams lie one after another."""
+    size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()
+    spare = -counts % 4
+    last = np.cumsum(counts + spare)
+    real = np.ones(len(size), bool)
+    for k in (1, 2, 3):
+        real[last[spare >= k] - k] = False
+    size = size[real]
+    at = np.cumsum(size, dtype=np.int64) - size
     source = np.frombuffer(data, np.uint8)
     out = source[at].astype(np.uint32)
-    for k in (1, 2, 3):
+    for k in range(1, int(size.max(initial=1))):
         longer = np.flatnonzero(size > k)
         out[longer] |= source[at[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
+def pack(values: np.ndarray) -> tuple[bytes, bytes]:
+    """(control bytes, data bytes) of the values of one document."""
+    return pack_all(values, np.array([len(values)]))[0]
+
+
+def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
+    """The `count` values of a pair of streams."""
+    return unpack_all(control, data, np.array([count]))
+
+
 def cut_at_spaces(file: dict) -> bool:
     """Does this vocabulary file drop white space and never join across it?
 
@@ -194,9 +228,14 @@ class Tokens:
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         split = [words_of(t) for t in texts]
-        new = self._fetch(set(filterfalse(self.known.__contains__, chain.from_iterable(split))))
+        found = [list(map(self.known.get, words)) for words in split]
+        gaps = [[i for i, x in enumerate(ids) if x is None] for ids in found]
+        new = self._fetch({words[i] for words, at in zip(split, gaps) for i in at})
         known = self.known
-        out = [b"".join(map(known.__getitem__, words)) + END_BYTES for words in split]
+        for words, ids, at in zip(split, found, gaps):
+            for i in at:
+                ids[i] = known[words[i]]
+        out = [b"".join(ids) + END_BYTES for ids in found]
         for w in new:
             if len(w) > CACHED_LENGTH:
                 del known[w]
@@ -246,10 +285,13 @@ def packed(found: DataFrame, by_rank: np.ndarray, kind: str) -> DataFrame:
     shared = found.sparkSession.sparkContext.broadcast(place)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = [np.frombuffer(x, "<u4") for x in batch.column(2).to_pylist()]
-        streams = [pack(shared.value[x]) for x in ids]
+        ids = batch.column(2).to_pylist()
+        counts = np.array([len(x) // 4 for x in ids])
+        streams = []
+        for a, b in groups(counts):
+            streams += pack_all(shared.value[np.frombuffer(b"".join(ids[a:b]), "<u4")], counts[a:b])
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array([c for c, _ in streams], pa.binary()), pa.array([d for _, d in streams], pa.binary())],
+            [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array([c for c, _ in streams], pa.binary()), pa.array([d for _, d in streams], pa.binary())],
             ["key", "tie", "n", "control", "data"],
         )
 
@@ -275,12 +317,15 @@ def documents(content: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
         raise ValueError("not a token file")
     at = struct.calcsize(HEAD)
     known = np.frombuffer(content, np.uint8, count, at)
-    keys, sizes, lengths = (np.frombuffer(content, t, count, at + count * (1 + 8 * k)) for k, t in enumerate(("<i8", "<u8", "<u8")))
+    keys, sizes, lengths = (np.frombuffer(content, "<i8", count, at + count * (1 + 8 * k)) for k in range(3))
     control, data = at + index, at + index + streams
-    for i in range(count):
-        n, length = int(sizes[i]), int(lengths[i])
-        width = -(-n // 4)
-        yield (int(keys[i]) if known[i] else None), unpack(content[control : control + width], content[data : data + length], n)
+    for a, b in groups(sizes):
+        width, length = int((-(-sizes[a:b] // 4)).sum()), int(lengths[a:b].sum())
+        values = unpack_all(content[control : control + width], content[data : data + length], sizes[a:b])
+        first = 0
+        for i, last in zip(range(a, b), np.cumsum(sizes[a:b]).tolist()):
+            yield (int(keys[i]) if known[i] else None), values[first:last]
+            first = last
         control, data = control + width, data + length
 
 
@@ -331,7 +376,7 @@ def read(manifest: DataFrame, table: str) -> DataFrame:
                     keys.append(key)
                     starts.append(first)
                     counts.append(len(values))
-                    ids.append(by_rank[values].astype("<u4").tobytes())
+                    ids.append(by_rank[values].tobytes())
                     first += len(values)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],

@@ -2,13 +2,16 @@
 expressions.
 
 Method. Matches of the fixed patterns are seed entities. The words before an entity make
-lexical patterns (one word, two words). Words with digits are the instances; Spark keeps
-the graph of which pattern stands before which instance, and scores both sides in turn: a
-pattern by the share of its distinct instances that are trusted, an instance by the best
-pattern before it. A pattern must introduce several distinct seeds, and must be followed
-by an instance in a good part of all its occurrences in the corpus, so that articles and
-prepositions induce nothing. Patterns that end with high confidence mark the instances
-after them that no fixed pattern knows.
+lexical patterns (one word, two words). Instances are the entities themselves and, as
+candidates, tokens with a digit, with the number tokens that follow after single spaces, as
+far as no entity overlaps; Spark keeps the graph of which pattern stands before which
+instance, and scores both sides in turn: a pattern by the share of its distinct instances
+that are trusted, an instance by the best confident pattern before it (a doubtful one would
+only confirm itself). A pattern must introduce
+several distinct seeds, and must be followed by an instance in a good part of all its own
+occurrences in the corpus, so that articles and prepositions induce nothing. Patterns that
+end with high confidence mark the instances after them that no fixed pattern knows. The
+words before an instance are read back to the match before of its kind, however far.
 
 Defined cases: a null or empty text has no span; positions are code points, ends are
 exclusive; repeated rows each get a row and count as evidence once per distinct value;
@@ -37,9 +40,11 @@ BASE = {
 }
 OVER_255 = r"(^|\.)0*([3-9][0-9][0-9]|2[6-9][0-9]|25[6-9]|[1-9][0-9]{3,})(\.|$)"
 CONTEXT = "context"
-INSTANCE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+INSTANCE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+(?:(?<=[0-9A-Za-z)])\x20[().-]*+[0-9][0-9().-]*+(?=[\s,;:!?]|$))*+"
 EDGES = r"^[^A-Za-z0-9+]+|[^A-Za-z0-9]+$"
-REACH = 80
+# the last word and the last two words before an instance; tried from the end of the text
+ONE = r"(?s)^.*(?<!\p{L})(\p{L}++)[^\p{L}]*+$"
+TWO = r"(?s)^.*(?<!\p{L})(\p{L}++[^\p{L}]++\p{L}++)[^\p{L}]*+$"
 
 
 @dataclass(frozen=True)
@@ -82,7 +87,7 @@ def _ranked(found: Column, kind: str, rank: int) -> Column:
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, key, n, base, instances) for each document: sorted base spans, their number
-    by kind, and the words with digits with what stands before them. Stored."""
+    by kind, and entities and candidates with what stands before them. Stored."""
     out = docs.select(F.col(key).alias("key"), whole(text).alias("t"))
     for kind, found in base("t").items():
         out = out.withColumn(kind, found)
@@ -90,27 +95,25 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     out = out.withColumn("card", F.expr(f"filter(card, s -> {valid})"))
     listed = F.concat(*[_ranked(F.col(k), k, r) for r, k in enumerate(BASE)])
     out = out.withColumn("base", F.array_sort(listed)).withColumn("numbers", spans.matches("t", INSTANCE))
-    before = f"lower(right(s.gap, {REACH}))"
-    instances = f"""filter(transform(numbers, s -> named_struct(
+    context = f"'one', lower(regexp_extract(s.gap, r'{ONE}', 1)), 'two', lower(regexp_extract(s.gap, r'{TWO}', 1))"
+    seeds = [f"transform({k}, s -> named_struct('start', s.start, 'value', s.match, {context}, 'seed', true))" for k in BASE]
+    others = f"""transform(filter(numbers, s -> NOT exists(base, b -> b.start < s.end AND b.end > s.start)), s -> named_struct(
         'start', s.start + length(s.match) - length(regexp_replace(s.match, '^[^A-Za-z0-9+]+', '')),
-        'value', regexp_replace(s.match, r'{EDGES}', ''),
-        'one', regexp_extract({before}, r'(\\p{{L}}+)[^\\p{{L}}]*$', 1),
-        'two', regexp_extract({before}, r'(\\p{{L}}+[^\\p{{L}}]+\\p{{L}}+)[^\\p{{L}}]*$', 1),
-        'seed', exists(base, b -> b.start < s.end AND b.end > s.start))),
-        s -> s.one <> '' AND length(s.value) >= 4)"""
+        'value', regexp_replace(s.match, r'{EDGES}', ''), {context}, 'seed', false))"""
+    instances = f"filter(concat({', '.join(seeds)}, {others}), s -> s.one <> '')"
     counts = F.create_map(*[x for k in BASE for x in (F.lit(k), F.size(k).cast("long"))])
     out = out.select("key", counts.alias("n"), "base", F.expr(instances).alias("instances"))
     return stored(out.withColumn("row", F.monotonically_increasing_id()), "personal-data")
 
 
 def occurrences(found: DataFrame) -> DataFrame:
-    """(row, start, stop, value, seed, pattern, word): an instance and a pattern before it."""
+    """(row, start, stop, value, seed, pattern): an instance and a pattern before it."""
     each = found.select("row", F.expr("inline(instances)"))
     spoken = F.regexp_replace("two", r"[^\p{L}]+", " ")
     patterns = F.array_distinct(F.array("one", F.when(F.col("two") != "", spoken).otherwise(F.col("one"))))
     return each.select(
         "row", "start", (F.col("start") + F.length("value")).alias("stop"), F.lower("value").alias("value"), "seed",
-        F.col("one").alias("word"), F.explode(patterns).alias("pattern"),
+        F.explode(patterns).alias("pattern"),
     )
 
 
@@ -130,7 +133,7 @@ def pattern_scores(edges: DataFrame, trust: Trust) -> DataFrame:
         scores = new
         best = edges.join(scores, "pattern").groupBy("value").agg(F.max("confidence").alias("best"))
         known = F.col("seed").cast("double")
-        best_score = F.when(F.col("best") >= trust.confidence / 2, F.col("best")).otherwise(F.lit(0.0))
+        best_score = F.when(F.col("best") >= trust.confidence, F.col("best")).otherwise(F.lit(0.0))
         trusted = edges.join(best, "value", "left").withColumn("score", F.greatest(known, F.coalesce(best_score, F.lit(0.0))))
     return scores
 
@@ -139,17 +142,18 @@ def trusted_patterns(docs: DataFrame, found: DataFrame, trust: Trust, text: str
     """The patterns that may mark unseen instances: confident, and lexical enough. Stored."""
     seen = occurrences(found)
     edges = stored(seen.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "edges")
-    uses = seen.groupBy("pattern", "word").agg(F.count(F.lit(1)).alias("uses"))
+    uses = seen.groupBy("pattern").agg(F.count(F.lit(1)).alias("uses"))
     sure = pattern_scores(edges, trust).where(F.col("confidence") >= trust.confidence)
     used = stored(sure.join(uses, "pattern"), "confident")
     if used.isEmpty():
         return used.select("pattern")
-    # how often the last word of a pattern occurs at all
-    words = docs.select(F.explode(F.split(F.lower(whole(text)), r"[^\p{L}]+", -1)).alias("word"))
-    totals = words.join(used.select("word").distinct(), "word").groupBy("word").agg(F.count(F.lit(1)).alias("total"))
-    per_word = used.groupBy("word").agg(F.max("uses").alias("most"))
-    lexical = totals.join(per_word, "word").where(F.col("most") >= trust.followed * F.col("total"))
-    return stored(used.join(lexical.select("word"), "word").select("pattern").distinct(), "trusted")
+    # how often a pattern occurs at all, before whatever it may be
+    words = docs.select(F.filter(F.split(F.lower(whole(text)), r"[^\p{L}]+", -1), lambda w: w != "").alias("words"))
+    pairs = F.expr("zip_with(words, slice(words, 2, greatest(size(words) - 1, 0)), (a, b) -> concat(a, ' ', b))")
+    each = words.select(F.explode(F.concat("words", F.filter(pairs, lambda p: p.isNotNull()))).alias("pattern"))
+    totals = each.join(used.select("pattern"), "pattern").groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
+    lexical = totals.join(used, "pattern").where(F.col("uses") >= trust.followed * F.col("total"))
+    return stored(lexical.select("pattern"), "trusted")
 
 
 def find(docs: DataFrame, trust: Trust = Trust(), key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -56,14 +56,14 @@ def only_kept(name: str, make: Callable):
 
 
 def by_batch(
-    df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType
+    df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType, rows: int | None = None
 ) -> DataFrame:
-    """One Arrow batch in, one out; the rows of a batch are bounded by Spark."""
+    """One Arrow batch in, one out; the rows of a batch are bounded by Spark, or by `rows`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield step(batch)
+            for start in range(0, batch.num_rows, rows or batch.num_rows or 1):
+                yield step(batch.slice(start, rows))
 
     return df.mapInArrow(run, schema)
 

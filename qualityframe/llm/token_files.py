@@ -38,12 +38,12 @@ END = 1
 MAGIC = b"RANKVB01"
 HEAD = "<8sQQQ"
 FILE_BYTES = 16 << 20
-CACHED_WORDS = 450_000
+CACHED_WORDS = 400_000
 CLOSING = re.compile(r"[.,;:!?](?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ][.,;:!?])")
 BEYOND = re.compile("[^\\x00-\\xff]")
 MARK, WORDS_AT_ONCE = "\x01", 500
 CACHED_LENGTH = 40
-TEXTS_AT_ONCE = 200
+TEXTS_AT_ONCE, ROWS_AT_ONCE = 100, 1000
 END_BYTES = np.array([END], "<u4").tobytes()
 SUFFIX = "</w>"
 
@@ -257,7 +257,7 @@ def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["key", "tie", "ids"])
 
     read = docs.select(F.col(key).alias("key"), F.xxhash64(whole(text)).alias("tie"), whole(text).cast("binary").alias("t"))
-    return by_batch(read, step, f"key {kind}, tie long, ids binary")
+    return by_batch(read, step, f"key {kind}, tie long, ids binary", ROWS_AT_ONCE)
 
 
 def ranks(found: DataFrame) -> np.ndarray:
@@ -295,7 +295,7 @@ def packed(found: DataFrame, by_rank: np.ndarray, kind: str) -> DataFrame:
             ["key", "tie", "n", "control", "data"],
         )
 
-    return by_batch(found, step, f"key {kind}, tie long, n long, control binary, data binary")
+    return by_batch(found, step, f"key {kind}, tie long, n long, control binary, data binary", ROWS_AT_ONCE)
 
 
 def file_bytes(keys: list, counts: list[int], control: list[bytes], data: list[bytes]) -> bytes:

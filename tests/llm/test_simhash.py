@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from qualityframe.llm import simhash
 
 
@@ -204,3 +205,33 @@ def test_block_edits_are_found_and_links_are_exact(spark):
     near = {i for i in range(0, 480, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])}
     assert 50 < len(near) < 200
     assert {i for i in range(0, 480, 2) if found[i] == found[i + 1]} == near
+
+
+def test_fingerprints_of_the_operator_link_in_the_stage(spark):
+    """Texts that operator 9 groups and whose five-word similarity is far below 0.8."""
+    rng = random.Random(13)
+    rows = [(i, "red dog ran far home " * 100 + " ".join(f"t{rng.randrange(10**6)}" for _ in range(15))) for i in range(12)]
+    rows.append((50, " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id: r.component for r in simhash.groups(docs).collect()}
+    assert len(set(want.values())) == 2
+    assert {r.doc_id: r.component for r in simhash.similar_groups(docs).collect()} == want
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [0, 50]
+
+
+def test_rows_of_a_bucket_grow_with_its_classes(spark):
+    """Near copies, each pair of them a candidate and a link: what joins them is written."""
+    rng = random.Random(14)
+    base, n = [f"w{k}" for k in range(300)], 60
+    rows = []
+    for i in range(n):
+        copy = list(base)
+        copy[rng.randrange(300)] = f"c{i}"
+        rows.append((i, " ".join(copy)))
+    marks = simhash.signatures(spark.createDataFrame(rows, "doc_id long, text string"))
+    columns = {"__fp": "id", "__size": "size", "__sketch": "sketch", "__data": "data"}
+    bucket = marks.select(F.lit(1).cast("long").alias("bucket"), F.col("__fp").alias("root"), *[F.col(a).alias(b) for a, b in columns.items()])
+    for found in (simhash.bucket_candidates(bucket, 0.8), simhash.cluster_links(bucket, 0.8)):
+        stars = simhash.star_components(found).collect()
+        assert found.count() == n - 1 == len(stars)
+        assert len({r.root for r in stars}) == 1

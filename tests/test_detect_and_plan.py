@@ -358,3 +358,13 @@ def test_quasi_identifiers_are_pruned_by_single_columns(spark, monkeypatch):
     assert {k: v for k, v in found.items() if v >= 0.9} == {k: v for k, v in every.items() if v >= 0.9}
     assert sketched[0] == 7 and len(sketched) == 2 and sketched[1] < 20
     assert detectors.combination_uniqueness(df.limit(0), names, 0.9).count() == 0
+
+
+def test_combinations_travel_as_two_longs(spark):
+    """Two longs a row and combination cross the shuffle; the counts are those of plain SQL."""
+    df = spark.range(300).selectExpr("id % 7 AS a", "CAST(id % 11 AS STRING) AS b", "IF(id % 5 = 0, NULL, id % 13) AS c")
+    combos = [["a", "b"], ["a", "c"], ["b", "c"], ["a", "b", "c"]]
+    packed = detectors._packed(df, combos)
+    assert [t for _, t in packed.dtypes] == ["bigint", "bigint"]
+    want = {tuple(k): df.select(*k).distinct().count() for k in combos}
+    assert {tuple(r.columns): r.distinct_count for r in detectors.combination_uniqueness(df, ["a", "b", "c"]).collect()} == want

@@ -8,8 +8,9 @@ each value lies. Documents lie in ascending order of their key over ranges of ke
 file for each range, and totals of the files give the position of each document.
 
 Tokenizing. Where the vocabulary file drops white space and never joins across it, words are
-tokenized by the library once per worker and kept, up to a fixed number; with any other
-file the library gets whole texts.
+tokenized by the library once per worker and kept, up to a fixed number: words below U+0100,
+cut as the file states, by its model alone, others by all of it. With any other file the
+library gets whole texts.
 
 Defined cases: null and empty texts have the end id only; null keys come first; equal
 keys are ordered by a hash of the text and then by row; repeated rows count each.
@@ -22,7 +23,7 @@ import json
 import os
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,9 @@ HEAD = "<8sQQQ"
 FILE_BYTES = 16 << 20
 CACHED_WORDS = 400_000
 CLOSING = re.compile(r"[.,;:!?](?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ][.,;:!?])")
+LETTERS = "a-zªµºß-öø-ÿ"
+SIMPLE = re.compile(f"[!-~{LETTERS}]+")
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^0-9{LETTERS}]+")
 BEYOND = re.compile("[^\\x00-\\xff]")
 MARK, WORDS_AT_ONCE = "\x01", 500
 CACHED_LENGTH = 40
@@ -137,45 +141,71 @@ def cut_at_spaces(file: dict) -> bool:
     return plain and parts == NORMALIZERS and splits == SPLITS and file["model"].get("end_of_word_suffix") == SUFFIX
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Words of a text, brought to fewer forms where that leaves the ids as they are.
+def words_of(text: bytes) -> tuple[list[bytes], bool]:
+    """Words of a text, brought to fewer forms where that leaves the ids as they are, and
+    whether that was so.
 
     The vocabulary lower-cases and cuts between a letter or digit and other characters.
     Below U+0100 nothing composes; a special token begins with `<|`. Bytes are split at
     the six white characters of ASCII only.
     """
     body = text.decode("utf-8", "replace")
-    if BEYOND.search(body) or "<|" in body:
-        return body.encode().split()
-    return CLOSING.sub(r" \g<0>", body.lower()).encode().split()
+    if "<|" in body or (not body.isascii() and BEYOND.search(body)):
+        return body.encode().split(), False
+    return CLOSING.sub(r" \g<0>", body.lower()).encode().split(), True
 
 
-class Tokens:
-    """The library's tokenizer with the ids of words seen by this worker.
+class Words(dict):
+    """Ids of the words seen by this worker, as bytes; a word not seen yet is looked up.
 
     Words are kept in two generations: when the younger is full it becomes the older, and
     a word found in the older moves up, so frequent words stay.
     """
 
+    def __init__(self, find: Callable[[str], list[int]], older: dict[bytes, bytes]):
+        self.find, self.older = find, older
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            ids = self.find(word.decode("utf-8", "replace"))
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            if len(word) > CACHED_LENGTH:
+                return found
+        self[word] = found
+        return found
+
+
+class Tokens:
+    """The library's tokenizer with the ids of words seen by this worker."""
+
     def __init__(self, data: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(data)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.known = Words(self.word_ids, {})
         self.by_word = cut_at_spaces(json.loads(data))
         mark = self.ids(MARK)
         self.mark = mark[0] if len(mark) == 1 else None
-        self.closes = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
-        if self.by_word:
-            self.closes[[k for token, k in self.tokenizer.get_vocab().items() if token.endswith(SUFFIX)]] = True
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelled = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x100)}
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def word_ids(self, word: str) -> list[int]:
+        """Ids of a word. Below U+0100 nothing composes, and a special token begins with `<|`;
+        other words of letters and visible ASCII are cut here, and the model gets the pieces."""
+        low = word.lower()
+        if not SIMPLE.fullmatch(low) or "<|" in low:
+            return self.ids(word)
+        pieces = [low] if low.isalpha() else PIECES.findall(low)
+        return [t.id for x in pieces for t in self.model.tokenize(x if x.isascii() else x.translate(self.spelled))]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers, the end id last."""
         if not self.by_word:
@@ -185,62 +215,31 @@ class Tokens:
             out += self._encode(texts[start : start + TEXTS_AT_ONCE])
         return out
 
-    def _store(self, words: list[str], found: np.ndarray, ends: np.ndarray, gap: int) -> None:
-        """Keep the ids of words that lie one after the other, `gap` ids apart."""
-        data, at, known = found.tobytes(), 0, self.known
-        for w, end in zip(words, (4 * ends).tolist(), strict=True):
-            known[w.encode()] = data[at:end]
-            at = end + 4 * gap
-
-    def _letters(self, words: list[str]) -> list[str]:
-        """Look up words of letters below U+0100, many in one text: the last piece of each
-        closes it. Returns the words for which that does not hold."""
-        odd: list[str] = []
-        for start in range(0, len(words), WORDS_AT_ONCE):
-            part = words[start : start + WORDS_AT_ONCE]
-            found = np.array(self.ids(" ".join(part)), "<u4")
-            ends = np.flatnonzero(self.closes[found]) + 1
-            if len(ends) == len(part) and ends[-1] == len(found):
-                self._store(part, found, ends, 0)
-            else:
-                odd += part
-        return odd
-
-    def _new(self, words: list[str]) -> None:
-        """Look words up in the library, many in one text."""
-        letters = [w for w in words if w.isalpha() and max(w) <= "\xff"]
-        others = [w for w in words if not (w.isalpha() and max(w) <= "\xff")] + self._letters(letters)
-        plain = [w for w in others if self.mark is not None and MARK not in w]
-        for w in others if self.mark is None else [w for w in others if MARK in w]:
-            self.known[w.encode()] = np.array(self.ids(w), "<u4").tobytes()
+    def _fetch(self, words: set[bytes]) -> None:
+        """Look words up in the whole library, many in one text."""
+        plain = [w.decode() for w in words if self.mark is not None and MARK.encode() not in w]
         for start in range(0, len(plain), WORDS_AT_ONCE):
             part = plain[start : start + WORDS_AT_ONCE]
             found = np.array(self.ids(f" {MARK} ".join(part)), "<u4")
-            self._store(part, found, np.r_[np.flatnonzero(found == self.mark), len(found)], 1)
-
-    def _fetch(self, words: set[bytes]) -> list[bytes]:
-        """Make words known; returns those that the library was asked for."""
-        known, older = self.known, self.older
-        known.update((w, older[w]) for w in words if w in older)
-        new = [w for w in words if w not in known]
-        self._new([w.decode() for w in new])
-        return new
+            ends = 4 * np.r_[np.flatnonzero(found == self.mark), len(found)]
+            data, at = found.tobytes(), 0
+            for w, end in zip(part, ends.tolist(), strict=True):
+                self.known[w.encode()] = data[at:end]
+                at = end + 4
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [words_of(t) for t in texts]
-        found = [list(map(self.known.get, words)) for words in split]
-        gaps = [[i for i, x in enumerate(ids) if x is None] for ids in found]
-        new = self._fetch({words[i] for words, at in zip(split, gaps) for i in at})
         known = self.known
-        for words, ids, at in zip(split, found, gaps):
-            for i in at:
-                ids[i] = known[words[i]]
-        out = [b"".join(ids) + END_BYTES for ids in found]
-        for w in new:
+        split = [words_of(t) for t in texts]
+        late = {w for words, plain in split if not plain for w in words if w not in known and w not in known.older}
+        late = {w for w in late if BEYOND.search(w.decode())}
+        self._fetch(late)
+        out = [b"".join(map(known.__getitem__, words)) + END_BYTES for words, _ in split]
+        for w in late:
             if len(w) > CACHED_LENGTH:
-                del known[w]
+                known.pop(w, None)
         if len(known) > CACHED_WORDS:
-            self.known, self.older = {}, known
+            known.older = {}
+            self.known = Words(self.word_ids, dict(known))
         return out
 
 

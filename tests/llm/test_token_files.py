@@ -81,3 +81,15 @@ def test_odd_rows(odd_docs, no_docs):
     keys = [r.doc_id for r in rows]
     assert keys[:2] == [None, None] and keys[2:] == sorted(keys[2:])
     assert token_files.op8(no_docs, WORDS).count() == 0
+
+
+def test_words_of_latin_letters_go_to_the_model_alone(monkeypatch):
+    """The whole library is asked only for what the file's cuts do not cover here."""
+    tokens = token_files.Tokens(DATA)
+    asked = []
+    monkeypatch.setattr(tokens, "ids", lambda text: asked.append(text) or KNOWN.ids(text))
+    texts = ["Plain words, l'Été's (año) ÀÉß2x &&& 'LL don't.'s a<b |c", "µª ½ ÷ Ā", "<|endoftext|>x", "wörd,'ré x'S"]
+    got = tokens.encode([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [[*KNOWN.ids(t), 1] for t in texts]
+    words = {w for text in asked for w in text.replace(token_files.MARK, " ").split()}
+    assert words == {"½", "÷", "Ā", "<|endoftext|>x", "wörd,'ré"}

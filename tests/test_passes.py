@@ -121,3 +121,10 @@ def test_forty_columns_are_read_at_most_six_times(spark, tmp_path, monkeypatch):
     scans = [x.removeprefix("ReadSchema: struct<").rstrip(">") for x in lines if x.startswith("ReadSchema: struct<")]
     read = sum(len(x.split(",")) for x in scans if x)
     assert 3 * 40 < read <= 6 * 40
+
+
+def test_sketches_read_values_computed_before_them(spark):
+    df = spark.createDataFrame([(float(i), f"t{i % 7}") for i in range(100)], "x double, t string")
+    wanted = {"n": ("xxhash64(t)", passes.sketch_distinct), "q": ("x * 2", lambda x: f"max({x})")}
+    found = passes.scans(df, (wanted, 2), ({"rows": "count(1)"}, 5))
+    assert found == {"n": 7, "q": 198.0, "rows": 100}

@@ -9,8 +9,9 @@ file for each range, and totals of the files give the position of each document.
 
 Tokenizing. Where the vocabulary file drops white space and never joins across it, words are
 tokenized by the library once per worker and kept, up to a fixed number: words below U+0100,
-cut as the file states, by its model alone, others by all of it. With any other file the
-library gets whole texts.
+cut as the file states, by its model alone, others by all of it. The words of a few megabytes
+of texts are found with numpy and numbered by Arrow, so each different one is looked up once
+there, new ones many at a time. With any other file the library gets whole texts.
 
 Defined cases: null and empty texts have the end id only; null keys come first; equal
 keys are ordered by a hash of the text and then by row; repeated rows count each.
@@ -18,6 +19,7 @@ keys are ordered by a hash of the text and then by row; repeated rows count each
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import os
@@ -39,18 +41,28 @@ END = 1
 MAGIC = b"RANKVB01"
 HEAD = "<8sQQQ"
 FILE_BYTES = 16 << 20
-CACHED_WORDS = 400_000
-CLOSING = re.compile(r"[.,;:!?](?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ][.,;:!?])")
+CACHED_WORDS = 250_000
 LETTERS = "a-zªµºß-öø-ÿ"
-SIMPLE = re.compile(f"[!-~{LETTERS}]+")
-PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^0-9{LETTERS}]+")
+SIMPLE = re.compile(rb"(?:[!-~]|\xc2[\xaa\xb5\xba]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+PIECES = re.compile(f" |'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^ 0-9{LETTERS}]+")
 BEYOND = re.compile("[^\\x00-\\xff]")
-MARK, WORDS_AT_ONCE = "\x01", 500
+MARK, PART, WORDS_AT_ONCE = "\x01", "\n", 500
 CACHED_LENGTH = 40
-TEXTS_AT_ONCE, ROWS_AT_ONCE = 100, 1000
+BYTES_AT_ONCE, ROWS_AT_ONCE = 2 << 20, 1000
 END_BYTES = np.array([END], "<u4").tobytes()
 SUFFIX = "</w>"
 
+
+def among(chars: bytes) -> np.ndarray:
+    """For each byte, whether it is one of these."""
+    return np.isin(np.arange(256), list(chars))
+
+
+WHITE, CLOSES = among(b" \t\n\r\x0b\x0c"), among(b".,;:!?")
+OPENS = among(b"0123456789abcdefghijklmnopqrstuvwxyz")
+#: What follows 0xC3 in the small letters à-ö, ø-ÿ and ß.
+LATIN_ENDS = among(b"".join(c.encode()[1:] for c in "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"))
+
 # How a vocabulary file states that words are lower-cased and cut at white space.
 NORMALIZERS = [
     {"type": "NFC"},
@@ -141,43 +153,65 @@ def cut_at_spaces(file: dict) -> bool:
     return plain and parts == NORMALIZERS and splits == SPLITS and file["model"].get("end_of_word_suffix") == SUFFIX
 
 
-def words_of(text: bytes) -> tuple[list[bytes], bool]:
-    """Words of a text, brought to fewer forms where that leaves the ids as they are, and
-    whether that was so.
+def folded(text: bytes) -> tuple[bytes, bool]:
+    """A text brought to fewer word forms where that leaves the ids as they are, and whether
+    that was so.
 
-    The vocabulary lower-cases and cuts between a letter or digit and other characters.
-    Below U+0100 nothing composes; a special token begins with `<|`. Bytes are split at
-    the six white characters of ASCII only.
+    The vocabulary lower-cases. Below U+0100 nothing composes; a special token begins with `<|`.
     """
     body = text.decode("utf-8", "replace")
     if "<|" in body or (not body.isascii() and BEYOND.search(body)):
-        return body.encode().split(), False
-    return CLOSING.sub(r" \g<0>", body.lower()).encode().split(), True
+        return body.encode(), False
+    return body.lower().encode(), True
 
 
-class Words(dict):
-    """Ids of the words seen by this worker, as bytes; a word not seen yet is looked up.
+def words_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of some texts, one after another, and the number of words before the end of
+    each text.
 
-    Words are kept in two generations: when the younger is full it becomes the older, and
-    a word found in the older moves up, so frequent words stay.
+    Bytes are split at the six white characters of ASCII only. The vocabulary cuts between a
+    letter or digit and other characters, so texts that are folded are cut before a closing
+    mark after one.
     """
-
-    def __init__(self, find: Callable[[str], list[int]], older: dict[bytes, bytes]):
-        self.find, self.older = find, older
-
-    def __missing__(self, word: bytes) -> bytes:
-        found = self.older.get(word)
-        if found is None:
-            ids = self.find(word.decode("utf-8", "replace"))
-            found = struct.pack(f"<{len(ids)}I", *ids)
-            if len(word) > CACHED_LENGTH:
-                return found
-        self[word] = found
-        return found
+    forms = [folded(t) for t in texts]
+    ends = np.cumsum([len(t) + 1 for t, _ in forms])
+    data = np.frombuffer(b" ".join([b"", *[t for t, _ in forms], b""]), np.uint8)
+    inside = ~WHITE[data]
+    cut = CLOSES[data]
+    at = np.flatnonzero(cut)
+    latin = (data[at - 2] == 0xC3) & LATIN_ENDS[data[at - 1]]
+    cut[at] = OPENS[data[at - 1]] | latin
+    for (text, plain), end in zip(forms, ends.tolist()):
+        if not plain:
+            cut[end - len(text) : end] = False
+    starts = np.flatnonzero(inside[1:] & (~inside[:-1] | cut[1:])) + 1
+    lasts = np.flatnonzero(inside[:-1] & (~inside[1:] | cut[1:]))
+    offsets = np.r_[0, np.cumsum(lasts - starts + 1, dtype=np.int64)]
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), buffers), np.searchsorted(starts, ends)
+
+
+def slices(values: pa.LargeBinaryArray) -> list[bytes]:
+    """The values of an array without nulls."""
+    _, offsets, data = values.buffers()
+    held, bounds = data.to_pybytes(), np.frombuffer(offsets, np.int64)[: len(values) + 1].tolist()
+    return [held[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
+def parted(ids: list[int], mark: int) -> list[bytes]:
+    """The ids between marks, as bytes."""
+    found = np.array(ids, "<u4")
+    ends = 4 * np.r_[np.flatnonzero(found == mark), len(found)]
+    data = found.tobytes()
+    return [data[a:b] for a, b in zip([0, *(ends + 4).tolist()], ends.tolist())]
 
 
 class Tokens:
-    """The library's tokenizer with the ids of words seen by this worker."""
+    """The library's tokenizer with the ids of words seen by this worker, as bytes.
+
+    Words are kept in two generations: when the younger is full it becomes the older, and
+    a word found in the older moves up, so frequent words stay.
+    """
 
     def __init__(self, data: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -186,62 +220,101 @@ class Tokens:
         self.tokenizer = Tokenizer.from_str(data)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
-        self.known = Words(self.word_ids, {})
-        self.by_word = cut_at_spaces(json.loads(data))
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        spelled = {}  # the bytes of the characters below U+0100, as the vocabulary spells them
+        for c in range(0x100):
+            spelled |= zip(chr(c).encode(), level.pre_tokenize_str(chr(c))[0][0], strict=True)
+        spelled[ord(PART)] = PART
+        self.spelled = "".join([spelled.get(c, "\ufffe") for c in range(0x100)])
+        # a piece of a word has ids whatever its bytes, and none has the id of a space
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        known = all(c in vocabulary and c + SUFFIX in vocabulary for c in pre_tokenizers.ByteLevel.alphabet())
+        self.by_word = known and cut_at_spaces(json.loads(data))
+        self.space = vocabulary.get(spelled[0x20] + SUFFIX)
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(PART)
         mark = self.ids(MARK)
         self.mark = mark[0] if len(mark) == 1 else None
-        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.spelled = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x100)}
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def word_ids(self, word: str) -> list[int]:
-        """Ids of a word. Below U+0100 nothing composes, and a special token begins with `<|`;
-        other words of letters and visible ASCII are cut here, and the model gets the pieces."""
-        low = word.lower()
-        if not SIMPLE.fullmatch(low) or "<|" in low:
-            return self.ids(word)
-        pieces = [low] if low.isalpha() else PIECES.findall(low)
-        return [t.id for x in pieces for t in self.model.tokenize(x if x.isascii() else x.translate(self.spelled))]
-
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers, the end id last."""
         if not self.by_word:
             return [np.array([*self.ids(t.decode("utf-8", "replace")), END], "<u4").tobytes() for t in texts]
         out: list[bytes] = []
-        for start in range(0, len(texts), TEXTS_AT_ONCE):
-            out += self._encode(texts[start : start + TEXTS_AT_ONCE])
+        before = np.cumsum([0, *map(len, texts)]) // BYTES_AT_ONCE
+        bounds = [0, *(np.flatnonzero(np.diff(before[:-1])) + 1).tolist(), len(texts)]
+        for a, b in zip(bounds, bounds[1:]):
+            out += self._encode(texts[a:b]) if a < b else []
         return out
 
-    def _fetch(self, words: set[bytes]) -> None:
-        """Look words up in the whole library, many in one text."""
-        plain = [w.decode() for w in words if self.mark is not None and MARK.encode() not in w]
-        for start in range(0, len(plain), WORDS_AT_ONCE):
-            part = plain[start : start + WORDS_AT_ONCE]
-            found = np.array(self.ids(f" {MARK} ".join(part)), "<u4")
-            ends = 4 * np.r_[np.flatnonzero(found == self.mark), len(found)]
-            data, at = found.tobytes(), 0
-            for w, end in zip(part, ends.tolist(), strict=True):
-                self.known[w.encode()] = data[at:end]
-                at = end + 4
-
     def _encode(self, texts: list[bytes]) -> list[bytes]:
-        known = self.known
-        split = [words_of(t) for t in texts]
-        late = {w for words, plain in split if not plain for w in words if w not in known and w not in known.older}
-        late = {w for w in late if BEYOND.search(w.decode())}
-        self._fetch(late)
-        out = [b"".join(map(known.__getitem__, words)) + END_BYTES for words, _ in split]
-        for w in late:
-            if len(w) > CACHED_LENGTH:
-                known.pop(w, None)
-        if len(known) > CACHED_WORDS:
-            known.older = {}
-            self.known = Words(self.word_ids, dict(known))
+        words, ends = words_of(texts)
+        coded = words.dictionary_encode()
+        found = self._find(slices(coded.dictionary))
+        which = coded.indices.to_numpy()
+        size = np.array([len(x) // 4 for x in found], np.int64)
+        counts = size[which]
+        last = np.cumsum(counts)
+        at = np.repeat((np.cumsum(size) - size)[which] - (last - counts), counts) + np.arange(counts.sum())
+        data = np.frombuffer(b"".join(found), "<u4")[at].tobytes()
+        stops = 4 * np.r_[0, last][np.r_[0, ends]]
+        return [data[a:b] + END_BYTES for a, b in zip(stops.tolist(), stops[1:].tolist())]
+
+    def _find(self, words: list[bytes]) -> list[bytes]:
+        """Ids of different words."""
+        found = list(map(self.known.get, words))
+        rest = [i for i, x in enumerate(found) if x is None]
+        new = self._look_up([words[i] for i in rest if words[i] not in self.older])
+        for i in rest:
+            w = words[i]
+            found[i] = x = new[w] if w in new else self.older[w]
+            if len(w) <= CACHED_LENGTH:
+                self.known[w] = x
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.older = {}, self.known
+        return found
+
+    def _look_up(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words: those of letters and visible ASCII go to the model alone, others to the
+        whole library; many at once but for special tokens and odd characters below U+0100.
+
+        Below U+0100 nothing composes, and a special token begins with `<|`.
+        """
+        letters, mixed, beyond, out = [], [], [], {}
+        for w in words:
+            if w.isalpha():  # letters of ASCII
+                letters.append(w)
+            elif SIMPLE.fullmatch(w) and b"<|" not in w:
+                mixed.append(w)
+            elif self.mark is not None and MARK not in (text := w.decode()) and BEYOND.search(text):
+                beyond.append(w)
+            else:
+                out[w] = np.array(self.ids(w.decode()), "<u4").tobytes()
+        for step, some in ((self._letters, letters), (self._mixed, mixed), (self._beyond, beyond)):
+            for start in range(0, len(some), WORDS_AT_ONCE):
+                part = some[start : start + WORDS_AT_ONCE]
+                out |= zip(part, step(part), strict=True)
         return out
 
+    def _letters(self, words: list[bytes]) -> list[bytes]:
+        return self._by_model(f"{PART} {PART}".encode().join(words).lower())
+
+    def _mixed(self, words: list[bytes]) -> list[bytes]:
+        """The words are cut here, as the file states, and the model gets the pieces."""
+        return self._by_model(PART.join(PIECES.findall(b" ".join(words).decode().lower())).encode())
+
+    def _by_model(self, pieces: bytes) -> list[bytes]:
+        text = codecs.charmap_decode(pieces, "strict", self.spelled)[0]
+        return parted(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.space)
+
+    def _beyond(self, words: list[bytes]) -> list[bytes]:
+        return parted(self.ids(f" {MARK} ".join([w.decode() for w in words])), self.mark)
+
 
 def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, tie, ids): ids as bytes, the end id last; the file is read on the driver."""

@@ -93,3 +93,31 @@ def test_words_of_latin_letters_go_to_the_model_alone(monkeypatch):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [[*KNOWN.ids(t), 1] for t in texts]
     words = {w for text in asked for w in text.replace(token_files.MARK, " ").split()}
     assert words == {"½", "÷", "Ā", "<|endoftext|>x", "wörd,'ré"}
+
+
+class Counted:
+    """Stands for an object and counts the uses of it."""
+
+    def __init__(self, of):
+        self.of, self.uses = of, 0
+
+    def __getattr__(self, name):
+        self.uses += 1
+        return getattr(self.of, name)
+
+
+def test_new_words_are_looked_up_many_at_once():
+    """One use of the model serves hundreds of new words, and a word is found once for many texts."""
+    tokens = token_files.Tokens(DATA)
+    tokens.model = model = Counted(tokens.model)
+    texts = [" ".join(f"{chr(97 + i % 26) * (1 + i // 26)}x, wörd{i}'s" for i in range(1, 600))] * 3
+    got = tokens.encode([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [[*KNOWN.ids(t), 1] for t in texts]
+    assert model.uses < 10
+
+
+def test_ill_formed_bytes_and_small_groups_equal_the_library(monkeypatch):
+    monkeypatch.setattr(token_files, "BYTES_AT_ONCE", 9)
+    texts = [b"a\xff. b\xc3", b"", b"\xa9. \xc3\xa9. x", b"K\xe2\x84\xaa. Ab.", b"  ", b"a" * 90 + b". \xc3\x97. \xc3\x9f."]
+    got = token_files.Tokens(DATA).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [[*KNOWN.ids(t.decode("utf-8", "replace")), 1] for t in texts]

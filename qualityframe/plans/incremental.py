@@ -6,6 +6,8 @@ occurs) and `rows` (how often each row digest does). All three merge by addition
 profile of any set of files is exact, quartiles, distinct counts and outliers included, and
 thresholds may change without a new scan. A file is known by path, size, time and the
 table's schema: new and rewritten files are read, the states of vanished ones are ignored.
+Each update gives its states names of their own, and a fourth table, `known`, written last,
+says which one stands for a file; so states cut short or written twice need no grouping.
 
 Numbers are kept as they are, texts up to `LONGEST` bytes too, longer ones as SHA-256. Pairs
 of columns and models need the rows themselves and stay with `profile`.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +64,11 @@ def _part(path: str, size: str, time: str, schema: T.StructType) -> F.Column:
     return F.sha2(F.concat_ws("|", where, F.col(size), F.unix_micros(time), F.lit(shape)), 256)
 
 
+def _state(part: F.Column, run: str) -> F.Column:
+    """The name of the state of a file as one update wrote it."""
+    return F.md5(F.concat(part, F.lit(run)))
+
+
 def _listing(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
     """(path, part) of the files of a folder; no data are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
@@ -119,7 +127,7 @@ def update(spark: SparkSession, folder: str, store: str) -> int:
     """Read the files of `folder` that `store` has no state of; returns how many there were."""
     table = spark.read.parquet(folder)
     files = _listing(spark, folder, table.schema)
-    known = _read(spark, f"{store}/done")
+    known = _read(spark, f"{store}/known")
     new = files if known is None else files.join(known, "part", "left_anti")
     paths = [r.path for r in new.select("path").collect()]
     if not paths:
@@ -129,7 +137,8 @@ def update(spark: SparkSession, folder: str, store: str) -> int:
     size, time = (F.col(f"__file.{k}").alias(f"__{k}") for k in ("file_size", "file_modification_time"))
     named = named.select(*table.columns, F.col("__file.file_path").alias("__path"), size, time)
     part = _part("__path", "__file_size", "__file_modification_time", table.schema)
-    rows = nan_to_null(named.select(*table.columns, part.alias("part")))
+    run = uuid.uuid4().hex
+    rows = nan_to_null(named.select(*table.columns, _state(part, run).alias("part")))
     fields = sorted(table.schema.fields, key=lambda f: f.name)
     countable = [f for f in fields if kind(f.dataType) != UNKNOWN]
     facts = [_facts(rows, some) for some in passes.chunks(fields)]
@@ -141,14 +150,23 @@ def update(spark: SparkSession, folder: str, store: str) -> int:
         _union(values).write.mode("append").parquet(f"{store}/values")
     digests.write.mode("append").parquet(f"{store}/rows")
     # last: a file whose state is cut short by a failure is not known, and is read again
-    new.select("part").write.mode("append").parquet(f"{store}/done")
+    new.select("part", _state(F.col("part"), run).alias("state")).write.mode("append").parquet(f"{store}/known")
     return len(paths)
 
 
-def _kept(spark: SparkSession, store: str, name: str, parts: DataFrame, key: list[str]) -> DataFrame | None:
-    """The states of the given parts; one that was written twice counts once."""
+def _states(spark: SparkSession, store: str, files: DataFrame) -> DataFrame:
+    """The states (part) of the given files, one a file; raises if nothing has been kept."""
+    known = _read(spark, f"{store}/known")
+    if known is None:
+        raise ValueError(f"no states in {store}: call update first")
+    one = known.groupBy("part").agg(F.min("state").alias("state"))
+    return files.select("part").join(one, "part").select(F.col("state").alias("part"))
+
+
+def _kept(spark: SparkSession, store: str, name: str, parts: DataFrame) -> DataFrame | None:
+    """The rows of the given states."""
     found = _read(spark, f"{store}/{name}")
-    return None if found is None else found.join(parts, "part", "left_semi").dropDuplicates(["part", *key])
+    return None if found is None else found.join(parts, "part", "left_semi")
 
 
 def _numbers(values: DataFrame, names: list[str], cfg: Profiling) -> tuple[dict, dict]:
@@ -229,10 +247,8 @@ def stored_profile(
     cfg = cfg.profiling if isinstance(cfg, Config) else cfg
     empty = spark.read.parquet(folder).limit(0)
     schema = empty.schema
-    parts = _listing(spark, folder, schema).select("part")
-    facts = _kept(spark, store, "facts", parts, ["column"])
-    if facts is None:
-        raise ValueError(f"no states in {store}: call update first")
+    parts = _states(spark, store, _listing(spark, folder, schema))
+    facts = _kept(spark, store, "facts", parts)
     merged = facts.groupBy("column").agg(
         *[F.sum(k).alias(k) for k in FACTS if k not in ("low", "high")], F.min("low").alias("low"), F.max("high").alias("high")
     )
@@ -246,7 +262,7 @@ def stored_profile(
         }
         for c, s in sorted(seen.items())
     }
-    kept = _kept(spark, store, "values", parts, ["column", *passes.KEY])
+    kept = _kept(spark, store, "values", parts)
     columns = structure.countable(empty)
     stats: dict[str, dict] = {}
     if kept is not None:
@@ -279,7 +295,7 @@ def stored_profile(
         found[c]["datetime"] = (*ends, None)
     for c in found:
         found[c]["logical_type"] = types[c]
-    digests = _kept(spark, store, "rows", parts, ["h1", "h2"]).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+    digests = _kept(spark, store, "rows", parts).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
     look = structure.row_sums(digests).first()
     mark = structure.fingerprint_of(schema, look.row_count, look.row_xor, look.row_sum)
     return assemble(spark, (run_id, dataset_id), found, cfg, look.duplicate_row_ratio, mark)

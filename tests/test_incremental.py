@@ -77,3 +77,21 @@ def test_empty_files_and_missing_states(spark, tmp_path):
     incremental.update(spark, folder, store)
     ours = incremental.stored_profile(spark, folder, store, Profiling())
     assert {r.row_count for r in ours.columns.collect()} == {0}
+
+
+def test_states_written_twice_count_once_without_grouping(spark, tmp_path, monkeypatch):
+    folder, store = str(tmp_path / "data"), str(tmp_path / "states")
+    batch(spark, 0, 60).repartition(2).write.parquet(folder)
+    read = incremental._read
+    with monkeypatch.context() as m:
+        m.setattr(incremental, "_read", lambda s, path: None if path.endswith(("known", "done")) else read(s, path))
+        assert [incremental.update(spark, folder, store) for _ in range(2)] == [2, 2]  # neither sees the other
+    assert tables(incremental.stored_profile(spark, folder, store)) == tables(whole(spark, folder))
+    seen = []
+    kept = incremental._kept
+    monkeypatch.setattr(incremental, "_kept", lambda *a: seen.append(kept(*a)) or seen[-1])
+    incremental.stored_profile(spark, folder, store)
+    assert len(seen) == 3
+    for rows in seen:  # no row of a state is sorted, grouped or moved before the states are merged
+        above = rows._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
+        assert "Join LeftSemi" in above and "Aggregate" not in above.split("Join LeftSemi")[0]

@@ -440,20 +440,21 @@ def read(manifest: DataFrame, table: str) -> DataFrame:
     placed = manifest.select("path", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_rank = np.frombuffer(files.read(table), "<u4")
+        by_rank = only_kept(f"ranks {table}", lambda: np.frombuffer(files.read(table), "<u4"))
         for batch in batches:
             for path, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys, starts, counts, ids = [], [], [], []
+                held, size = [], 0
                 for key, values in documents(files.read(path)):
-                    keys.append(key)
-                    starts.append(first)
-                    counts.append(len(values))
-                    ids.append(by_rank[values].tobytes())
-                    first += len(values)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
-                    ["key", "start", "n_tokens", "ids"],
-                )
+                    held.append((key, first, len(values), by_rank[values].tobytes()))
+                    first, size = first + len(values), size + len(values)
+                    if size >= 4 * VALUES_AT_ONCE:
+                        yield made(held)
+                        held, size = [], 0
+                yield made(held)
+
+    def made(held: list[tuple]) -> pa.RecordBatch:
+        kinds = {"key": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "ids": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], t) for i, t in enumerate(kinds.values())], list(kinds))
 
     parts = max(1, min(manifest.count(), 10_000))
     return placed.repartition(parts, "path").mapInArrow(run, "key long, start long, n_tokens long, ids binary")

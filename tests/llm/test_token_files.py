@@ -121,3 +121,10 @@ def test_ill_formed_bytes_and_small_groups_equal_the_library(monkeypatch):
     texts = [b"a\xff. b\xc3", b"", b"\xa9. \xc3\xa9. x", b"K\xe2\x84\xaa. Ab.", b"  ", b"a" * 90 + b". \xc3\x97. \xc3\x9f."]
     got = token_files.Tokens(DATA).encode(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [[*KNOWN.ids(t.decode("utf-8", "replace")), 1] for t in texts]
+
+
+def test_files_are_read_back_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "VALUES_AT_ONCE", 4)
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 7)) for i in range(60)], "doc_id long, text string").coalesce(1)
+    rows = token_files.op8(docs, WORDS)
+    assert sorted(map(tuple, rows.collect())) == expected(sorted(docs.collect()))
